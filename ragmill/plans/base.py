@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +17,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace("from lines", f"from {LINES}")
         return f
 
     return add
@@ -24,3 +25,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: One row for each order and line number, which lineitem may repeat.
+LINES = """(select l_orderkey, l_linenumber, max(l_partkey) l_partkey, max(l_suppkey) l_suppkey, max(l_discount) l_discount, max(l_tax) l_tax, max(l_returnflag) l_returnflag
+ from lineitem group by 1, 2) lines"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag")
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in columns])

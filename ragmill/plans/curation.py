@@ -13,7 +13,7 @@ from ..operators import curation as C
 from ..operators import ensemble as E
 from ..operators import mixing as M
 from ..operators import scoring as S
-from .base import query, read
+from .base import lines, query, read
 
 _WS = "list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x != '')"
 
@@ -115,10 +115,10 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sample(read(spark, sf_dir, "documents").select("doc_id"), 50, "doc_id", 7)
 
 
-@query("""with c as (select l_orderkey, list(l_partkey order by l_linenumber) ids from lineitem group by 1)
+@query("""with c as (select l_orderkey, list(l_partkey order by l_linenumber) ids from lines group by 1)
 select l_orderkey, ids[1] gold, (list_sort(list_transform(list_filter(ids[1:50], lambda x: x != ids[1]), lambda x: {'h': md5('3:' || l_orderkey || ':' || x), 'c': x})))[1].c negative from c""")
 def balanced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
+    c = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
     gold = F.get("ids", 0)
     return c.select("l_orderkey", gold.alias("gold"), C.negative(F.col("ids"), F.array(gold), 3, F.col("l_orderkey")).alias("negative"))
 
@@ -132,23 +132,23 @@ def gold_position_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", F.array_join(C.gold_placed(F.col("ids"), F.col("r"), 6, 10, 11, F.col("k")).cast("array<string>"), ",").alias("ids"))
 
 
-@query("""with r as (select l_orderkey e, l_linenumber c, l_linenumber = 1 g, l_returnflag = 'A' s from lineitem),
+@query("""with r as (select l_orderkey e, l_linenumber c, l_linenumber = 1 g, l_returnflag = 'A' s from lines),
 o as (select *, row_number() over (partition by e order by (not s)::int, case when s then '' else md5('5:' || e || ':' || c) end, c) - 1 p from r where not g),
 gp as (select e, ('0x' || left(md5('5:' || e || ':gold'), 13))::bigint % 2 gpos from r where g),
 m as (select o.e, c, g, p + (p >= gpos)::int pos from o join gp using (e) where p < 4 union all select r.e, c, g, gpos from r join gp using (e) where g)
 select e example_id, c chunk_id, g is_gold, pos::bigint as position from (select *, count(*) over (partition by e) n from m where pos < 4) where n = 4""")
 def nested_prefix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("example_id"), F.col("l_linenumber").alias("chunk_id"), (F.col("l_linenumber") == 1).alias("is_gold"), (F.col("l_returnflag") == "A").alias("same_document"), F.col("l_linenumber").alias("chunk_order"))
+    rows = lines(spark, sf_dir).select(F.col("l_orderkey").alias("example_id"), F.col("l_linenumber").alias("chunk_id"), (F.col("l_linenumber") == 1).alias("is_gold"), (F.col("l_returnflag") == "A").alias("same_document"), F.col("l_linenumber").alias("chunk_order"))
     out = C.nested_prefix(rows, (2, 4), 5)
     return out.withColumn("position", F.col("position").cast("long"))
 
 
-@query("""with d as (select l_orderkey q, l_linenumber i, l_returnflag kind, l_linenumber = 2 gold, md5('9:' || l_orderkey || ':' || l_linenumber) h from lineitem),
+@query("""with d as (select l_orderkey q, l_linenumber i, l_returnflag kind, l_linenumber = 2 gold, md5('9:' || l_orderkey || ':' || l_linenumber) h from lines),
 k as (select *, row_number() over (partition by q, kind order by gold desc, h, i) kr from d),
 p as (select *, row_number() over (partition by q order by gold desc, (kr > case when kind = 'A' then 1 else 3 end)::int, h, i) r from k)
 select q question_id, i quote_id, kind, gold is_gold from p where r <= 3""")
 def balanced_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("quote_id"), F.col("l_returnflag").alias("kind"), (F.col("l_linenumber") == 2).alias("is_gold"))
+    rows = lines(spark, sf_dir).select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("quote_id"), F.col("l_returnflag").alias("kind"), (F.col("l_linenumber") == 2).alias("is_gold"))
     return C.balanced_passages(rows, 3, 9, quotas={"A": 1}).drop("slot")
 
 
@@ -238,7 +238,7 @@ def previous_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MIX = """
-with r as (select l_orderkey grp, l_linenumber branch, s as step, ln(1 - l_tax - 0.01 * s) logp, l_discount prior_logit from lineitem, (select unnest([0, 1, 2]) s)),
+with r as (select l_orderkey grp, l_linenumber branch, s as step, ln(1 - l_tax - 0.01 * s) logp, l_discount prior_logit from lines, (select unnest([0, 1, 2]) s)),
 lp as (select *, prior_logit - ln(sum(exp(prior_logit)) over (partition by grp, step)) log_prior from r),
 pf as (select *, coalesce(sum(logp) over (partition by grp, branch order by step rows between unbounded preceding and 1 preceding), 0) + log_prior s from lp),
 po as (select *, s - ln(sum(exp(s)) over (partition by grp, step)) log_posterior from pf)
@@ -246,14 +246,14 @@ po as (select *, s - ln(sum(exp(s)) over (partition by grp, step)) log_posterior
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_discount", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("step"))
+    line = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_tax", "l_discount", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("step"))
     rows = line.select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("branch"), "step", F.ln(1 - F.col("l_tax") - 0.01 * F.col("step")).alias("logp"), F.col("l_discount").alias("prior_logit"))
     return E.log_prior(rows)
 
 
-@query(_MIX + "select grp, branch, step, round(log_posterior, 6) log_posterior from po")
+@query(_MIX + "select grp, branch, step, round(log_posterior, 6) + 0.0 log_posterior from po")
 def posterior_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.posterior(_mixture(spark, sf_dir)).select("grp", "branch", "step", F.round("log_posterior", 6).alias("log_posterior"))
+    return E.posterior(_mixture(spark, sf_dir)).select("grp", "branch", "step", (F.round("log_posterior", 6) + F.lit(0.0)).alias("log_posterior"))
 
 
 @query(_MIX + ", m as (select grp, step, ln(sum(exp(logp + log_posterior))) v from po group by 1, 2) select grp, round(-sum(v), 6) loss from m group by 1")

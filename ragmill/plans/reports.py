@@ -22,7 +22,7 @@ def contingency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select round(avg(n_chars), 6) mean_all, round(avg(n_chars) filter (where quality = 1), 6) mean_good, round(avg(n_chars) filter (where quality = 0), 6) mean_bad,
  round(avg((toxic = 1)::int) filter (where quality = 1), 6) toxic_given_good, count(*) filter (where quality = 0 and toxic = 1) n_bad_toxic,
- count(*) filter (where quality = 1 and toxic = 1) both, count(*) filter (where quality = 1 and toxic != 1) only_a, count(*) filter (where quality != 1 and toxic = 1) only_b,
+ count(*) filter (where quality = 1 and toxic = 1) "both", count(*) filter (where quality = 1 and toxic != 1) only_a, count(*) filter (where quality != 1 and toxic = 1) only_b,
  count(*) filter (where quality != 1 and toxic != 1) neither from labels join documents using (doc_id)""")
 def conditional_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -176,12 +176,12 @@ def rule_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", N.first_rule(F.col("event_type"), rules, "other").alias("kind"))
 
 
-@query("""with s as (select o_orderpriority p, o_orderstatus st, o_totalprice v from orders)
-select * from (select p, round_even(sum(v) filter (where st = 'F'), 2) "F", round_even(sum(v) filter (where st = 'O'), 2) "O", round_even(sum(v) filter (where st = 'P'), 2) "P" from s group by p)
+@query("""with s as (select o_orderpriority priority, o_orderstatus st, o_totalprice v from orders)
+select * from (select priority, round_even(sum(v) filter (where st = 'F'), 2) "F", round_even(sum(v) filter (where st = 'O'), 2) "O", round_even(sum(v) filter (where st = 'P'), 2) "P" from s group by priority)
 union all select 'total', round_even(sum(v) filter (where st = 'F'), 2), round_even(sum(v) filter (where st = 'O'), 2), round_even(sum(v) filter (where st = 'P'), 2) from s""")
 def duration_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("st"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
-    return N.duration_table(rows, "p", "st", "v", ["F", "O", "P"]).select("p", *[F.col(c).cast("double").alias(c) for c in "FOP"])
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("st"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    return N.duration_table(rows, "priority", "st", "v", ["F", "O", "P"]).select("priority", *[F.col(c).cast("double").alias(c) for c in "FOP"])
 
 
 @query("""select round(max(abs(l_discount - l_tax)), 6) abs_max, round(avg(abs(l_discount - l_tax)), 6) abs_mean, round(min(abs(l_discount - l_tax)), 6) abs_min,

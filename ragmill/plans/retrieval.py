@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import arrays as X
 from ..operators import retrieval as R
-from .base import query, read
+from .base import lines, query, read
 
 _RANKED = """
 with q as (select vec_id query_id, label ql, embedding qe from embeddings where vec_id % 20 = 0),
@@ -86,25 +86,25 @@ def capped_gold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("source", R.capped_rank(F.nullif("r", F.lit(0)), F.col("n")).alias("gold_rank"))
 
 
-@query("""with t as (select l_orderkey, list(l_returnflag order by l_linenumber) flags from lineitem group by 1)
+@query("""with t as (select l_orderkey, list(l_returnflag order by l_linenumber) flags from lines group by 1)
 select count(*) filter (where len(list_distinct(flags[1:3])) < len(flags[1:3])) n_with_duplicates, count(*) n_questions from t""")
 def dup_texts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_returnflag").alias("text")))), lambda x: F.struct(x["text"].alias("text"))).alias("ranked"))
+    rows = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_returnflag").alias("text")))), lambda x: F.struct(x["text"].alias("text"))).alias("ranked"))
     return R.duplicate_top(rows, "ranked", 3)
 
 
-@query("""with t as (select l_orderkey, list({'id': l_partkey, 's': l_discount} order by l_discount desc, l_linenumber) p from lineitem group by 1)
+@query("""with t as (select l_orderkey, list({'id': l_partkey, 's': l_discount} order by l_discount desc, l_linenumber) p from lines group by 1)
 select l_orderkey, p[1].id best_part, list_transform(p[1:3], lambda x: x.id)::varchar top_parts from t""")
 def rerank_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as a ranked list, reranked by discount; ties keep the first order."""
     entry = F.struct("l_linenumber", F.col("l_partkey").alias("id"), F.col("l_discount").alias("rerank_score"))
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("p"))
+    rows = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("p"))
     ranked = R.rerank(F.col("p"))
     return rows.select("l_orderkey", ranked.alias("r")).select("l_orderkey", F.get("r", 0)["id"].alias("best_part"), F.concat(F.lit("["), F.array_join(F.transform(R.top(F.col("r"), 3), lambda x: x["id"].cast("string")), ", "), F.lit("]")).alias("top_parts"))
 
 
 @query("""with t as (select l_orderkey, list(l_suppkey order by l_linenumber) ids, list(l_discount order by l_linenumber) pr, list(l_tax order by l_linenumber) po,
- min(l_suppkey) gold from lineitem group by 1),
+ min(l_suppkey) gold from lines group by 1),
 s as (select gold, ids, list_transform(list_sort(list_transform(range(1, len(ids) + 1), lambda i: {'x': -pr[i], 'i': i})), lambda y: ids[y.i]) a,
  list_transform(list_sort(list_transform(range(1, len(ids) + 1), lambda i: {'x': -po[i], 'i': i})), lambda y: ids[y.i]) b from t)
 select round(avg(list_contains(ids, gold)::int), 6) retrieval_hit_rate, round(avg((a[1] = gold)::int), 6) prior_hit_rate, round(avg(list_contains(a[1:1], gold)::int), 6) prior_recall_at_1,
@@ -112,7 +112,7 @@ select round(avg(list_contains(ids, gold)::int), 6) retrieval_hit_rate, round(av
  round(avg(list_contains(b[1:2], gold)::int), 6) posterior_recall_at_2 from s""")
 def branch_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_discount", "l_tax")))
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(entry.alias("e"), F.min("l_suppkey").alias("gold_id"))
+    rows = lines(spark, sf_dir).groupBy("l_orderkey").agg(entry.alias("e"), F.min("l_suppkey").alias("gold_id"))
     ids, pick = F.transform("e", lambda x: x["l_suppkey"]), lambda c: F.transform("e", lambda x: x[c])
     table = rows.select("gold_id", ids.alias("retrieved"), R.ids_by_score(ids, pick("l_discount")).alias("prior_sorted"), R.ids_by_score(ids, pick("l_tax")).alias("posterior_sorted"))
     out = R.branch_report(table, 2)

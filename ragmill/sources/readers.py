@@ -55,9 +55,9 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, *, schema: str
 
 def whole_texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """path and value of each file below a folder."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    return reader.text(path).select(F.input_file_name().alias("path"), "value")
+    return reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
 
 def images(spark: SparkSession, path: str, pattern: str = "*.{png,jpg,jpeg,webp}") -> DataFrame:
@@ -91,7 +91,7 @@ class Registry:
         """Several files are merged, later ones win."""
         merged: dict = {}
         for p in paths:
-            merged |= json.loads(spark.read.option("wholetext", True).text(p).first()[0])
+            merged |= json.loads(spark.read.text(p, wholetext=True).first()[0])
         return cls(merged)
 
     def table(self, spark: SparkSession, name: str, seed: int = 0) -> DataFrame:
