@@ -35,7 +35,7 @@ from .common import shared_table
 CAPACITY = 2048
 END_ID = 0
 #: Groups of equal cardinality that large lengths are rounded up in.
-GROUPS = 256
+GROUPS = 1024
 #: Words that a worker keeps with their ids.
 KEPT_WORDS = 400_000
 SPECIAL = "<|endoftext|>"

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import shared_table, text_hash
 from .components import connected_components
 
 SHINGLE = 4
@@ -59,16 +59,15 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("__text")
-        found = np.array([fingerprint(x.as_py() or b"") for x in batch.column(at)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(1 - at), pa.array(found.view(np.int64))], names=["__key", "fp"])
+        found = np.array([fingerprint(x.as_py() or b"") for x in batch.column(2)], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["__key", "__hash", "fp"])
 
 
 def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """__key and fp (long, the fingerprint's bits), a row for each input row."""
-    rows = df.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text"))
+    """__key, __hash (of the text) and fp (long, the fingerprint's bits), a row for each input row."""
+    rows = df.select(F.col(key).alias("__key"), text_hash(F.col(text)).alias("__hash"), F.col(text).cast("binary").alias("__text"))
     kind = rows.schema["__key"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"__key {kind}, fp long")
+    return rows.mapInArrow(_fingerprints, f"__key {kind}, __hash long, fp long")
 
 
 def _groups_for(n: int) -> int:
@@ -195,7 +194,7 @@ def links(fps: DataFrame, n: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp and component, the least key among all that links reach, a row for each input row."""
+    """key, text_hash, fp and component, the least key among all that links reach, a row for each input row."""
     marked = shared_table(fingerprints(df, key=key, text=text), "fingerprints")
     distinct = shared_table(marked.groupBy("fp").agg(F.min("__key").alias("__least")), "distinct")
     roots = connected_components(links(distinct.select("fp"), distinct.count()))
@@ -203,4 +202,4 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
     rooted = shared_table(distinct.join(roots.hint("merge"), F.col("fp") == F.col("u"), "left").select("fp", root.alias("root"), "__least"), "rooted")
     least = shared_table(rooted.groupBy("root").agg(F.min("__least").alias("component")), "least")
     named = shared_table(rooted.join(least.hint("merge"), "root").select("fp", "component"), "named")
-    return marked.join(named.hint("merge"), "fp").select(F.col("__key").alias(key), "fp", "component")
+    return marked.join(named.hint("merge"), "fp").select(F.col("__key").alias(key), F.col("__hash").alias("text_hash"), "fp", "component")
