@@ -1,11 +1,12 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
-Two dictionaries are built from labelled text, one for each label. A text is compressed with both; the difference of the
-sizes, as a share of the text, tells which kind it is like. A logistic fit on labelled rows that the dictionaries have not
-seen turns the normalised difference, and the share that compression leaves, into a probability.
+Two dictionaries hold labelled text, one for each label. A text is compressed with both; the difference of the sizes, as a
+share of the text and of what is left, tells which kind it is like. A logistic fit, cross-fitted on the labelled rows, turns
+these normalised differences, and the share that compression leaves, into a probability.
 
 The fit uses a bounded sample: at most `rows` labelled documents of each label, of at most `most_bytes` bytes each, chosen by
-hash. Scoring reads every text whole; labels, language, source and id are no inputs of a score.
+hash; the labels' frequencies are counted over all labelled rows that may be learnt from. Scoring reads every text whole;
+labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts get one finite score, that of the fit for no bytes; documents without a label are scored like
 any other; repeated rows get a row each; with only one label to learn from every score is that label's share; an empty
@@ -24,9 +25,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS = 1200
+ROWS = 2400
 MOST_BYTES = 32_768
-DICT_BYTES = 112_640
+TRAINED_BYTES, PLAIN_BYTES = 112_640, 524_288
 LEVEL = 3
 
 
@@ -48,30 +49,39 @@ class Scorer:
         make = lambda d: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=_dictionary(d))
         self.good, self.bad = make(good), make(bad)
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """The normalised difference of the compressed sizes (good text: above 0), and the share left by the better one."""
+    def features(self, text: bytes) -> tuple[float, float, float, float]:
+        """The difference of the compressed sizes (good text: above 0) as a share of the text and of the smaller size, and the share
+        of the text that the smaller size is, with its logarithm."""
         if not text:
-            return 0.0, 1.0
+            return 0.0, 1.0, 0.0, 0.0
         g, b = len(self.good.compress(text)), len(self.bad.compress(text))
-        return (b - g) / len(text), min(g, b) / len(text)
+        left = min(g, b) / len(text)
+        return (b - g) / len(text), left, math.log(left), (b - g) / min(g, b)
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
-    return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT if data[:4] != b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_FULLDICT)
+    trained = data[:4] == b"\x37\xa4\x30\xec"  # the format's magic number
+    return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def build_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary; of too little text to train on, the text itself."""
-    samples = [s for s in samples if s]
+def plain_dictionary(samples: list[bytes]) -> bytes:
+    """An even share of each sample, as it is."""
+    share = max(1, PLAIN_BYTES // max(1, len(samples)))
+    return b"\n".join(s[:share] for s in samples)[:PLAIN_BYTES] or b"\n"
+
+
+def trained_dictionary(samples: list[bytes]) -> bytes:
+    """Segments that zstandard picks out; of too little text to train on, a plain one."""
     parts = [s[i : i + 4096] for s in samples for i in range(0, len(s), 4096)]
     try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, parts)) // 8)), parts, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(min(TRAINED_BYTES, max(1024, sum(map(len, parts)) // 8)), parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(samples)[-size:] or b"\n"
+        return plain_dictionary(samples)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method; both labels weigh the same in all."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 0.1) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method. Both labels weigh the same in the fit; the constant is then moved to
+    label 1's share of all labels."""
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     x1, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     penalty = np.diag([ridge] * x.shape[1] + [1e-6])
@@ -81,23 +91,40 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
         w += step
         if np.abs(step).max() < 1e-8:
             break
+    w[-1] += math.log(share / (1 - share))
     return w
 
 
-def fit_rows(rows: list[tuple[bytes, int, int]]) -> Model:
-    """rows: text, label, hash. Even hashes go to the dictionaries, odd ones to the calibration."""
-    own = {k: [t for t, y, h in rows if y == k and h % 2 == 0] for k in (0, 1)}
-    good, bad = build_dictionary(own[1]), build_dictionary(own[0])
-    scorer, rest = Scorer(good, bad), [(t, y) for t, y, h in rows if h % 2]
-    y = np.array([y for _, y in rest], float)
-    if len(set(y)) < 2:
-        every = [y for _, y, _ in rows]
-        share = (sum(every) + 1) / (len(every) + 2)
-        return Model(good, bad, (0.0, 0.0, math.log(share / (1 - share))), (0.0, 0.0), (1.0, 1.0))
-    x = np.array([scorer.features(t) for t, _ in rest])
-    centre, scale = x.mean(0), x.std(0) + 1e-9
-    w = logistic((x - centre) / scale, y)
-    return Model(good, bad, tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, scale)))
+def fit_rows(rows: list[tuple[bytes, int, int]], share: float | None = None) -> Model:
+    """rows: text, label, hash. share: of label 1 among all labels, by default among the rows.
+
+    The calibration is cross-fitted: each half of the rows (by hash) is measured with dictionaries of the other half, so no row is
+    measured with its own text; the model's dictionaries are then built from all rows. Of trained and plain dictionaries the kind with
+    the better calibration (log loss) is taken.
+    """
+    if share is None:
+        share = (sum(y for _, y, _ in rows) + 1) / (len(rows) + 2)
+    share, best = min(max(share, 1e-6), 1 - 1e-6), None
+    halves = [[(t, y) for t, y, h in rows if h % 2 == k] for k in (0, 1)]
+    of = lambda rs, k: [t for t, y in rs if t and y == k]
+    for build in (trained_dictionary, plain_dictionary):
+        every = halves[0] + halves[1]
+        good, bad = build(of(every, 1)), build(of(every, 0))
+        y = np.array([y for _, y in every], float)
+        if len(set(y)) < 2:
+            return Model(good, bad, (0.0,) * 4 + (math.log(share / (1 - share)),), (0.0,) * 4, (1.0,) * 4)
+        x = []
+        for own, other in (halves, halves[::-1]):
+            scorer = Scorer(build(of(other, 1)), build(of(other, 0)))
+            x += [scorer.features(t) for t, _ in own]
+        x = np.array(x)
+        centre, scale = x.mean(0), x.std(0) + 1e-9
+        w = logistic((x - centre) / scale, y, share)
+        p = 1 / (1 + np.exp(-np.clip((x - centre) / scale @ w[:-1] + w[-1], -30, 30)))
+        loss = -(share * np.log(p[y == 1]).mean() + (1 - share) * np.log(1 - p[y == 0]).mean())
+        if best is None or loss < best[0]:
+            best = loss, Model(good, bad, tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, scale)))
+    return best[1]
 
 
 def fit(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = ROWS, most_bytes: int = MOST_BYTES) -> Model:
@@ -108,18 +135,20 @@ def fit(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "t
     docs = df.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text")).where(F.octet_length("__text") <= most_bytes)
     # Broadcast: at most 2 * rows ids.
     got = docs.join(F.broadcast(picked), "__key").select("__text", "__y", "__h").collect()
-    return fit_rows(sorted((bytes(r["__text"]), r["__y"], r["__h"] >> 7) for r in got))
+    n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}  # two rows at most
+    share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
+    return fit_rows(sorted((bytes(r["__text"]), r["__y"], r["__h"] >> 7) for r in got), share)
 
 
 def score_documents(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, difference (normalised) and score, a row for each input row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
+    shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most PLAIN_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = Scorer(m.good, m.bad)
         for batch in batches:
-            x = np.array([scorer.features(t.as_py() or b"") for t in batch.column(1)]).reshape(-1, 2)
+            x = np.array([scorer.features(t.as_py() or b"") for t in batch.column(1)]).reshape(-1, 4)
             z = (x - m.centre) / m.scale @ np.array(m.weights[:-1]) + m.weights[-1]
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(score)], names=["__key", "difference", "score"])
