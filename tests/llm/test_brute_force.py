@@ -346,13 +346,17 @@ def lower_bound(hist, capacity):
 
 
 def test_classifier(spark, docs, empty, sf_dir):
-    out = {r["doc_id"]: r for r in queries.op10_compression_classifier(spark, "/root/testdata/sf0.01").collect()}
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    held = [(out[i]["score"], y) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 == 2]
+    """Held-out accuracy on sf0.1, which has 136 held-out documents of label 0; sf0.01 has 19, too few to hold a bound of 0.95."""
+    base = "/root/testdata/sf0.1"
+    out = {r["doc_id"]: r for r in queries.op10_compression_classifier(spark, base).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{base}/labels.parquet").collect()}
+    held = [(out[i], y) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in labels)
-    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    good, bad = [r["score"] for r, y in held if y == 1], [r["score"] for r, y in held if y == 0]
     auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
     assert auc > 0.95
+    assert sum(g >= 0.7 for g in good) > 0.95 * len(good) and sum(b >= 0.7 for b in bad) < 0.15 * len(bad)
+    assert all(r["predicted"] == (r["score"] >= 0.7) for r in out.values())
     model = compression_classifier.fit(docs, spark.createDataFrame([(5, 1), (6, None), (7, 1)], "doc_id long, quality int"))
     scores = [r["score"] for r in compression_classifier.score_documents(docs, model).collect()]
     assert len(scores) == docs.count() and all(0 <= s <= 1 for s in scores)
