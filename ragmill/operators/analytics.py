@@ -175,6 +175,24 @@ def vector_difference(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(*parts, norm.alias("l2"), F.try_divide(norm, F.sqrt(F.sum(F.col(a) * F.col(a)))).alias("rel_l2"))
 
 
+def compare_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
+    """Two result tables on one configuration: both measures and b / a, null where a is zero."""
+    left, right = a.select(*keys, F.col(measure).alias("a")), b.select(*keys, F.col(measure).alias("b"))
+    return left.join(right, list(keys)).select(*keys, "a", "b", F.try_divide("b", "a").alias("ratio"))
+
+
+def heatmap(df: DataFrame, states: str, weights: str, segment: str, segments: Sequence) -> DataFrame:
+    """A row for each state, a column for each segment: the greatest weight that the state has there, 0.0 without any."""
+    pairs = df.select(segment, F.explode(F.arrays_zip(F.col(states).alias("state"), F.col(weights).alias("weight"))).alias("p")).select(segment, "p.*")
+    return pairs.groupBy("state").pivot(segment, list(segments)).agg(F.max("weight")).na.fill(0.0)
+
+
+def grouped_by_label(df: DataFrame, label: str, pattern: str, names: Sequence[str], value: str) -> DataFrame:
+    """Measurements grouped by what a pattern's groups find in their label: values in rising order."""
+    parts = [F.regexp_extract(label, pattern, i + 1).alias(n) for i, n in enumerate(names)]
+    return df.where(F.regexp_like(F.col(label), F.lit(pattern))).select(*parts, value).groupBy(*names).agg(F.array_sort(F.collect_list(value)).alias("measured"))
+
+
 # A small filter language: `size>=10,name==x,ratio!=inf`
 
 _TERM = re.compile(r"^\s*(.+?)\s*(==|!=|<=|>=|<|>)\s*(.*?)\s*$")

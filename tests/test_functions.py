@@ -129,6 +129,16 @@ def test_filters(spark):
         N.apply_filters(df, "x ~ 3")
 
 
+def test_run_tables(spark):
+    a = spark.createDataFrame([("m", 1, 10.0), ("m", 2, 0.0)], "model string, k int, x double")
+    b = spark.createDataFrame([("m", 1, 25.0), ("m", 2, 1.0), ("m", 3, 1.0)], "model string, k int, x double")
+    assert {(r["k"], r["ratio"]) for r in N.compare_runs(a, b, ["model", "k"], "x").collect()} == {(1, 2.5), (2, None)}
+    beams = spark.createDataFrame([(0, ["s", "t"], [0.1, 0.9]), (1, ["s"], [0.4])], "seg int, states array<string>, w array<double>")
+    assert {(r["state"], r["0"], r["1"]) for r in N.heatmap(beams, "states", "w", "seg", [0, 1]).collect()} == {("s", 0.1, 0.4), ("t", 0.9, 0.0)}
+    labels = spark.createDataFrame([("mm_8x16", 2.0), ("mm_8x16", 1.0), ("other", 3.0)], "label string, ms double")
+    assert [tuple(r) for r in N.grouped_by_label(labels, "label", r"mm_(\d+)x(\d+)", ["m", "n"], "ms").collect()] == [("8", "16", [1.0, 2.0])]
+
+
 def test_conversations(spark, value):
     schema = "c array<struct<from:string,value:string>>"
     df = spark.createDataFrame([([("system", "s"), ("gpt", "x"), ("human", "h"), ("gpt", "g"), ("robot", "r")],)], schema)
