@@ -69,9 +69,10 @@ def token_batches(rows: DataFrame, key: str, length: str, row_id: str, capacity:
     return keyed.applyInPandasWithState(run, f"grp {kind}, row_id long, batch long", "batch long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
-def branch_groups(shards: DataFrame, branches: int, timeout_ms: int = 600_000) -> DataFrame:
+def branch_groups(shards: DataFrame, branches: int, timeout_ms: int | None = None) -> DataFrame:
     """grp, step, marginal, complete: branches' log-probabilities arrive in any order; once a step's branches are all there the
-    mixture is emitted and the posterior moves on. Groups that stay silent are released with what they have, complete false.
+    mixture is emitted and the posterior moves on. With timeout_ms, groups that stay silent so long are released with what they have,
+    complete false; a drained stream then runs until the last group's time is up, so batch jobs leave it out.
 
     shards: grp, branch, step, logp, prior_logit.
     """
@@ -105,12 +106,13 @@ def branch_groups(shards: DataFrame, branches: int, timeout_ms: int = 600_000) -
                 emit(held["next"], held["steps"].pop(str(held["next"])), True)
                 held["next"] += 1
             state.update((json.dumps(held),))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["grp", "step", "marginal", "complete"])
 
     keyed = shards.groupBy("grp")
     kind = shards.schema["grp"].dataType.simpleString()
-    return keyed.applyInPandasWithState(run, f"grp {kind}, step int, marginal double, complete boolean", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.applyInPandasWithState(run, f"grp {kind}, step int, marginal double, complete boolean", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
