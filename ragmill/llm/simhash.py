@@ -39,20 +39,27 @@ SMALL = 24
 _PAIRS = 0x5555555555555555
 
 
-def fingerprint(text: bytes) -> int:
-    """The 64-bit fingerprint of a UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 values of the word shingles of a UTF-8 text, in order and in parts; a shorter text is one shingle."""
     words = text.lower().split()  # for bytes both know ASCII alone
     if not words:
-        return 0
+        return
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - SHINGLE + 1)
-    ends = ends[min(SHINGLE, len(words)) - 1 :]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    n = max(1, len(words) - shingle + 1)
+    ends = ends[min(shingle, len(words)) - 1 :]
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, 1 << 16):
         part = slice(at, at + (1 << 16))
-        h = np.array([digest(flat[a:b], SEED) for a, b in zip(starts[:n][part].tolist(), ends[part].tolist(), strict=True)], np.uint64)
+        yield np.array([digest(flat[a:b], SEED) for a, b in zip(starts[:n][part].tolist(), ends[part].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes) -> int:
+    """The 64-bit fingerprint of a UTF-8 text."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
