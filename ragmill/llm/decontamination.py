@@ -151,13 +151,28 @@ def _shingle_rows(table: DataFrame, key_kind: str) -> DataFrame:
 
 
 def _matches_by_join(docs: DataFrame, items: DataFrame, kinds: tuple[str, str]) -> DataFrame:
-    """The same for an item side of any size: sketch keys name candidate pairs, whose shingles are then joined and counted."""
+    """The same for an item side of any size: sketch keys name candidate pairs, whose distinct shared shingles are then counted.
+
+    Ids are met null-safely. Pairs are decided once for rows alike; the rows are then joined back, so that repeated ones get theirs.
+    """
     d = _shingle_rows(docs, kinds[0]).select("__key", "__hash", "h", "s")
-    i = _shingle_rows(items, kinds[1]).select(F.col("__key").alias("item_id"), F.col("__hash").alias("__ih"), "h", "s", "n", "k")
+    i = _shingle_rows(items, kinds[1]).select(F.col("__key").alias("item_id"), F.col("__hash").alias("__ih"), "h", "s", "n", "k").distinct()
     pairs = d.join(i.where("k"), ["h", "s"]).select("__key", "__hash", "item_id", "__ih", "n").distinct()
-    own = pairs.join(i.select("item_id", "__ih", "h", "s"), ["item_id", "__ih"])
-    hit = own.join(d, ["__key", "__hash", "h", "s"]).groupBy("__key", "__hash", "item_id", "__ih", "n").agg(F.count(F.lit(1)).alias("n_shared"))
-    return hit.where(F.col("n_shared") * SHARE[1] >= F.col("n") * SHARE[0]).select("__key", "__hash", "item_id", F.col("n").alias("n_shingles"), "n_shared")
+    own = _null_safe(pairs, i.select("item_id", "__ih", "h", "s"), "item_id", "__ih")
+    hit = _null_safe(own, d, "__key", "__hash", "h", "s").distinct()
+    hit = hit.groupBy("__key", "__hash", "item_id", "__ih", "n").agg(F.count(F.lit(1)).alias("n_shared"))
+    hit = hit.where(F.col("n_shared") * SHARE[1] >= F.col("n") * SHARE[0])
+    hit = _null_safe(hit, items.select(F.col("__key").alias("item_id"), F.col("__hash").alias("__ih")), "item_id", "__ih")
+    return _null_safe(hit, docs.select("__key", "__hash"), "__key", "__hash").select("__key", "__hash", "item_id", F.col("n").alias("n_shingles"), "n_shared")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+    """The inner join on columns in which nulls are equal."""
+    right = right.select(*[F.col(c).alias(f"__right_{c}" if c in on else c) for c in right.columns])
+    condition = F.lit(True)
+    for c in on:
+        condition &= F.col(c).eqNullSafe(F.col(f"__right_{c}"))
+    return left.join(right, condition).drop(*[f"__right_{c}" for c in on])
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
