@@ -67,6 +67,35 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
     return let(F.struct(words(prediction).alias("p"), words(reference).alias("r")), lcs)
 
 
+def _common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a row of the table is the bits of one number."""
+    at, full = {}, (1 << len(a)) - 1
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    row = full
+    for w in b:
+        hit = row & at.get(w, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def rouge(p: Column, r: Column) -> Column:
+    """rouge1, rouge2 and rougeL (F1) of two lists of words of any length, as a struct; row by row over Arrow batches."""
+
+    def one(a: list[str], b: list[str]) -> tuple[float, ...]:
+        out = []
+        for n in (1, 2):
+            x, y = (Counter(zip(*(t[i:] for i in range(n)), strict=False)) for t in (a, b))
+            total = sum(x.values()) + sum(y.values())
+            out.append(2.0 * sum((x & y).values()) / total if total else 0.0)
+        return *out, 2.0 * _common(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+    def score(p: pd.Series, r: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(list(x), list(y)) for x, y in zip(p, r, strict=True)], columns=["rouge1", "rouge2", "rougeL"])
+
+    return F.pandas_udf(score, "rouge1 double, rouge2 double, rougeL double")(p, r)
+
+
 def sentence_bleu(order: int = 4) -> Callable:
     """A vectorised function of (prediction, reference): smoothed sentence BLEU, 0 to 1."""
 

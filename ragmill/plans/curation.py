@@ -73,10 +73,10 @@ def answer_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROUGE of each conversation's second turn against its first, over their first 40 words."""
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, T.truncate_words_anywhere(F.col("text"), 40))).alias(n) for i, n in enumerate("rp")])
+    """ROUGE of each conversation's second turn against its first, both whole."""
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(n) for i, n in enumerate("rp")])
     c = c.where("p is not null and r is not null")
-    return _rounded(c.select("conv_id", S.rouge_n(F.col("p"), F.col("r"), 1).alias("rouge1"), S.rouge_n(F.col("p"), F.col("r"), 2).alias("rouge2"), S.rouge_l(F.col("p"), F.col("r")).alias("rougeL")))
+    return _rounded(c.select("conv_id", S.rouge(T.words(F.col("p")), T.words(F.col("r"))).alias("s")).select("conv_id", "s.*"))
 
 
 # Conversations
