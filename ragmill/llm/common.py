@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 _own_folder: list[tempfile.TemporaryDirectory] = []
+_scratch: list[list[str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,11 +51,59 @@ def new_path(spark: SparkSession, name: str) -> str:
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
-    The copy outlives any executor, so a lost one costs its own tasks only.
+    The copy outlives any executor, so a lost one costs its own tasks only. Within scratch_tables() it goes when that ends.
     """
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """shared_table and the path of the copy."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], tuple[DataFrame, str]]]:
+    """Deletes at its end the tables that shared_table has written meanwhile, but for those written by the function it gives.
+
+    For work whose result is written before the end; what is still to be read from the tables must not outlive it.
+    """
+    _scratch.append([])
+
+    def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        out = stored(df, name)
+        _scratch[-1].remove(out[1])
+        if len(_scratch) > 1:
+            _scratch[-2].append(out[1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _scratch.pop():
+            remove_path(spark, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that no column of df has it (case aside, as Spark compares names)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def without_rows(df: DataFrame, gone: DataFrame, *, key: str, text: str) -> DataFrame:
+    """df without the rows whose id (null-safe) and text hash are in gone, a written table of two columns: id and hash. Any other
+    columns of df may have any names."""
+    k, h = fresh(df, "gone_key", "gone_hash")
+    gone = gone.toDF(k, h)
+    return df.join(gone, df[key].eqNullSafe(gone[k]) & (text_hash(df[text]) == gone[h]), "left_anti")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import scratch_tables, shared_table
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -31,22 +31,19 @@ def _star(neighbours: DataFrame, *, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """u, root for every node of edges (u, v: long) but the roots; a root is the least node of its component.
 
-    Self-links and repeated or reversed links have no effect; an empty table gives no rows.
+    Rounds go on until the edges stay as they are, which the alternation is proven to reach in O(log^2 n) rounds. Self-links and
+    repeated or reversed links have no effect; an empty table gives no rows.
     """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = shared_table(edges, "edges")
-    before = _checksum(edges)
-    for _ in range(rounds if before[0] else 0):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = shared_table(_star(both, large=True), "large-star")
-        edges = shared_table(_star(edges, large=False), "small-star")
-        after = _checksum(edges)
-        if after == before:
-            return edges.withColumnRenamed("v", "root")
-        before = after
-    if before[0]:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    before, after = None, _checksum(edges)
+    while after[0] and after != before:
+        with scratch_tables(edges.sparkSession) as keep:  # the minima and the large star go with their round
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            edges = shared_table(_star(both, large=True), "large-star")
+            edges, _ = keep(_star(edges, large=False), "small-star")
+        before, after = after, _checksum(edges)
     return edges.withColumnRenamed("v", "root")

@@ -5,8 +5,10 @@ each occurrence but the first, by (id, line), covers its three lines. Covered li
 
 Defined results: a null text stays null and has no lines; a text of fewer than three lines has no window and stays as it
 is; windows of three blank lines are no repeats; rows with equal id and equal text are one record, so all of them keep or
-lose the same lines; a document whose lines all go gets an empty text; an empty table gives no rows; only the id and the text
-are read, so other columns have no effect.
+lose the same lines; rows that share an id (or have none) but not the text are records of their own, the one of the smaller
+text hash first; a null id comes before all others; a document whose lines all go gets an empty text; texts are read whole,
+however long (a text is one row, so it must fit a task); an empty table gives no rows; only the id and the text are read, so
+other columns have no effect.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, shared_table, text_hash
+from .common import WHITE, fresh, let, shared_table, text_hash
 
 #: Lines in a window.
 SPAN = 3
@@ -50,32 +52,37 @@ def covered_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return later.groupBy("__key", "__hash").agg(F.sort_array(F.array_distinct(spread)).alias("__gone"))
 
 
-def with_covered(df: DataFrame, gone: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with __gone from covered_lines, null where nothing is covered."""
-    gone = gone.withColumnRenamed("__key", "__k").withColumnRenamed("__hash", "__h")
-    met = df[key].eqNullSafe(F.col("__k")) & (text_hash(df[text]) == F.col("__h"))
-    return df.join(gone, met, "left").drop("__k", "__h")
+def with_covered(df: DataFrame, gone: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """df with one more column, and its name: the line numbers from covered_lines, null where nothing is covered.
 
+    Only the id, the hash and the line numbers are added to df's own columns, whatever their names.
+    """
+    k, h, lost = fresh(df, "gone_key", "gone_hash", "gone_lines")
+    gone = gone.select(F.col("__key").alias(k), F.col("__hash").alias(h), F.col("__gone").alias(lost))
+    met = df[key].eqNullSafe(gone[k]) & (text_hash(df[text]) == gone[h])
+    return df.join(gone, met, "left").drop(k, h), lost
 
-def kept_text(text: Column) -> Column:
-    """The text without the lines in __gone."""
+
+def kept_text(text: Column, gone: Column) -> Column:
+    """The text without the lines whose numbers are in gone."""
 
     def rest(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
-    return F.when(F.col("__gone").isNull(), text).otherwise(let(_lines(text), rest))
+    return F.when(gone.isNull(), text).otherwise(let(_lines(text), rest))
 
 
 def dedup_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text without its covered lines, n_lines, n_removed and n_spans (runs of removed lines), a row for each input row."""
     rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    both = with_covered(rows, covered_lines(df, key=key, text=text), key="__key", text="__text")
-    runs = F.size(F.array_except(F.col("__gone"), F.transform("__gone", lambda i: i + 1)))
+    both, lost = with_covered(rows, covered_lines(df, key=key, text=text), key="__key", text="__text")
+    gone = F.col(lost)
+    runs = F.size(F.array_except(gone, F.transform(gone, lambda i: i + 1)))
     return both.select(
         F.col("__key").alias(key),
-        kept_text(F.col("__text")).alias(text),
+        kept_text(F.col("__text"), gone).alias(text),
         F.when(F.col("__text").isNull(), 0).otherwise(F.size(_lines(F.col("__text")))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(runs).cast("long").alias("n_spans"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(gone.isNull(), 0).otherwise(runs).cast("long").alias("n_spans"),
     )
