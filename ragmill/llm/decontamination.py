@@ -1,24 +1,27 @@
 """Benchmark decontamination by size-partitioned MinHash containment.
 
-A test item is a set of five-word shingles. A document contains it if it holds 0.8 or more of them. Items are partitioned
-by size, and a partition's sketch length follows from its largest size u: of floor(u / 5) + 1 shingles of such an item a
-containing document holds at least one, so the item's floor(u / 5) + 1 least hashes (a bottom sketch under one MinHash order)
-are the keys it is looked up by, and no containing document is missed, however long. Candidates are verified by exact
-containment of the shingles' words.
+A test item is a set of five-word shingles. A document contains it if it holds 0.8 or more of them. Items are partitioned by
+size (powers of two); each partition is an index of its own, whose parameter, the sketch length, follows from its largest size
+u: the u // 5 + 1 least hashes of an item under one MinHash order, or all it has, are its bottom sketch. A containing document
+misses at most n // 5 of an item's n shingles, so it holds all but n // 5 of the sketch's k keys at least, which are one or
+more. What holds that many keys is a candidate; thus the containment estimate of the sketch is used as an exact bound: no
+containing document is missed, however long. Candidates are verified by exact containment of the shingles' words. Documents
+are not sketched: every shingle of theirs is looked up.
 
-Every document's shingles are looked up as the texts stream by. The item side is the stated query set: it is broadcast if
-its measured size is below `limit` bytes; beyond that the hashes of documents meet the sketch keys in a shuffled join.
+The item side is the stated query set: it is broadcast if the measured size of its texts and hashes is below `limit` bytes;
+beyond that the hashes of documents meet the sketch keys in a shuffled join, which gives the same rows.
 
 Words are lower-case, split at ASCII white space, with ASCII punctuation stripped from their ends; words of punctuation alone
 are dropped. Defined results: null and empty texts contain nothing; items with fewer than five words have no shingle and match
-nothing; repeated items and repeated documents get a row each; ties need no order; empty tables give no rows; only ids and texts
-are read.
+nothing; texts are read whole, however long; repeated items and repeated documents get a row each, null ids are ids like any
+other; ties need no order; empty tables give no rows; only ids and texts are read, so other columns have no effect.
 """
 
 from __future__ import annotations
 
 import re
 import string
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, text_hash
+from .common import shared_table, text_hash, without_rows
 
 SHINGLE = 5
 #: Containment, as a fraction: 4 of 5.
 SHARE = (4, 5)
-#: Bytes of item text that may be broadcast.
+#: Bytes of item texts and of their hashes (9 for each byte of text at most, as a word has two or more) that may be broadcast.
 LIMIT = 16 << 20
+#: Items whose shingles a worker keeps as words.
+KEPT_ITEMS = 1024
 _WHITE = " \t\n\x0b\x0c\r"
 _TABLE = {ord(c): " " for c in _WHITE}
 #: White space to str.split() that isn't ASCII white space.
@@ -64,48 +69,76 @@ def _hashes(ws: list[str]) -> np.ndarray:
     return out
 
 
+def size_class(n: int) -> int:
+    """The largest size of the partition that an item of n shingles is in."""
+    return 1 << max(0, (n - 1).bit_length())
+
+
 def sketch_length(n: int) -> int:
-    """Keys of an item of n shingles: by its size partition (powers of two), never more than n."""
-    upper = 1 << max(0, (n - 1).bit_length())
-    return min(n, upper * (SHARE[1] - SHARE[0]) // SHARE[1] + 1)
+    """Keys of an item of n shingles: by its size partition, never more than n."""
+    return min(n, size_class(n) * (SHARE[1] - SHARE[0]) // SHARE[1] + 1)
 
 
-class Items:
-    """Test items, their sketches sorted for lookup and their shingles for the exact check."""
+def least_keys(n: int) -> int:
+    """Sketch keys that a document which contains the item holds at least."""
+    return sketch_length(n) - n * (SHARE[1] - SHARE[0]) // SHARE[1]
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.shingles, keys, owners = [], [], [], []
-        for item, text in rows:
-            ws = words(text or "")
-            h, first = np.unique(_hashes(ws), return_index=True)
-            if not len(h):
-                continue
-            k = sketch_length(len(h))
-            keys.append(h[:k])
-            owners += [len(self.ids)] * k
-            self.ids.append(item)
-            self.shingles.append({int(x): tuple(ws[i : i + SHINGLE]) for x, i in zip(h, first, strict=True)})
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.owners = self.keys[order], np.array(owners, np.int64)[order]
+
+class Partition:
+    """The items of one size class: their sketch keys, sorted, with the items that own them."""
+
+    def __init__(self, sketches: list[np.ndarray], owners: list[int], least: list[int]):
+        keys = np.concatenate(sketches)
+        who = np.repeat(np.arange(len(owners)), [len(x) for x in sketches])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.who, self.owners, self.least = keys[order], who[order], np.array(owners), np.array(least)
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
     def candidates(self, h: np.ndarray) -> np.ndarray:
-        """Items a sketch key of which is among the hashes."""
+        """Items of which so many keys are among the hashes that the text may contain them."""
         h = h[self.filter[(h >> np.uint64(48)).astype(np.int64)]]
         h = h[np.isin(h, self.keys)] if len(h) else h
         if not len(h):
             return np.zeros(0, np.int64)
-        return np.unique(self.owners[np.isin(self.keys, h)])
+        held = np.bincount(self.who[np.isin(self.keys, h)], minlength=len(self.owners))
+        return self.owners[held >= self.least]
+
+
+class Items:
+    """Test items: texts as they are, an index for each size class, and the shingles of the items met last for the exact check."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        self.ids, self.texts, made = [], [], {}
+        for item, text in rows:
+            h = np.unique(_hashes(words(text or "")))
+            if not len(h):
+                continue
+            sketches, owners, least = made.setdefault(size_class(len(h)), ([], [], []))
+            sketches.append(h[: sketch_length(len(h))])
+            owners.append(len(self.ids))
+            least.append(least_keys(len(h)))
+            self.ids.append(item)
+            self.texts.append(text)
+        self.parts = [Partition(*x) for _, x in sorted(made.items())]
+        self.kept: OrderedDict[int, dict[int, tuple[str, ...]]] = OrderedDict()
+
+    def shingles(self, i: int) -> dict[int, tuple[str, ...]]:
+        if i not in self.kept:
+            ws = words(self.texts[i])
+            h, first = np.unique(_hashes(ws), return_index=True)
+            self.kept[i] = {int(x): tuple(ws[j : j + SHINGLE]) for x, j in zip(h, first, strict=True)}
+            if len(self.kept) > KEPT_ITEMS:
+                self.kept.popitem(last=False)
+        return self.kept[i]
 
     def found(self, text: str) -> list[tuple[int, int, int]]:
         """(item, its shingles, those in the text) of all items that the text contains."""
         ws = words(text)
         h = _hashes(ws)
         out = []
-        for i in self.candidates(h).tolist():
-            own = self.shingles[i]
+        for i in [i for p in self.parts for i in p.candidates(h).tolist()]:
+            own = self.shingles(i)
             at = np.flatnonzero(np.isin(h, np.fromiter(own, np.uint64, len(own))))
             here = {tuple(ws[j : j + SHINGLE]) for j in at.tolist()}
             shared = sum(s in here for s in own.values())
@@ -133,7 +166,7 @@ def _matches(docs: DataFrame, item_kind: str, items: Items) -> DataFrame:
 
 
 def _shingle_rows(table: DataFrame, key_kind: str) -> DataFrame:
-    """__key, __hash, h, s (the shingle), n (shingles of the row), k (whether the shingle is a sketch key)."""
+    """__key, __hash, h, s (the shingle), n (shingles of the row), k (sketch keys that a document needs, on sketch keys alone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,10 +177,10 @@ def _shingle_rows(table: DataFrame, key_kind: str) -> DataFrame:
                 if n:
                     take = pa.array(np.full(n, i))
                     text = pa.array([" ".join(ws[j : j + SHINGLE]) for j in first.tolist()])
-                    keys = np.arange(n) < sketch_length(n)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), text, pa.array(np.full(n, n)), pa.array(keys)], names=["__key", "__hash", "h", "s", "n", "k"])
+                    keys = pa.array(np.full(n, least_keys(n)), mask=np.arange(n) >= sketch_length(n))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), text, pa.array(np.full(n, n)), keys], names=["__key", "__hash", "h", "s", "n", "k"])
 
-    return table.select("__key", "__hash", "__text").mapInArrow(run, f"__key {key_kind}, __hash long, h long, s string, n long, k boolean")
+    return table.select("__key", "__hash", "__text").mapInArrow(run, f"__key {key_kind}, __hash long, h long, s string, n long, k long")
 
 
 def _matches_by_join(docs: DataFrame, items: DataFrame, kinds: tuple[str, str]) -> DataFrame:
@@ -157,7 +190,8 @@ def _matches_by_join(docs: DataFrame, items: DataFrame, kinds: tuple[str, str])
     """
     d = _shingle_rows(docs, kinds[0]).select("__key", "__hash", "h", "s")
     i = _shingle_rows(items, kinds[1]).select(F.col("__key").alias("item_id"), F.col("__hash").alias("__ih"), "h", "s", "n", "k").distinct()
-    pairs = d.join(i.where("k"), ["h", "s"]).select("__key", "__hash", "item_id", "__ih", "n").distinct()
+    met = d.join(i.where("k is not null"), ["h", "s"]).select("__key", "__hash", "item_id", "__ih", "n", "k", "h").distinct()
+    pairs = met.groupBy("__key", "__hash", "item_id", "__ih", "n", "k").agg(F.count(F.lit(1)).alias("held")).where("held >= k").drop("held", "k")
     own = _null_safe(pairs, i.select("item_id", "__ih", "h", "s"), "item_id", "__ih")
     hit = _null_safe(own, d, "__key", "__hash", "h", "s").distinct()
     hit = hit.groupBy("__key", "__hash", "item_id", "__ih", "n").agg(F.count(F.lit(1)).alias("n_shared"))
@@ -182,7 +216,7 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 def _contained(df: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, limit: int) -> DataFrame:
     docs, items = _keyed(df, key, text), _keyed(benchmark, item_key, item_text)
     kinds = tuple(t.schema["__key"].dataType.simpleString() for t in (docs, items))
-    size = items.agg(F.sum(F.octet_length("__text") + 16)).first()[0] or 0
+    size = items.agg(F.sum(F.octet_length("__text") * 10 + 64)).first()[0] or 0
     if size <= limit:
         return _matches(docs, kinds[1], Items([(r["__key"], r["__text"]) for r in items.select("__key", "__text").collect()]))
     return _matches_by_join(docs, items, kinds)
@@ -195,6 +229,5 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_i
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", limit: int = LIMIT) -> DataFrame:
     """df without the documents that contain an item. Their keys are written, then met in an anti join."""
-    found = _contained(df, benchmark, key, text, item_key, item_text, limit).select(F.col("__key").alias("__k"), F.col("__hash").alias("__h")).distinct()
-    found = shared_table(found, "contaminated")
-    return df.join(found, df[key].eqNullSafe(F.col("__k")) & (text_hash(df[text]) == F.col("__h")), "left_anti")
+    found = _contained(df, benchmark, key, text, item_key, item_text, limit).select("__key", "__hash").distinct()
+    return without_rows(df, shared_table(found, "contaminated"), key=key, text=text)
