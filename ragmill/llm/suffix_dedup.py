@@ -17,12 +17,18 @@ anchor. A document's windows form runs with a common anchor place; a run's segme
    a task, so no task gathers such an anchor.
 4. `_remains`: each document's ranges are merged and its remaining bytes hashed.
 
-Hash equality (128 bits: anchor and segment, or two window hashes) stands for equality of segments.
-
-Ids are integers. Defined results: a null text has no bytes; texts below SPAN bytes stay whole; a null id sorts before all others;
-repeated rows (equal id and text) are one document, so all of them lose the same bytes; rows that share an id but not the text
-are versions of one document: what is removed at a place goes from all of them; an empty table gives no rows; only the id and the
-text are read.
+Hash equality stands for equality of segments: 64 bits of the segment among segments that share an anchor, its length included
+(a segment has at most 2 * SPAN - GRAM bytes), or 128 bits of a window where anchors are dealt on by windows.
+
+How much comes through the suffix arrays: repeats of whole segments (exact copies, and all of a passage but its first and last
+windows) are found in steps 1 and 2 by hash, before any suffix is sorted; the windows where copies begin, end or differ, whose
+segments share an anchor without being equal, come from the arrays, which are the costliest step.
+
+Ids are integers. A document is a row's id and text. Defined results: a null text has no bytes; texts below SPAN bytes stay
+whole; texts of any length are read in blocks; a null id sorts before all others; repeated rows (equal id and text) are one
+document, so all of them lose the same bytes; rows that share an id (or have none) but not the text are documents of their own,
+in the order of their texts' SHA-256; an empty table gives no rows; only the id and the text are read, so other columns have no
+effect.
 """
 
 from __future__ import annotations
@@ -43,6 +49,8 @@ GRAM = 24
 HOT = 20_000
 #: Bytes of text hashed together, and bytes of segments sorted together.
 BLOCK, SORTED = 1 << 19, 1 << 20
+#: Parts that the runs of an anchor are dealt to where they meet the table of hot anchors.
+SALTS = 32
 #: Runs that a task holds before it emits them.
 HELD = 1_500_000
 
@@ -336,8 +344,6 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.as_py() or b""
             for r in runs:
                 a, s, n = r["a"], r["s"], r["n"]
-                if s + n + SPAN - 1 > len(data):  # of another version of this document
-                    continue
                 if not r["hot"]:
                     rows.append((a, None, doc, s, None, data[s : s + n + SPAN - 1]))
                     continue
@@ -401,9 +407,7 @@ def _remains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, x in enumerate(batch.column(1)):
             data, gone = x.as_py() or b"", ranges[i].as_py() or []
             spans: list[list[int]] = []
-            for r in sorted((r["s"], min(r["e"], len(data))) for r in gone):
-                if r[0] >= r[1]:
-                    continue
+            for r in sorted((r["s"], r["e"]) for r in gone):
                 if spans and r[0] <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], r[1])
                 else:
@@ -424,22 +428,41 @@ def removed_ranges(rows: DataFrame) -> DataFrame:
     met = rows.mapInArrow(_anchors, "a long, g long, doc long, pos long").repartition("a").sortWithinPartitions("a", "g", "doc", "pos")
     events = shared_table(met.mapInArrow(_sorted_runs, _EVENTS), "runs")
     open_runs = events.where("kind = 1").select("a", "doc", "s", F.col("e").alias("n"))
-    hot = open_runs.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT).select("a", F.lit(True).alias("hot"))
-    wanted = open_runs.join(hot, "a", "left").groupBy("doc").agg(F.collect_list(F.struct("a", "s", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
+    hot = open_runs.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT)
+    # Each hot anchor once for each salt, so that its runs meet it in as many tasks.
+    hot = shared_table(hot.select("a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hot")), "hot-anchors")
+    salted = open_runs.withColumn("salt", F.pmod(F.xxhash64("doc", "s"), F.lit(SALTS)).cast("int"))
+    marked = salted.join(hot, ["a", "salt"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = marked.groupBy("doc").agg(F.collect_list(F.struct("a", "s", "n", "hot")).alias("runs"))
     fetched = rows.join(wanted.hint("merge"), "doc").select("doc", "text", "runs")
     dealt = fetched.mapInArrow(_segments, _SEGMENTS).repartition("b", "w").sortWithinPartitions("b", "w", "doc", "s")
     sorted_ranges = dealt.mapInArrow(_suffix_ranges, _EVENTS)
     return events.where("kind = 0").select("doc", "s", "e").unionByName(sorted_ranges.select("doc", "s", "e"))
 
 
+def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
+    """doc (long), key and text (binary): doc is the id where that tells documents apart, else a number in the documents' order."""
+    id_ = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    rows = df.select(id_.alias("doc"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    shared = rows.groupBy("doc", F.col("key").isNull().alias("none")).agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    shared = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    if shared.where("n > 1 or a != b").isEmpty():
+        return rows
+    every = rows.select(F.col("key").cast("long").alias("k"), digest.alias("d")).distinct().repartitionByRange("k", "d").sortWithinPartitions("k", "d")
+    # Partitions are ranges in order, and so are these numbers; written, so that they stay.
+    numbers = shared_table(every.select("k", "d", F.monotonically_increasing_id().alias("doc")), "documents")
+    met = rows.select(F.col("key"), "text", digest.alias("__d")).join(numbers.hint("merge"), F.col("key").cast("long").eqNullSafe(F.col("k")) & (F.col("__d") == F.col("d")))
+    return met.select("doc", "key", "text")
+
+
 def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 and removed (byte ranges s to e, exclusive), a row for each input row."""
-    if df.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{key} must be an integer column")
-    lowest = F.lit(-(1 << 63))
-    doc = F.coalesce(F.col(key).cast("long"), lowest)
-    rows = df.select(doc.alias("doc"), F.col(text).cast("binary").alias("text"))
-    ranges = removed_ranges(rows).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    both = rows.join(ranges.hint("merge"), "doc", "left").select("doc", "text", "ranges")
-    out = both.mapInArrow(_remains, "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<s:long,e:long>>")
-    return out.select(F.when(F.col("__id") != lowest, F.col("__id")).cast(df.schema[key].dataType).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+    rows = _documents(df, key, text)
+    ranges = removed_ranges(rows.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    both = rows.join(ranges.hint("merge"), "doc", "left").select("key", "text", "ranges")
+    out = both.mapInArrow(_remains, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<s:long,e:long>>")
+    return out.withColumnRenamed("__id", key)
