@@ -1,15 +1,17 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands name candidates, the shingle sets decide.
+"""The near-duplicates of simhash.near_duplicates by the Jaccard similarity of word shingles, which fingerprints cannot find: MinHash
+bands name candidates, the shingle sets decide.
 
-A text is the set of the XXH64 values of its five-word shingles; texts with equal sets are one node. Each node has BANDS keys of
-ROWS minima, so two texts of similarity 0.8 miss each other in all bands with probability (1 - 0.8^5)^32, about 3 in a million, and
-less above. The sets of what shares a key are compared in whole, so every link holds; nothing is linked on its sketch.
+A text is the set of the XXH64 values of its shingles; texts with equal sets are one node. Each node has BANDS keys of ROWS
+minima, so two texts of similarity 0.8 miss each other in all bands with probability (1 - 0.8^5)^32, about 3 in a million, and
+less above; for lower similarities raise BANDS. The sets of what shares a key are compared in whole, so every link holds; nothing is linked on its sketch.
 
 Keys with the same members are compared once. Of the members of a key only a spanning forest of the links is emitted, never all
 pairs. A key whose sets hold more than BLOCK shingles is dealt to pairs of blocks, all of which are compared.
 
-Defined results: a text of fewer than five words is one shingle; texts without words, null ones too, are one node; a null id is
-carried along and never names a component unless it is alone in it (component null); repeated rows get a row each; an empty table
-gives no rows; only the id and the text are read.
+Defined results: a text of fewer words than a shingle is one shingle; texts without words, null ones too, are one node; a null id is
+carried along and never names a component unless it is alone in it (component null); texts are read whole; repeated rows get a row
+each; a component's first row is the one of the least id, then of the least text hash; an empty table gives no rows; only the id and
+the text are read, so other columns have no effect.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_table, text_hash
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import shingle_hashes, with_components
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction: 4 of 5.
@@ -76,7 +78,7 @@ def _sets(shingle: int):
     return run
 
 
-def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+def forest(sets: list[np.ndarray], share: tuple[int, int] = SHARE) -> tuple[list[int], list[int]]:
     """Links that join all sets that are linked, one less than the members of each component."""
     size = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -84,7 +86,7 @@ def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     starts, label, a, b = ends - size, np.arange(len(sets)), [], []
     here = np.zeros(ids.max() + 1, bool)
     for i in range(len(sets)):
-        other = np.flatnonzero((label != label[i]) & (np.minimum(size, size[i]) * SHARE[1] >= np.maximum(size, size[i]) * SHARE[0]))
+        other = np.flatnonzero((label != label[i]) & (np.minimum(size, size[i]) * share[1] >= np.maximum(size, size[i]) * share[0]))
         if not len(other):
             continue
         own = ids[starts[i] : ends[i]]
@@ -92,7 +94,7 @@ def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
         among = np.concatenate([ids[starts[j] : ends[j]] for j in other.tolist()])
         shared = np.add.reduceat(here[among], np.cumsum(size[other]) - size[other], dtype=np.int64)
         here[own] = False
-        hit = other[shared * sum(SHARE) >= SHARE[0] * (size[other] + size[i])]
+        hit = other[shared * sum(share) >= share[0] * (size[other] + size[i])]
         found, first = np.unique(label[hit], return_index=True)
         a += [i] * len(found)
         b += hit[first].tolist()
@@ -100,12 +102,12 @@ def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Reads group, pair (of blocks), node and set, sorted by group and pair; yields links u, v."""
 
     def done(held: dict[int, np.ndarray]) -> pa.RecordBatch:
         nodes = np.array(list(held), np.int64)
-        a, b = forest(list(held.values())) if len(nodes) > 1 else ([], [])
+        a, b = forest(list(held.values()), share) if len(nodes) > 1 else ([], [])
         return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["u", "v"])
 
     at, held = None, {}
@@ -120,7 +122,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """u, v: links between nodes, at least a spanning forest of all that share a key and are similar enough."""
     nodes = shared_table(marked.where("n > 0").groupBy("node").agg(F.min(F.struct("__key", "__hash")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     cells = nodes.select("node", "n", F.explode("keys").alias("cell"))
@@ -134,17 +136,17 @@ def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE) -> DataFra
     i = F.pmod(F.xxhash64("node"), F.col("__b")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("__b") - 1), lambda j: F.least(i, j) * F.col("__b") + F.greatest(i, j))
     dealt = members.select("cell", F.explode(pairs).alias("pair"), "node").join(sets.hint("merge"), "node").select("cell", "pair", "node", "set")
-    return dealt.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(_links, "u long, v long")
+    return dealt.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(lambda x: _links(x, share), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """key, text_hash, node and component, the least key among all that links reach, a row for each input row."""
+def similar_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
+    """key, text_hash, node, component and first, as simhash.near_duplicates gives them, a row for each input row."""
     docs = df.select(F.col(key).alias("__key"), text_hash(F.col(text)).alias("__hash"), F.col(text).cast("binary").alias("__text"))
     kind = docs.schema["__key"].dataType.simpleString()
     marked = shared_table(docs.mapInArrow(_nodes(shingle), f"__key {kind}, __hash long, node long, n long, keys array<long>"), "marked")
-    roots = connected_components(links(docs, marked, shingle))
-    distinct = marked.groupBy("node").agg(F.min("__key").alias("__least"))
-    rooted = shared_table(distinct.join(roots.hint("merge"), F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"), "__least"), "rooted")
-    least = shared_table(rooted.groupBy("root").agg(F.min("__least").alias("component")), "least")
-    named = shared_table(rooted.join(least.hint("merge"), "root").select("node", "component"), "named")
-    return marked.select("__key", "__hash", "node").join(named.hint("merge"), "node").select(F.col("__key").alias(key), F.col("__hash").alias("text_hash"), "node", "component")
+    roots = connected_components(links(docs, marked, shingle, share))
+    return with_components(marked.select("__key", "__hash", "node"), "node", roots, key=key)
+
+
+#: The name that the brute-force tests know.
+near_duplicates = similar_texts
