@@ -2,17 +2,21 @@
 
 Texts become token ids, an end id after each. Texts beyond the capacity are cut so that only the first piece is short. How
 many pieces there are of each length is all the planner needs: at most `capacity` numbers, whatever the input's size. It
-works on the driver in four steps. (1) Lengths above capacity / 8 go to groups of equal cardinality and count as their group's
-largest. (2) Configurations of these few sizes are chosen: the largest size left, with the companions that fill its
-sequence best, as often as the supply lasts. (3) Actual lengths take the places of the rounded ones. (4) Smaller pieces fill
-the gaps best-fit, largest first. The plan says which ranks of each length go where; pieces get their rank in their
-length by a distributed numbering and look their place up.
+works on the driver in four steps. (1) Large lengths go to a few groups of equal cardinality and count as their group's
+largest. (2) The least number of sequences for these few sizes is a linear program over configurations (how many pieces of each
+size share a sequence), solved by column generation; its whole parts are taken. (3) Actual lengths take the places of the
+rounded ones, but for the smallest place of each configuration: so what rounding has cost is still open. (4) The pieces of these
+places, those that the whole parts have left over, and the small ones fill the gaps best-fit, largest first. Steps 1 to 4 are
+planned for several bounds of what is large, and plain best-fit from the same counts as a floor; the plan with the fewest
+sequences is taken, one by groups if they tie. It says which ranks of each length go where; pieces get their rank in their length
+by a distributed numbering and look their place up.
 
 Ids are those of the `tokenizers` file. Words are encoded once per worker and kept (the pre-tokenizer never joins a word to
 what follows a space); a text holding the special token's string is encoded by `tokenizers` itself.
 
-Defined results: a null text is an empty one and gives its end id alone; repeated rows get places of their own; an empty table
-gives no rows; only the id and the text are read.
+Defined results: a null text is an empty one and gives its end id alone; texts of any length are encoded whole; a null id has
+pieces like any other; repeated rows get places of their own; pieces of one length are interchangeable, and those that tie in id,
+piece and checksum are equal; an empty table gives no rows; only the id and the text are read, so other columns have no effect.
 """
 
 from __future__ import annotations
@@ -35,7 +39,13 @@ from .common import shared_table
 CAPACITY = 2048
 END_ID = 0
 #: Groups of equal cardinality that large lengths are rounded up in.
-GROUPS = 1024
+GROUPS = 48
+#: Lengths above the capacity divided by these are large, one plan for each.
+LARGE = (8, 4, 3)
+#: Rows of a linear program's simplex that bring no gain before it stops, and rows in all: any of them is a feasible plan.
+STALLED, STEPS = 200, 4000
+#: Pieces of one length that a task numbers together, while there are fewer than PARTS * PIECES; (length, part) pairs.
+PIECES, PARTS = 4096, 1 << 17
 #: Words that a worker keeps with their ids.
 KEPT_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
@@ -137,46 +147,126 @@ class Run:
     offset: int
 
 
-def configuration(sizes: list[int], left: list[int], capacity: int) -> dict[int, int]:
-    """Index -> how many: the largest size left and the companions that fill its sequence best, larger ones preferred."""
-    top = next(i for i, n in enumerate(left) if n)
-    room = capacity - sizes[top]
-    parent = np.full(room + 1, -1, np.int32)
-    reached = np.zeros(room + 1, bool)
-    reached[0] = True
-    for i in range(top, len(sizes)):
-        for _ in range(min(left[i] - (i == top), room // sizes[i])):
-            new = np.zeros_like(reached)
-            new[sizes[i] :] = reached[: room + 1 - sizes[i]]
-            new &= ~reached
-            if not new.any():
-                break
-            parent[new] = i
-            reached |= new
-        if reached[room]:
+def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most valuable multiset of sizes in a capacity: its value and how many of each size. A knapsack by number of pieces."""
+    most = capacity // int(sizes.min())
+    best, picks = np.zeros(capacity + 1), []
+    for _ in range(most):
+        new, pick = best.copy(), np.full(capacity + 1, -1, np.int32)
+        for i, (s, v) in enumerate(zip(sizes.tolist(), values.tolist(), strict=True)):
+            if v > 0:
+                with_i = best[: capacity + 1 - s] + v
+                better = with_i > new[s:] + 1e-12
+                new[s:][better] = with_i[better]
+                pick[s:][better] = i
+        if (pick < 0).all():
             break
-    fill = int(np.flatnonzero(reached)[-1])
-    chosen: dict[int, int] = defaultdict(int, {top: 1})
-    while fill:
-        i = int(parent[fill])
-        chosen[i] += 1
-        fill -= sizes[i]
-    return dict(chosen)
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[Run]:
-    """Places for all pieces, given how many there are of each length."""
-    runs: list[Run] = []
-    rank: dict[int, int] = defaultdict(int)
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left -> (first sequence, how many)
-    used = 0
-
-    def place(length: int, n: int, first: int, each: int, offset: int) -> None:
-        runs.append(Run(length, rank[length], rank[length] + n * each, first, each, offset))
-        rank[length] += n * each
-
-    large = [(s, histogram[s]) for s in sorted(histogram, reverse=True) if s > capacity // 8]
-    # (1) equal cardinality, cut anywhere in the descending list
+        best = new
+        picks.append(pick)
+    counts, room = np.zeros(len(sizes), np.int64), capacity
+    for pick in reversed(picks):
+        if (i := int(pick[room])) >= 0:
+            counts[i] += 1
+            room -= int(sizes[i])
+    return float(best[capacity]), counts
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:
+    """Configurations and how often the linear program takes each: least in sum, with as many places as pieces of each size.
+
+    A revised simplex: the start takes each size alone; a knapsack under the dual prices finds the column to enter.
+    """
+    m, size = len(sizes), np.array(sizes)
+    columns = np.diag([capacity // s for s in sizes]).astype(float)
+    inverse, level = np.diag(1 / np.diag(columns)), np.array(demand, float) / np.diag(columns)
+    total, stalled = level.sum(), 0
+    for _ in range(STEPS):
+        value, counts = best_configuration(size, inverse.sum(0), capacity)
+        if value <= 1 + 1e-9 or stalled > STALLED:
+            break
+        step = inverse @ counts
+        ratios = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(ratios.argmin())
+        by = ratios[out]
+        level -= by * step
+        level[out] = by
+        level = np.maximum(level, 0)
+        columns[:, out] = counts
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
+        stalled = 0 if level.sum() < total - 1e-7 else stalled + 1
+        total = level.sum()
+    return [(columns[:, j].astype(int).tolist(), float(level[j])) for j in range(m)]
+
+
+class Planner:
+    """Runs so far, the ranks that are dealt out of each length, and the gaps: room left -> (first sequence, how many)."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.runs, self.used = capacity, [], 0
+        self.rank: dict[int, int] = defaultdict(int)
+        self.gaps: dict[int, list[tuple[int, int]]] = {}
+        self.rooms: list[int] = []
+
+    def place(self, length: int, n: int, first: int, each: int, offset: int) -> None:
+        self.runs.append(Run(length, self.rank[length], self.rank[length] + n * each, first, each, offset))
+        self.rank[length] += n * each
+
+    def gap(self, room: int, first: int, n: int) -> None:
+        if room and n:
+            if room not in self.gaps:
+                self.gaps[room] = []
+                bisect.insort(self.rooms, room)
+            self.gaps[room].append((first, n))
+
+    def sequences(self, slots: list[list[tuple[int, int]]], times: int) -> None:
+        """So many sequences; each slot says which lengths take its place, one after the other."""
+        ends = sorted({int(e) for got in slots for e in np.cumsum([n for _, n in got])} | {times})
+        low, at = 0, [[0, 0] for _ in slots]
+        for high in ends:
+            n, offset = high - low, 0
+            for got, pos in zip(slots, at, strict=True):
+                if pos[0] == len(got):  # no pieces left for this place
+                    continue
+                s, count = got[pos[0]]
+                self.place(s, n, self.used + low, 1, offset)
+                offset += s
+                pos[1] += n
+                if pos[1] == count:
+                    pos[:] = [pos[0] + 1, 0]
+            self.gap(self.capacity - offset, self.used + low, n)
+            low = high
+        self.used += times
+
+    def best_fit(self, counts: dict[int, int]) -> None:
+        """All pieces, largest first, each into the least room that holds it."""
+        for s in sorted(counts, reverse=True):
+            n = counts[s]
+            while n:
+                i = bisect.bisect_left(self.rooms, s)
+                if i == len(self.rooms):
+                    new = -(-n // (self.capacity // s))
+                    self.gap(self.capacity, self.used, new)
+                    self.used += new
+                    continue
+                room = self.rooms[i]
+                first, count = self.gaps[room].pop()
+                if not self.gaps[room]:
+                    del self.gaps[room], self.rooms[i]
+                each = min(room // s, n)
+                take = min(count, n // each)
+                self.place(s, take, first, each, self.capacity - room)
+                n -= take * each
+                self.gap(room - each * s, first, take)
+                self.gap(room, first + take, count - take)
+
+
+def grouped(large: list[tuple[int, int]], groups: int) -> tuple[list[int], list[list[list[int]]]]:
+    """(length, how many), largest first, as groups of equal cardinality, cut anywhere: each group's largest length and its members.
+    Lengths that are no more than the groups are sizes as they are."""
+    if len(large) <= groups:
+        return [s for s, _ in large], [[[s, n]] for s, n in large]
     total, members, sizes = sum(n for _, n in large), [], []
     bounds = [total * (g + 1) // groups for g in range(groups)]
     seen = g = 0
@@ -185,92 +275,84 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             while bounds[g] <= seen:
                 g += 1
             take = min(n, bounds[g] - seen)
-            if len(members) and members[-1][0] == g:
+            if members and members[-1][0] == g:
                 members[-1][1].append([s, take])
             else:
                 members.append((g, [[s, take]]))
                 sizes.append(s)
             seen += take
             n -= take
-    supply = [m for _, m in members]
+    return sizes, [m for _, m in members]
+
+
+def grouping_plan(histogram: dict[int, int], capacity: int, groups: int, small: int) -> Planner:
+    """Places by linear grouping: steps 1 to 4. Lengths up to small are left to step 4."""
+    out = Planner(capacity)
+    sizes, supply = grouped([(s, histogram[s]) for s in sorted(histogram, reverse=True) if s > small], groups)
+    # Groups of one size are one size of the program.
+    for i in range(len(sizes) - 1, 0, -1):
+        if sizes[i] == sizes[i - 1]:
+            supply[i - 1] += supply.pop(i)
+            sizes.pop(i)
     left = [sum(n for _, n in m) for m in supply]
-    while any(left):
-        # (2) one configuration, as often as the supply lasts
-        chosen = configuration(sizes, left, capacity)
-        times = min(left[i] // k for i, k in chosen.items())
-        slots = []
-        for i, k in sorted(chosen.items()):
-            left[i] -= k * times
-            for _ in range(k):
-                got, need = [], times  # (3) actual lengths, largest first
-                while need:
-                    s, n = supply[i][0]
-                    take = min(n, need)
-                    got.append((s, take))
-                    need -= take
-                    supply[i][0][1] -= take
-                    if not supply[i][0][1]:
-                        supply[i].pop(0)
-                slots.append(got)
-        ends = sorted({int(e) for got in slots for e in np.cumsum([n for _, n in got])})
-        low, at = 0, [[0, 0] for _ in slots]
-        for high in ends:
-            n, offset = high - low, 0
-            for got, pos in zip(slots, at, strict=True):
-                s, count = got[pos[0]]
-                place(s, n, used + low, 1, offset)
-                offset += s
-                pos[1] += n
-                if pos[1] == count:
-                    pos[:] = [pos[0] + 1, 0]
-            if offset < capacity:
-                gaps[capacity - offset].append((used + low, n))
-            low = high
-        used += times
-    # (4) best fit, largest first
-    rooms = sorted(gaps)
-    for s in sorted((s for s in histogram if s <= capacity // 8), reverse=True):
-        n = histogram[s]
-        while n:
-            i = bisect.bisect_left(rooms, s)
-            if i == len(rooms):
-                fresh = -(-n // (capacity // s))
-                gaps[capacity].append((used, fresh))
-                rooms.append(capacity)
-                used += fresh
-                continue
-            room = rooms[i]
-            first, count = gaps[room].pop()
-            if not gaps[room]:
-                del gaps[room], rooms[i]
-            each = min(room // s, n)
-            take = min(count, n // each)
-            place(s, take, first, each, capacity - room)
-            n -= take * each
-            for rest, a, b in ((room - each * s, first, take), (room, first + take, count - take)):
-                if rest and b:
-                    if rest not in gaps or not gaps[rest]:
-                        bisect.insort(rooms, rest)
-                    gaps[rest].append((a, b))
-    return runs
+    chosen = configurations(sizes, left, capacity) if sizes else []
+    for counts, times in sorted(chosen, key=lambda x: -x[1]):
+        # Whole parts; of a size that runs out the configuration is closed.
+        times = min([int(times + 1e-6), *(left[i] // k for i, k in enumerate(counts) if k)])
+        if times:
+            slots, last = [], max(i for i, k in enumerate(counts) if k) if sum(counts) > 1 else -1
+            for i, k in enumerate(counts):
+                left[i] -= k * times
+                slots += [_taken(supply[i], times) for _ in range(k - (i == last))]
+            out.sequences(slots, times)
+    rest: dict[int, int] = defaultdict(int, {s: n for s, n in histogram.items() if s <= small})
+    for own in supply:
+        for s, n in own:
+            rest[s] += n
+    out.best_fit(rest)
+    return out
+
+
+def _taken(supply: list[list[int]], n: int) -> list[tuple[int, int]]:
+    """n actual lengths out of a group, largest first."""
+    got = []
+    while n:
+        s, have = supply[0]
+        take = min(have, n)
+        got.append((s, take))
+        n -= take
+        supply[0][1] -= take
+        if not supply[0][1]:
+            supply.pop(0)
+    return got
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[Run]:
+    """Places for all pieces, given how many there are of each length."""
+    plain = Planner(capacity)
+    plain.best_fit(histogram)
+    plans = [grouping_plan(histogram, capacity, groups, capacity // d) for d in LARGE]
+    return min([*plans, plain], key=lambda p: p.used).runs
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Adds sequence_id and offset to pieces with __key, piece and length. The table is read three times: pass a written one."""
     spark = pieces.sparkSession
-    parts = max(1, (1 << 17) // capacity)  # (length, part) pairs: at most 2^17, whatever the input's size
-    part = F.pmod(F.xxhash64("__key", "piece"), F.lit(parts)).cast("int")
-    counts = pieces.groupBy("length", part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    # At most `capacity` rows: a count for each length. Parts in proportion to them: at most PARTS + capacity, whatever the input's size.
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = max(PIECES, sum(histogram.values()) // PARTS)
+    parts = spark.createDataFrame(pa.table({"__length": pa.array(list(histogram), pa.int64()), "__parts": pa.array([-(-n // share) for n in histogram.values()], pa.int64())}))
+    part = F.pmod(F.xxhash64("__key", "piece"), F.col("__parts"))
+    dealt = pieces.join(F.broadcast(parts), pieces["length"] == parts["__length"]).withColumn("__part", part).drop("__length", "__parts")
+    counts = dealt.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    # At most `capacity` rows: a count for each length.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     runs = plan(histogram, capacity, groups)
     columns = {k: pa.array([getattr(r, k) for r in runs], pa.int64()) for k in ("length", "low", "high", "first", "each", "offset")}
     table = spark.createDataFrame(pa.table(columns))
     within = Window.partitionBy("length", "__part").orderBy("__key", "piece", "ids_crc32")
-    numbered = pieces.withColumn("__part", part).withColumn("__at", F.row_number().over(within))
-    # Both broadcasts are bounded by the capacity: 2^17 offsets, and a plan made from `capacity` counts.
+    numbered = dealt.withColumn("__at", F.row_number().over(within))
+    # Both broadcasts are bounded: PARTS + capacity offsets, and a plan made from `capacity` counts.
     ranked = numbered.join(F.broadcast(offsets), ["length", "__part"]).withColumn("__rank", F.col("__before") + F.col("__at") - 1)
     fits = (ranked["length"] == table["length"]) & (F.col("__rank") >= F.col("low")) & (F.col("__rank") < F.col("high"))
     step = F.col("__rank") - F.col("low")
