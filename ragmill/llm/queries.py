@@ -51,8 +51,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(read(spark, sf_dir, "pages"), path)
-    out = warc.read_warc(spark, path).where("record_type is not null")
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = warc.read_warc(spark, path)
+    # A quarantined gap is a row without a type: what has just been written must have none.
+    lost = F.raise_error(F.concat_ws(" ", F.lit("damaged archive:"), "path", "start", "end")).cast("string")
+    kind = F.when(F.col("record_type").isNull(), lost).otherwise(F.col("record_type"))
+    return out.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

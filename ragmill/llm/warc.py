@@ -2,15 +2,19 @@
 
 Writer: one gzip member for each record, so that a damaged one costs no other. Payloads seen before become revisit records.
 Spark has no binary sink, so members go through the text sink: a member ends in the high byte of its size, which is zero
-below 16 MiB (an empty member follows a larger one), and that byte is written as the sink's line separator. Files are thus
-plain .warc.gz streams, committed as any Spark output, and a lost executor costs a retry.
+below 16 MiB (an empty member follows a larger one), and that byte is written as the sink's line separator. A row of the sink is
+a whole file of about FILE_BYTES. Files are thus plain .warc.gz streams, committed as any Spark output, and a lost executor
+costs a retry.
 
 Reader: takes plain and gzipped archives. Where a member, a header, a length or a digest fails its check, the reader looks for
-the next valid member or version line, goes on there, and logs the bytes between as a quarantined gap.
+the next valid member or version line, goes on there, and logs the bytes between as a quarantined gap. Where a member inflates
+but holds a damaged record, only the inflated bytes between the records that hold up are logged, by their offsets in it.
 
 Defined results: a null payload is an empty one; a null id or URL leaves its header out and is read back as null; repeated rows get a
-record each, all of them responses if theirs is the least id; an empty table writes no records; an empty or wholly damaged
-archive gives no records and one gap for its bytes; other columns are not read.
+record each, all of them responses if theirs is the least id, and between equal payloads of one id there is no first; an empty
+table writes no records; an empty archive gives no records and no gap, a wholly damaged one no records and one gap for its bytes;
+payloads are written and read whole, a long one as a file of its own; a member that inflates to more than MOST_INFLATED is
+quarantined; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +33,8 @@ from .common import shared_table
 
 #: Payloads below this size are never revisits.
 LEAST = 100
-#: Records in a file, which bounds what a reading task holds.
-RECORDS = 4000
+#: Bytes after which a file is closed, and that a member may inflate to: they bound what a reading task holds.
+FILE_BYTES, MOST_INFLATED = 8 << 20, 1 << 30
 #: Parts that a digest's pages are dealt to where they meet the digest's first page.
 SALTS = 16
 
@@ -38,6 +43,7 @@ _URN = "urn:page:"
 _EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
+_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
 
 
@@ -71,10 +77,19 @@ def member(data: bytes, level: int = 3) -> bytes:
     return out if out[-1] == 0 else out + _EMPTY_MEMBER
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file: members up to FILE_BYTES or one that is longer, without the last byte."""
+    held: list[bytes] = []
+    size = 0
     for batch in batches:
-        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([member(record(i, u, p or b"", d, r))[:-1] for i, u, p, d, r in rows], pa.binary())], names=["member"])
+        for i, u, p, d, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(member(record(i, u, p or b"", d, r)))
+            size += len(held[-1])
+            if size >= FILE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["file"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["file"])
 
 
 def with_revisits(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -93,22 +108,28 @@ def with_revisits(pages: DataFrame, *, key: str = "page_id", url: str = "url", p
 def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Write a record for each row as .warc.gz archives (files named part-*) under path."""
     rows = with_revisits(pages, key=key, url=url, payload=payload)
-    members = rows.mapInArrow(_members, "member binary").select(F.col("member").cast("string"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS).text(path)
+    files = rows.mapInArrow(_files, "file binary").select(F.col("file").cast("string"))
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 # Reading
 
 
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """The member that starts at a place, and where it ends; None if it is damaged."""
-    z, out, pos = zlib.decompressobj(31), [], at
+    """The member that starts at a place, and where it ends; None if it is damaged or too large."""
+    z, out, pos, size = zlib.decompressobj(31), [], at, 0
     try:
         while not z.eof:
-            if pos >= len(data):
+            part = z.unconsumed_tail
+            if not part:
+                if pos >= len(data):
+                    return None
+                part = data[pos : pos + 65536]
+                pos += 65536
+            out.append(z.decompress(part, 1 << 20))
+            size += len(out[-1])
+            if size > MOST_INFLATED:
                 return None
-            out.append(z.decompress(data[pos : pos + 65536]))
-            pos += 65536
     except zlib.error:
         return None
     return b"".join(out), min(pos, len(data)) - len(z.unused_data)
@@ -145,51 +166,66 @@ def _parse(data: bytes, at: int) -> tuple[dict, int] | None:
     return {"fields": fields, "type": kind, "payload": payload, "digest": digest[7:] if kind == "revisit" and digest else found}, end + 4
 
 
-def salvage(data: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int]]]:
-    """(offset, record) of all records that hold up, and (start, end) of the gaps, merged and in order."""
+class Gap(NamedTuple):
+    """Quarantined bytes of an archive, or, if the member from start to end inflates, of what it inflates to."""
+
+    start: int
+    end: int
+    inner_start: int | None = None
+    inner_end: int | None = None
+
+
+def _plain(data: bytes) -> Iterator[tuple[int, int, dict | None]]:
+    """(start, end, record) all through a plain stream; a record of None is a gap."""
+    at = 0
+    while at < len(data):
+        one = _parse(data, at)
+        if one:
+            end = one[1]
+        else:
+            nearest = _LINE.search(data, at + 1)
+            end = nearest.start() if nearest else len(data)
+        yield at, end, one and one[0]
+        at = end
+
+
+def ledger(data: bytes) -> tuple[list[tuple[int, dict]], list[Gap]]:
+    """(offset, record) of all records that hold up, and the gaps between them, in order, merged where they touch."""
     view, at, records, gaps = memoryview(data), 0, [], []
+
+    def quarantine(gap: Gap) -> None:
+        if gaps and gap.inner_start is None and gaps[-1].inner_start is None and gaps[-1].end == gap.start:
+            gaps[-1] = Gap(gaps[-1].start, gap.end)
+        elif gaps and gaps[-1][:2] == gap[:2] and gaps[-1].inner_end == gap.inner_start is not None:
+            gaps[-1] = gaps[-1]._replace(inner_end=gap.inner_end)
+        else:
+            gaps.append(gap)
+
     while at < len(data):
         end = None
         if data.startswith(_MAGIC, at):
             if got := _inflate(view, at):
-                inner, own, ok = 0, [], True
-                while inner < len(got[0]) and ok:
-                    if one := _parse(got[0], inner):
-                        own.append((at, one[0]))
-                        inner = one[1]
-                    else:  # damage within a member that inflates: look on inside it
-                        ok = False
-                if ok:
-                    end = got[1]
-                    records += own
-                else:
-                    end = got[1]
-                    records += own + [(at, r) for _, r in salvage_plain(got[0], inner)]
-                    gaps.append((at, end))
+                end = got[1]
+                for a, b, one in _plain(got[0]):
+                    if one:
+                        records.append((at, one))
+                    else:
+                        quarantine(Gap(at, end, a, b))
         elif one := _parse(data, at):
             records.append((at, one[0]))
             end = one[1]
         if end is None:
             nearest = _NEXT.search(data, at + 1)
             end = nearest.start() if nearest else len(data)
-            gaps.append((at, end))
+            quarantine(Gap(at, end))
         at = end
-    merged: list[tuple[int, int]] = []
-    for a, b in gaps:
-        if merged and merged[-1][1] == a:
-            merged[-1] = (merged[-1][0], b)
-        else:
-            merged.append((a, b))
-    return records, merged
+    return records, gaps
 
 
-def salvage_plain(data: bytes, at: int) -> Iterator[tuple[int, dict]]:
-    """Later records of a plain stream whose record at a place is damaged."""
-    while m := re.compile(rb"WARC/1\.[0-9]\r\n").search(data, at + 1):
-        at = m.start()
-        while one := _parse(data, at):
-            yield at, one[0]
-            at = one[1]
+def salvage(data: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int]]]:
+    """ledger() with the gaps as (start, end) in the archive: of a member with lost records inside, the member's."""
+    records, gaps = ledger(data)
+    return records, list(dict.fromkeys(g[:2] for g in gaps))
 
 
 def _page(value: str) -> int | None:
@@ -197,23 +233,26 @@ def _page(value: str) -> int | None:
     return int(found[1]) if found else None
 
 
+_READ = {"path": pa.string(), "start": pa.int64(), "end": pa.int64(), "inner_start": pa.int64(), "inner_end": pa.int64(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64()}
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"path": pa.string(), "start": pa.int64(), "end": pa.int64(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64()}
     for batch in batches:
         for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            records, gaps = salvage(data.as_py() or b"")
-            rows = [(path, a, b) + (None,) * 7 for a, b in gaps]
+            records, gaps = ledger(data.as_py() or b"")
+            rows = [(path, *g, *(None,) * 7) for g in gaps]
             for at, r in records:
                 f, revisit = r["fields"], r["type"] == "revisit"
                 n = f.get("warc-payload-length", "")
                 size = int(n) if revisit and n.isascii() and n.isdigit() else len(r["payload"])
-                rows.append((path, at, None, _page(f.get("warc-record-id", "")), f.get("warc-target-uri"), r["type"], None if revisit else r["payload"], size, r["digest"], _page(f.get("warc-refers-to", "")) if revisit else None))
+                refers = _page(f.get("warc-refers-to", "")) if revisit else None
+                rows.append((path, at, None, None, None, _page(f.get("warc-record-id", "")), f.get("warc-target-uri"), r["type"], None if revisit else r["payload"], size, r["digest"], refers))
             for i in range(0, len(rows), 1000):
                 columns = zip(*rows[i : i + 1000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _READ.values(), strict=True)], names=list(_READ))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of all archives under path: start is the offset in the file; gaps alone have an end, and no record_type."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_read, "path string, start long, end long, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    return files.mapInArrow(_read, "path string, start long, end long, inner_start long, inner_end long, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
