@@ -1,21 +1,24 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
 Two dictionaries hold labelled text, one for each label. A text is compressed with both; the difference of the sizes, as a
-share of the text and of what is left, tells which kind it is like. A logistic fit, cross-fitted on the labelled rows, turns
-these normalised differences, and the share that compression leaves, into a probability.
-
-The fit uses a bounded sample: at most `rows` labelled documents of each label, of at most `most_bytes` bytes each, chosen by
-hash; the labels' frequencies are counted over all labelled rows that may be learnt from. Scoring reads every text whole, in
-blocks of BLOCK bytes that are each compressed afresh, so the dictionaries tell as much at the end of a text as at its start;
-labels, language, source and id are no inputs of a score.
-
-Defined results: null and empty texts get one finite score, that of the fit for no bytes; documents without a label are scored like
-any other; repeated rows get a row each; with only one label to learn from every score is that label's share; an empty
-table gives no rows; other columns are not read.
+share of the text, tells which kind it is like. A logistic fit, cross-fitted on the labelled rows, turns this normalised
+difference, and nothing else, into a probability, which thus rises or falls with it.
+
+The fit uses a bounded sample: at most `rows` labelled documents of each label, chosen by hash, and of a document of more than
+`most_bytes` bytes the blocks (BLOCK bytes each) that a hash picks from all over it; the labels' frequencies are counted over all
+labelled rows that may be learnt from. Dictionaries are trained on the whole sample; of too little text for that they are
+the text as it is, or segments that a hash picks from all over it. Scoring reads every text whole, in blocks of BLOCK bytes that are each compressed afresh, so
+the dictionaries tell as much at the end of a text as at its start; labels, language, source and id are no inputs of a score.
+
+Defined results: null and empty texts get one finite score, that of no difference; documents without a label are scored like
+any other; repeated rows get a row each, and equal texts equal scores; labels that are null or neither 0 nor 1 are no labels, an id
+with both labels is not learnt from, and of the texts of one id the one of the least hash is; with only one label to learn from
+every score is that label's share; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +29,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_hash
+
 ROWS = 2400
 MOST_BYTES = 32_768
+#: Bytes of a segment of a dictionary made of text as it is.
+SEGMENT = 512
 TRAINED_BYTES, PLAIN_BYTES = 112_640, 524_288
 LEVEL = 3
 #: Bytes that are compressed at once: beyond a few blocks a text's own history would take the dictionaries' place.
@@ -38,7 +45,7 @@ BLOCK = 16_384
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]  # for the features, then the constant
+    weights: tuple[float, ...]  # for the difference, then the constant
     centre: tuple[float, ...]
     scale: tuple[float, ...]
 
@@ -52,15 +59,13 @@ class Scorer:
         make = lambda d: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=_dictionary(d))
         self.good, self.bad = make(good), make(bad)
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
-        """The difference of the compressed sizes (good text: above 0) as a share of the text and of the smaller size, and the share
-        of the text that the smaller size is, with its logarithm."""
+    def features(self, text: bytes) -> tuple[float]:
+        """The difference of the compressed sizes (good text: above 0) as a share of the text."""
         if not text:
-            return 0.0, 1.0, 0.0, 0.0
+            return (0.0,)
         blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
         g, b = (sum(len(c.compress(x)) for x in blocks) for c in (self.good, self.bad))
-        left = min(g, b) / len(text)
-        return (b - g) / len(text), left, math.log(left), (b - g) / min(g, b)
+        return ((b - g) / len(text),)
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
@@ -69,9 +74,10 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def plain_dictionary(samples: list[bytes]) -> bytes:
-    """An even share of each sample, as it is."""
-    share = max(1, PLAIN_BYTES // max(1, len(samples)))
-    return b"\n".join(s[:share] for s in samples)[:PLAIN_BYTES] or b"\n"
+    """Text as it is: segments from all over the samples, in the order of their hashes, as many as it holds."""
+    parts = {s[i : i + SEGMENT] for s in samples for i in range(0, len(s), SEGMENT)}
+    order = sorted(parts, key=lambda p: hashlib.blake2b(p, digest_size=8).digest())
+    return b"".join(order[: max(1, PLAIN_BYTES // SEGMENT)]) or b"\n"
 
 
 def trained_dictionary(samples: list[bytes]) -> bytes:
@@ -103,45 +109,50 @@ def fit_rows(rows: list[tuple[bytes, int, int]], share: float | None = None) ->
     """rows: text, label, hash. share: of label 1 among all labels, by default among the rows.
 
     The calibration is cross-fitted: each half of the rows (by hash) is measured with dictionaries of the other half, so no row is
-    measured with its own text; the model's dictionaries are then built from all rows. Of trained and plain dictionaries the kind with
-    the better calibration (log loss) is taken.
+    measured with its own text; the model's dictionaries are then built from all rows.
     """
     if share is None:
         share = (sum(y for _, y, _ in rows) + 1) / (len(rows) + 2)
-    share, best = min(max(share, 1e-6), 1 - 1e-6), None
+    share = min(max(share, 1e-6), 1 - 1e-6)
     halves = [[(t, y) for t, y, h in rows if h % 2 == k] for k in (0, 1)]
-    of = lambda rs, k: [t for t, y in rs if t and y == k]
-    for build in (trained_dictionary, plain_dictionary):
-        every = halves[0] + halves[1]
-        good, bad = build(of(every, 1)), build(of(every, 0))
-        y = np.array([y for _, y in every], float)
-        if len(set(y)) < 2:
-            return Model(good, bad, (0.0,) * 4 + (math.log(share / (1 - share)),), (0.0,) * 4, (1.0,) * 4)
-        x = []
-        for own, other in (halves, halves[::-1]):
-            scorer = Scorer(build(of(other, 1)), build(of(other, 0)))
-            x += [scorer.features(t) for t, _ in own]
-        x = np.array(x)
-        centre, scale = x.mean(0), x.std(0) + 1e-9
-        w = logistic((x - centre) / scale, y, share)
-        p = 1 / (1 + np.exp(-np.clip((x - centre) / scale @ w[:-1] + w[-1], -30, 30)))
-        loss = -(share * np.log(p[y == 1]).mean() + (1 - share) * np.log(1 - p[y == 0]).mean())
-        if best is None or loss < best[0]:
-            best = loss, Model(good, bad, tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, scale)))
-    return best[1]
+    of = lambda rs, k: trained_dictionary([t for t, y in rs if t and y == k])
+    every = halves[0] + halves[1]
+    good, bad = of(every, 1), of(every, 0)
+    y = np.array([y for _, y in every], float)
+    if len(set(y)) < 2:
+        return Model(good, bad, (0.0, math.log(share / (1 - share))), (0.0,), (1.0,))
+    x = []
+    for own, other in (halves, halves[::-1]):
+        scorer = Scorer(of(other, 1), of(other, 0))
+        x += [scorer.features(t) for t, _ in own]
+    x = np.array(x)
+    centre, scale = x.mean(0), x.std(0) + 1e-9
+    w = logistic((x - centre) / scale, y, share)
+    return Model(good, bad, tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, scale)))
+
+
+def _blocks_of(text: Column, key: Column, most_bytes: int) -> Column:
+    """A text of up to most_bytes as it is; of a longer one so many blocks from all over it, those of the least hashes, in order."""
+    n = F.floor((F.octet_length(text) + F.lit(BLOCK - 1)) / F.lit(BLOCK)).cast("int")
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("i"))))
+    picked = F.array_sort(F.transform(F.slice(drawn, 1, max(1, most_bytes // BLOCK)), lambda x: x["i"]))
+    empty = F.lit("").cast("binary")
+    joined = F.aggregate(picked, empty, lambda whole, i: F.concat(whole, F.substring(text, i * BLOCK + 1, F.lit(BLOCK))))
+    return F.when(F.octet_length(text) <= most_bytes, text).otherwise(joined)
 
 
 def fit(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = ROWS, most_bytes: int = MOST_BYTES) -> Model:
     """Learn from labels that are not held out. The sample that reaches the driver is at most 2 * rows texts of most_bytes."""
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).where(F.col("__key").isNotNull() & F.col("__y").isin(0, 1) & ~held_out(F.col("__key")))
-    known = known.withColumn("__h", F.xxhash64(F.lit("sample"), "__key"))
+    known = known.groupBy("__key").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z").select("__key", "__y", F.xxhash64(F.lit("sample"), "__key").alias("__h"))
     picked = known.where("__y = 0").orderBy("__h", "__key").limit(rows).unionByName(known.where("__y = 1").orderBy("__h", "__key").limit(rows))
-    docs = df.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text")).where(F.octet_length("__text") <= most_bytes)
+    docs = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")).alias("__text"), text_hash(F.col(text)).alias("__hash"))
     # Broadcast: at most 2 * rows ids.
-    got = docs.join(F.broadcast(picked), "__key").select("__text", "__y", "__h").collect()
+    met = docs.join(F.broadcast(picked), "__key").select("__key", "__y", "__h", "__hash", _blocks_of(F.col("__text"), F.col("__key"), most_bytes).alias("__text"))
+    got = met.groupBy("__key", "__y", "__h").agg(F.min(F.struct("__hash", "__text")).alias("__first")).collect()  # a text for each picked id
     n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}  # two rows at most
     share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-    return fit_rows(sorted((bytes(r["__text"]), r["__y"], r["__h"] >> 7) for r in got), share)
+    return fit_rows(sorted((bytes(r["__first"]["__text"]), r["__y"], r["__h"] >> 7) for r in got), share)
 
 
 def score_documents(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,7 +163,7 @@ def score_documents(df: DataFrame, model: Model, *, key: str = "doc_id", text: s
         m = shared.value
         scorer = Scorer(m.good, m.bad)
         for batch in batches:
-            x = np.array([scorer.features(t.as_py() or b"") for t in batch.column(1)]).reshape(-1, 4)
+            x = np.array([scorer.features(t.as_py() or b"") for t in batch.column(1)]).reshape(-1, 1)
             z = (x - m.centre) / m.scale @ np.array(m.weights[:-1]) + m.weights[-1]
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(score)], names=["__key", "difference", "score"])
