@@ -80,6 +80,11 @@ def valid_gold(indices: Column, n: Column) -> Column:
     return F.filter(indices, lambda i: (i >= 0) & (i < n))
 
 
+def gold_chunk(depth_percent: Column, n: Column) -> Column:
+    """Index of the chunk at a depth: round(d / 100 * (n - 1)), half to even, at most the last."""
+    return F.least(F.bround(depth_percent / 100 * (n - 1)), n - 1).cast("int")
+
+
 def resolve_index(i: Column, n: Column) -> Column:
     """A negative index counts from the end; null if out of range."""
     j = F.when(i < 0, n + i).otherwise(i)
@@ -122,6 +127,16 @@ def penalized(logits: Column, counts: Column, *, repetition: float = 1.0, freque
     return F.zip_with(logits, counts, one)
 
 
+def held_back(logits: Column, end: Column, generated: Column, least: int) -> Column:
+    """Logits whose end token (an index) is null until so many tokens are there."""
+    return F.transform(logits, lambda x, i: F.when((i != end) | (generated >= least), x))
+
+
+def biased(logits: Column, bias: Column) -> Column:
+    """Logits with a map from token to what is added to it."""
+    return F.transform(logits, lambda x, i: x + F.coalesce(F.try_element_at(bias, i), F.lit(0.0)))
+
+
 def ends_with(tokens: Column, suffix: Column) -> Column:
     """Whether a token sequence ends in another: the test for multi-token bad words."""
     n = F.size(suffix)

@@ -39,3 +39,26 @@ def all_of(conditions: Sequence[Column]) -> Column:
     for c in conditions:
         out = out & c
     return out
+
+
+def best_of(*scores: Column) -> Column:
+    """The greatest of several scores, missing ones aside; null if all are."""
+    return F.greatest(*scores)
+
+
+def top_p_for(k: Column) -> Column:
+    """The share that K branches are pruned to: 1 - 1 / (2 K)."""
+    return F.lit(1.0) - F.lit(1.0) / (F.lit(2.0) * k)
+
+
+def user_count(configured: Column | None, request_rate: Column, observed_peak: Column) -> Column:
+    """Users of a run: as configured, else its request rate, else the observed peak; zero is missing."""
+    return first_number(configured, request_rate, observed_peak, zero_is_missing=True)
+
+
+def device_count(direct: Column | None, *sizes: Column) -> Column:
+    """Devices of a run: as given, else the product of its parallel sizes, of which missing and zero ones count as one."""
+    product = F.lit(1.0)
+    for s in sizes:
+        product = product * F.coalesce(first_number(s, zero_is_missing=True), F.lit(1.0))
+    return F.coalesce(first_number(direct, zero_is_missing=True), product)

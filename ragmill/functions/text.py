@@ -229,8 +229,86 @@ def content_valid(text: Column, least: int | None = None, most: int | None = Non
 
 
 def stable_number(text: Column) -> Column:
-    """The first 15 hex digits of the SHA-256, which a bigint holds."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+    """The first 16 hex digits of the SHA-256 as a whole number below 2^64."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+def joined_text(parts: Column, sep: str = " ") -> Column:
+    """A list of texts as one, blanks left out."""
+    return F.array_join(F.filter(parts, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), sep)
+
+
+def route(key: Column, n: int) -> Column:
+    """The engine, of n, that a key goes to: its CRC-32 modulo n."""
+    return F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")
+
+
+def shared_words(a: Column, b: Column) -> Column:
+    """How many different words two texts have in common."""
+    return F.size(F.array_intersect(F.array_distinct(words(a)), F.array_distinct(words(b))))
+
+
+def truncate_tokens(text: Column, n: int) -> Column:
+    """A text up to the end of its n-th token (a run without white space), as it is; whole if it has no more."""
+    return F.regexp_extract(text, rf"(?s)^((?:\s*+\S++){{0,{n}}}(?:\s++\z)?)", 1) if n else F.lit("")
+
+
+def context_and_question(messages: Column) -> Column:
+    """context and question of a prompt: the first user turn with content, and the user turn after it; '' if there is none."""
+    user = F.filter(messages, lambda m: m["role"] == "user")
+
+    def parts(u: Column) -> Column:
+        at = F.array_min(F.filter(F.transform(u, lambda m, i: F.when(F.coalesce(m["content"], F.lit("")) != "", i)), lambda i: i.isNotNull()))
+        text = lambda i: F.coalesce(F.get(u, i)["content"], F.lit(""))
+        return F.struct(F.coalesce(text(at), F.lit("")).alias("context"), F.coalesce(text(at + 1), F.lit("")).alias("question"))
+
+    return F.when(F.size(messages) >= 3, let(user, parts)).otherwise(F.struct(F.lit("").alias("context"), F.lit("").alias("question")))
+
+
+def exact_match(answer: Column, gold: Column) -> Column:
+    """The reward of an answer that is the gold one as it stands: 1 or 0."""
+    return F.coalesce((answer == gold).cast("int"), F.lit(0))
+
+
+def key_candidates(key: str) -> list[str]:
+    """Spellings of a parameter's name: as it is, with _ and with -; of a nested name only the first part varies, its own parts too."""
+    if "." in key:
+        head, rest = key.split(".", 1)
+        return [f"{h}.{rest}" for h in key_candidates(head)]
+    return [key, key.replace("-", "_"), key.replace("_", "-")]
+
+
+def parameter(parameters: Column, key: str) -> Column:
+    """The value of the first spelling of a name that a map of parameters has."""
+    return F.coalesce(*[F.try_element_at(parameters, F.lit(k)) for k in dict.fromkeys(key_candidates(key))])
+
+
+def one_image_mark(text: Column) -> Column:
+    """Neighbouring <image> marks as one."""
+    return F.regexp_replace(text, "(<image>)+", "<image>")
+
+
+def example_length(turns: Column, passages: Column, images: Column, image_tokens: Column | None = None) -> Column:
+    """Tokens (runs without white space) of the longest prompt that a passage makes, and the largest image's own.
+
+    turns: texts, the last one the response, the one before it with <<<EVIDENCE>>>; passages: structs of text and images (paths), null or
+    empty for none; images: of the example itself; image_tokens: a map from path to tokens.
+    """
+
+    def of(p: Column) -> Column:
+        own = F.coalesce(p["images"], F.array().cast("array<string>"))
+        marks = F.when(F.size(own) > 0, F.concat(F.array_join(F.transform(own, lambda _: F.lit("<image>")), " "), F.lit(" "))).otherwise("")
+        evidence = F.when(F.size(own) > 0, F.trim(F.concat(marks, F.coalesce(p["text"], F.lit(""))))).otherwise(F.coalesce(p["text"], F.lit("")))
+        filled = F.transform(turns, lambda t, i: F.when(i == F.size(turns) - 2, F.replace(t, F.lit("<<<EVIDENCE>>>"), evidence)).otherwise(t))
+        whole, every = F.array_join(filled, ""), F.concat(images, own)
+        marked = F.when((F.size(every) > 0) & ~F.contains(whole, F.lit("<image>")), F.concat(F.lit("<image> "), whole)).otherwise(whole)
+        largest = F.lit(0)
+        if image_tokens is not None:
+            largest = F.coalesce(F.array_max(F.transform(every, lambda x: F.coalesce(F.try_element_at(image_tokens, x), F.lit(0)))), F.lit(0))
+        return count_words(one_image_mark(marked)) + largest
+
+    none = F.array(F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("images")))
+    return F.array_max(F.transform(F.when(F.size(passages) > 0, passages).otherwise(none), of))
 
 
 REWRITES = {

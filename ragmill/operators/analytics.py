@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def column_means(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(*[F.avg(c).alias(f"avg_{c}") for c in columns])
@@ -23,6 +25,51 @@ def share(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("int"))
 
 
+def threshold_report(df: DataFrame, score: str, threshold: float) -> DataFrame:
+    """side (below, rest, all), n, percent of all, mean_score and worst (least) score; a null score is in neither side."""
+    side = F.when(F.col(score) < threshold, "below").when(F.col(score) >= threshold, "rest")
+    cells = df.select(side.alias("side"), F.col(score).alias("s")).cube("side").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean_score"), F.min("s").alias("worst"), F.grouping_id().alias("g"))
+    # At most four rows by now.
+    whole = F.max(F.when(F.col("g") == 1, F.col("n"))).over(Window.partitionBy())
+    named = cells.select(F.when(F.col("g") == 1, "all").otherwise(F.col("side")).alias("side"), "n", (F.lit(100.0) * F.col("n") / whole).alias("percent"), "mean_score", "worst")
+    return named.where("side is not null")
+
+
+def group_means(df: DataFrame, by: str, metrics: Mapping[str, str]) -> DataFrame:
+    """n and the mean of each metric (name -> column) by group; columns that df lacks are left out."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(name) for name, c in metrics.items() if c in df.columns])
+
+
+def run_means(df: DataFrame, scalars: Sequence[str], by_key: str) -> DataFrame:
+    """measure, k and value: means over runs of scalar columns (k null) and of a map's values for each of its keys."""
+    out = df.agg(*[F.avg(c).alias(c) for c in scalars]).unpivot([], list(scalars), "measure", "value").select("measure", F.lit(None).cast("int").alias("k"), "value")
+    keyed = df.select(F.explode(by_key).alias("k", "v")).groupBy("k").agg(F.avg("v").alias("value"))
+    return out.unionByName(keyed.select(F.lit(by_key).alias("measure"), F.col("k").cast("int").alias("k"), "value"))
+
+
+def means_by_label(df: DataFrame, labels: DataFrame, key: str, label: str, columns: Sequence[str]) -> DataFrame:
+    """Means of columns, and n, by a label that another system gives the same questions."""
+    return df.join(labels.select(key, label), key).groupBy(label).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns], F.count(F.lit(1)).alias("n"))
+
+
+def needle_report(df: DataFrame) -> DataFrame:
+    """Samples, those with and without a needle, and the mean number of passages; 0.0 of nothing."""
+    has = F.coalesce(F.col("has_needle"), F.lit(False))
+    return df.agg(F.count(F.lit(1)).alias("num_samples"), F.count_if(has).alias("num_positive"), F.count_if(~has).alias("num_negative"), F.coalesce(F.avg(F.size("passages")), F.lit(0.0)).alias("avg_passages"))
+
+
+def preference_accuracy(df: DataFrame, chosen: Column, rejected: Column) -> DataFrame:
+    """accuracy: how often the chosen answer's reward is the greater one, and n."""
+    return df.agg(F.avg((chosen > rejected).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def integer_report(df: DataFrame, predicted: Column, label: Column, tokens: Column, seconds: float, invalid: int = -9999999) -> DataFrame:
+    """Accuracy and invalid rate of whole-number answers, questions and tokens a second (0.0 of no time)."""
+    rate = lambda x: x / F.lit(float(seconds)) if seconds > 0 else F.lit(0.0)
+    n = F.count(F.lit(1))
+    return df.agg(F.avg((predicted == label).cast("int")).alias("accuracy"), F.avg((predicted == invalid).cast("int")).alias("invalid_rate"), n.alias("num_questions"), rate(n).alias("questions_per_second"), rate(F.sum(tokens)).alias("tokens_per_second"))
+
+
 def contingency(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """a, b, n and percent of all for the four cells, both margins and the whole (nulls mark the margins)."""
     cells = df.select(a.alias("a"), b.alias("b")).cube("a", "b").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("__g"))
@@ -71,6 +118,18 @@ def rank_buckets(df: DataFrame, rank: str, score: str, buckets: Sequence[tuple[i
     return met.select("bucket", "position", F.coalesce("n", F.lit(0)).alias("n"), (F.lit(100.0) * F.coalesce("n", F.lit(0)) / whole).alias("percent"), "mean_score")
 
 
+def task_scores(df: DataFrame, by: Sequence[str], prefix: str = "") -> DataFrame:
+    """Mean score over all tasks of a group, the least over those whose name starts with a prefix (null if none), and how many tasks."""
+    least = F.min(F.when(F.startswith("task", F.lit(prefix)), F.col("score")))
+    return df.groupBy(*by).agg(F.avg("score").alias("mean_score"), least.alias("least_of_prefix"), F.count(F.lit(1)).alias("n_tasks"))
+
+
+def placed(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """Rows of a report numbered from 1 in the order of those columns that it has. A report is small: one row for each run."""
+    keys = [c for c in order if c in df.columns]
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)))
+
+
 def wide(df: DataFrame, row: str, column: str, value: Column, values: Sequence | None = None) -> DataFrame:
     pivoted = df.groupBy(row).pivot(column, list(values)) if values else df.groupBy(row).pivot(column)
     return pivoted.agg(value)
@@ -125,19 +184,17 @@ def top_n(df: DataFrame, n: int, *order: Column, category: str | None = None) ->
 
 
 def pareto_frontier(df: DataFrame, x: str, y: str, epsilon: float = 1e-9) -> DataFrame:
-    """Points that no point of greater x beats in y. Only the best y of each x can be on it, so those are taken first."""
-    best = df.groupBy(x).agg(F.max(y).alias("__y"))
-    before = Window.orderBy(F.col(x).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    edge = best.withColumn("__m", F.max("__y").over(before)).where(F.col("__m").isNull() | (F.col("__y") >= F.col("__m") - epsilon))
-    kept = edge.select(F.col(x).alias("__x"), "__y")
-    return df.join(kept, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y"))).drop("__x", "__y").dropDuplicates([x, y])
+    """Points that no point of greater x beats in y. Only the best y of each x can be on it, so those are taken first; what greater x
+    have is carried from range to range."""
+    best = df.groupBy(x).agg(F.max(y).alias("__y")).withColumn("__x", -F.col(x))
+    edge = ranges.before(best, [], "__x", F.col("__y"), "__m", how="max").where(F.col("__m").isNull() | (F.col("__y") >= F.col("__m") - epsilon))
+    return edge.select(x, F.col("__y").alias(y))
 
 
 def non_overlapped(df: DataFrame, start: str, end: str, by: Sequence[str], *, order: Sequence[str] = ()) -> DataFrame:
-    """elapsed: the part of each interval that no interval before it (by start) in its group covers."""
-    before = Window.partitionBy(*by).orderBy(start, *order).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.coalesce(F.max(end).over(before), F.col(start))
-    return df.withColumn("elapsed", F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start), reach)))
+    """elapsed: the part of each interval that no interval before it (by start, a number) in its group covers."""
+    reached = ranges.before(df, by, start, F.col(end), "__reach", ties=order, how="max")
+    return reached.withColumn("elapsed", F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start), F.coalesce("__reach", F.col(start))))).drop("__reach")
 
 
 def interval_summary(df: DataFrame, name: str, start: str, end: str, by: Sequence[str], *, per_second: float = 1.0) -> DataFrame:
@@ -201,7 +258,7 @@ _TERM = re.compile(r"^\s*(.+?)\s*(==|!=|<=|>=|<|>)\s*(.*?)\s*$")
 def parse_filters(text: str) -> list[tuple[str, str, str]]:
     """(variable, operator, target) terms of a comma-separated conjunction; quotes around targets go."""
     out = []
-    for term in filter(str.strip, text.split(",")):
+    for term in filter(str.strip, re.findall(r"""(?:"[^"]*"|'[^']*'|[^,])+""", text)):
         if not (m := _TERM.match(term)):
             raise ValueError(f"not a filter: {term}")
         out.append((m[1], m[2], m[3].strip("'\"")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import swap
 from ..functions.base import seeded, seeded_int
+from ..functions.text import base_document_id, evidence_list, fill
 
 # Filters and projections
 
@@ -62,12 +63,70 @@ def well_formed(prompt: Column, response: Column, *, pairs: bool = False, passag
     return ok & (F.size(passages) > 0) if passages is not None else ok
 
 
+def with_metric(df: DataFrame, metric: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that have a metric, and one row with n_skipped, how many have none."""
+    return df.where(F.col(metric).isNotNull()), df.agg(F.count_if(F.col(metric).isNull()).alias("n_skipped"))
+
+
 def without_images(df: DataFrame, column: str = "images") -> tuple[DataFrame, DataFrame]:
     """The array column emptied, and how many rows that changed."""
     empty = F.slice(F.col(column), 1, 0)
     return df.withColumn(column, empty), df.agg(F.count_if(F.size(column) > 0).alias("n_modified"))
 
 
+def with_prompt(df: DataFrame, template: str, *, question: str, passages: str, top_k: int | None = None, start: str = "", end: str = "", name: str = "prompt") -> DataFrame:
+    """Adds a prompt: the template filled with the question and the first passages (passage_id, text) as evidence, in rank order."""
+    shown = F.slice(passages, 1, top_k) if top_k else F.col(passages)
+    return df.withColumn(name, fill(template, question=F.col(question), evidence=evidence_list(shown, start, end)))
+
+
+#: Columns of each training mode: name in the examples -> source.
+MODES = {
+    "sft": {"answer_input": "prompt", "answer_target": "chosen"},
+    "dpo": {"answer_input": "prompt", "chosen_answer_target": "chosen", "rejected_answer_target": "rejected"},
+    "attn_sft": {"answer_input": "prompt", "answer_target": "chosen", "gt_evidence_labels": "gt_evidence_labels"},
+}
+
+
+def mode_rows(df: DataFrame, mode: str) -> DataFrame:
+    """The columns that a training mode reads, under its names; columns that no mode reads stay."""
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode}; there are {', '.join(MODES)}")
+    sources = {c for m in MODES.values() for c in m.values()}
+    return df.select(*[c for c in df.columns if c not in sources], *[F.col(c).alias(name) for name, c in MODES[mode].items()])
+
+
+def exported(df: DataFrame, mode: str, name: str = "row") -> DataFrame:
+    """Adds a row of the shared JSON format: messages for sft and attn_sft, a conversation with chosen and rejected answers for dpo."""
+    ask = F.concat(F.lit("<image> "), "answer_input")
+    turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
+    parts = [F.array("img_path").alias("images")] + ([F.col("gt_evidence_labels")] if "gt_evidence_labels" in df.columns else [])
+    if mode == "dpo":
+        body = [F.array(turn("human", ask)).alias("conversations"), turn("gpt", F.col("chosen_answer_target")).alias("chosen"), turn("gpt", F.col("rejected_answer_target")).alias("rejected")]
+    else:
+        say = lambda who, text: F.struct(text.alias("content"), F.lit(who).alias("role"))
+        body = [F.array(say("user", ask), say("assistant", F.concat(F.lit("[ANSWER] "), "answer_target"))).alias("messages")]
+    return df.withColumn(name, F.to_json(F.struct(*body, *parts)))
+
+
+def natural_order(chunk_id: Column) -> list[Column]:
+    """Sort keys of chunk ids: the document, the number at the end (ids without one first), the id."""
+    number = F.nullif(F.regexp_extract(chunk_id, r"_(\d+)$", 1), F.lit("")).try_cast("bigint")
+    return [base_document_id(chunk_id), F.coalesce(number, F.lit(-1)), chunk_id]
+
+
+def length_order(length: Column) -> list[Column]:
+    """Sort keys of lengths as text: numbers by value, then the rest as text."""
+    n = length.try_cast("bigint")
+    return [n.isNull(), n, length]
+
+
+def queue_order(df: DataFrame, by: Sequence[str], *, arrival: str, tie: str, priority: str | None = None) -> DataFrame:
+    """turn: the order in which each queue serves its requests, by priority (least first) and arrival, or by arrival alone."""
+    keys = ([priority] if priority else []) + [arrival, tie]
+    return df.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)))
+
+
 # Sampling
 
 
@@ -122,6 +181,11 @@ def with_needle(rows: DataFrame, k: int, seed: int, *, example: str, item: str,
     return chosen.withColumn("index", F.row_number().over(Window.partitionBy(example).orderBy(position)) - 1)
 
 
+def gold_pool(df: DataFrame, ids: str, gold_rank: str, depth: int = 20) -> DataFrame:
+    """Questions with a list of at least so many passages, the gold one among the first so many."""
+    return df.where((F.size(ids) >= depth) & F.col(gold_rank).between(1, depth))
+
+
 #: Rank bins that gold passages are moved to.
 BINS = ((1, 1), (2, 5), (6, 10), (11, 15), (16, 20))
 
@@ -211,6 +275,17 @@ def from_shared(conversation: Column) -> Column:
     return F.transform(known, turn)
 
 
+def from_pair(prompt: Column, chosen: Column, rejected: Column) -> Column:
+    """chosen and rejected: canonical messages of a prompt's turns with one answer and with the other ((from, value) each)."""
+    return F.struct(from_shared(F.concat(prompt, F.array(chosen))).alias("chosen"), from_shared(F.concat(prompt, F.array(rejected))).alias("rejected"))
+
+
+def tool_call(text: Column) -> Column:
+    """name and arguments (JSON) of a function call; null for a text that is none."""
+    call = F.from_json(text, "struct<name:string,arguments:string>")
+    return F.when(call["name"].isNotNull(), call)
+
+
 def openai_messages(conversation: Column, max_turns: int | None = None) -> Column:
     """(role, content) turns from the first user turn on, at most so many."""
     table = F.create_map(*[F.lit(x) for p in ROLES.items() for x in p])

@@ -71,6 +71,14 @@ def length_normalized(logps: Column) -> Column:
     return F.aggregate(logps, F.lit(0.0), lambda a, x: a + x) / F.size(logps)
 
 
+def token_logprobs(text: Column) -> Column:
+    """Log-probabilities of tokens from JSON: a list of numbers, of objects with a logprob, or of maps from a token to such an object."""
+    numbers = F.from_json(text, "array<double>")
+    objects = F.transform(F.from_json(text, "array<struct<logprob:double>>"), lambda x: x["logprob"])
+    maps = F.transform(F.from_json(text, "array<map<string,struct<logprob:double>>>"), lambda m: F.get(F.map_values(m), 0)["logprob"])
+    return F.when(F.regexp_like(text, F.lit(r'^\s*\[\s*\{\s*"logprob"')), objects).when(F.regexp_like(text, F.lit(r"^\s*\[\s*\{")), maps).otherwise(numbers)
+
+
 def continuation_logprob(logps: Column, given: Column) -> Column:
     """A given cumulative log-probability, or the sum of the tokens'."""
     return F.coalesce(given, F.aggregate(logps, F.lit(0.0), lambda a, x: a + x))

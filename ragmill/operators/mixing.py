@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import seeded, seeded_int
+from . import ranges
 
 
 def concatenate(datasets: Mapping[str, DataFrame]) -> DataFrame:
@@ -18,36 +19,25 @@ def concatenate(datasets: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
-def numbered(df: DataFrame, by: Sequence[str], *order: Column, name: str = "row_id", parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], *order: Column, name: str = "row_id", rows: int = ranges.ROWS) -> DataFrame:
     """Gapless numbers from 0 in each group, in the order of a leading hash part, then order.
 
-    Counts of (group, part) give each part its offset, so that a group is never sorted in one task.
+    Counts of (group, part) give each part its offset, so that a group is never sorted in one task. There are as many parts as bring a
+    part of all rows down to about `rows`.
     """
-    keys = [F.col(b) for b in by]
-    part = F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
-    tagged = df.withColumn("__part", part)
+    parts = max(1, min(1 << 16, -(-df.count() // rows)))
+    tagged = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
     counts = tagged.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*keys, "__part").orderBy(*order)
+    within = Window.partitionBy(*by, "__part").orderBy(*order)
     return tagged.withColumn("__at", F.row_number().over(within)).join(offsets, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__at") - 1).drop("__part", "__at", "__before")
 
 
-def running(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, *, parts: int = 256) -> DataFrame:
-    """The sum of value over the earlier rows of the group, by a numeric order column without ties.
-
-    The range of the order is cut into equal parts; sums of (group, part) give each part its offset, and only a part is sorted in
-    one task. The table of sums has groups * parts rows.
-    """
-    ends = df.agg(F.min(order).alias("__low"), F.max(order).alias("__high"))  # one row
-    part = F.floor((F.col(order) - F.col("__low")) * F.lit(float(parts)) / (F.col("__high") - F.col("__low") + 1)).cast("int")
-    tagged = df.join(F.broadcast(ends)).withColumn("__part", part).withColumn("__v", value).drop("__low", "__high")
-    sums = tagged.groupBy(*by, "__part").agg(F.sum("__v").alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = tagged.withColumn("__at", F.coalesce(F.sum("__v").over(within), F.lit(0)))
-    return summed.join(offsets, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__v", "__at", "__before")
+def running(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str) -> DataFrame:
+    """The sum of value over the earlier rows of the group, by a numeric order column without ties. Only a range of a group is sorted in
+    one task."""
+    return ranges.before(df, by, order, value, name)
 
 
 def interleave(df: DataFrame, source: str, order: str, strategy: str = "first_exhausted") -> DataFrame:
@@ -68,8 +58,12 @@ def interleave(df: DataFrame, source: str, order: str, strategy: str = "first_ex
     return ranked
 
 
-def mix_by_weight(df: DataFrame, source: str, order: str, weights: Mapping[str, float], n: int, seed: int) -> DataFrame:
-    """n slots, each from a source drawn by weight; a source gives its rows in order and starts again at its end."""
+def mix_by_weight(df: DataFrame, source: str, order: str, weights: Mapping[str, float], n: int, seed: int, *, strategy: str | None = None) -> DataFrame:
+    """n slots, each from a source drawn by weight; a source gives its rows in order and starts again at its end.
+
+    With a strategy the mix stops earlier: first_exhausted once a source has given its last row, all_exhausted once all have,
+    all_exhausted_without_replacement there too, and sources that have run out give no more rows. n must be enough for that.
+    """
     total, bound, draw = sum(weights.values()), 0.0, F.lit(list(weights)[-1])
     u = seeded_int(seed, F.col("slot")) / F.lit(float(1 << 52))
     cuts = []
@@ -83,6 +77,12 @@ def mix_by_weight(df: DataFrame, source: str, order: str, weights: Mapping[str,
     rows = running(df, [source], order, F.lit(1), "__r")
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("__n"))
     keyed = slots.join(sizes, source).withColumn("__r", F.pmod("__k", F.col("__n")))
+    if strategy:
+        last = keyed.where(F.col("__k") == F.col("__n") - 1).agg(F.min("slot").alias("__least"), F.max("slot").alias("__most"), F.count(F.lit(1)).alias("__done"))  # one row
+        most = F.when(F.col("__done") == len(weights), F.col("__most")).otherwise(F.lit(n))
+        keyed = keyed.join(F.broadcast(last)).where(F.col("slot") <= (F.col("__least") if strategy == "first_exhausted" else most)).drop("__least", "__most", "__done")
+        if strategy == "all_exhausted_without_replacement":
+            keyed = keyed.where(F.col("__k") < F.col("__n"))
     return keyed.join(rows, [source, "__r"]).drop("__k", "__r", "__n")
 
 
@@ -132,14 +132,25 @@ def unfinished(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def fixed_blocks(df: DataFrame, length: str, block: int, by: Sequence[str], order: str) -> DataFrame:
-    """Texts of a group laid end to end and cut into blocks: start (offset), first_block and last_block that each touches.
-
-    The tail that fills no block is dropped by the caller with block_count(group) = floor(total / block).
-    """
+    """Texts of a group laid end to end and cut into blocks: start (offset), first_block and last_block that each touches."""
     out = running(df, by, order, F.col(length), "start")
     return out.withColumn("first_block", F.floor(F.col("start") / block)).withColumn("last_block", F.floor((F.col("start") + F.col(length) - 1) / block))
 
 
+def cut_blocks(df: DataFrame, ids: str, block: int, by: Sequence[str], order: str) -> DataFrame:
+    """by, block and ids: the token ids of a group laid end to end in order and cut into blocks of equal length; the tail that fills none
+    is dropped. Only the pieces of a block meet in one place."""
+    n = F.size(ids)
+    placed = running(df.where(n > 0).select(*by, order, F.col(ids).alias("__ids")), by, order, F.size("__ids"), "__start").withColumn("__n", F.size("__ids"))
+    touched = F.sequence(F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("__n") - 1) / block))
+    rows = placed.withColumn("block", F.explode(touched))
+    low = F.greatest(F.col("block") * block - F.col("__start"), F.lit(0))
+    high = F.least((F.col("block") + 1) * block - F.col("__start"), F.col("__n"))
+    piece = F.slice("__ids", (low + 1).cast("int"), (high - low).cast("int"))
+    met = rows.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct(F.col("__start").alias("s"), piece.alias("x")))).alias("__p"))
+    return met.select(*by, "block", F.flatten(F.transform("__p", lambda p: p["x"])).alias(ids)).where(F.size(ids) == block)
+
+
 def greedy_knapsacks(df: DataFrame, length: str, capacity: int, by: Sequence[str], order: str) -> DataFrame:
     """knapsack: rows of a batch packed by taking, again and again, the longest that fits. Batches are bounded by the caller's
     grouping (the trainer packs batch by batch); rows longer than the capacity get knapsack -1."""
@@ -200,6 +211,42 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(seeded(seed, F.col(key)), key)
 
 
+def shuffled_places(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """Each row's place in the seeded order, from 0. Parts are ranges of the hash; counts of parts give each its offset, so no task sorts
+    more than a part."""
+    h = seeded(seed, F.col(key))
+    tagged = df.withColumn("__h", h).withColumn("__part", F.substring("__h", 1, 4))
+    counts = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # at most 65536 rows
+    offsets = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy("__h", key)) - 1
+    return tagged.withColumn("__at", at).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__h", "__part", "__before", "__at")
+
+
+def buffer_shuffled(df: DataFrame, order: str, size: int, seed: int, name: str = "place") -> DataFrame:
+    """Each row's place, from 0, when buffers of `size` rows in order are shuffled by seed, one after the other. Order has no ties."""
+    placed = running(df.withColumn("__g", F.lit(0)), ["__g"], order, F.lit(1), "__i").drop("__g").withColumn("__b", F.floor(F.col("__i") / size))
+    at = F.row_number().over(Window.partitionBy("__b").orderBy(seeded(seed, F.col(order)), order)) - 1
+    return placed.withColumn(name, F.col("__b") * size + at).drop("__i", "__b")
+
+
+def take_skip(df: DataFrame, n: int, order: str) -> tuple[DataFrame, DataFrame]:
+    """The first n rows by an order without ties, and the others. The n-th value is found by a top-n; rows are split where they stand."""
+    if n <= 0:
+        return df.limit(0), df
+    edge = df.select(order).orderBy(order).limit(n).agg(F.max(order).alias("__edge"))  # one row
+    tagged = df.join(F.broadcast(edge))
+    return tagged.where(F.col(order) <= F.col("__edge")).drop("__edge"), tagged.where(~F.coalesce(F.col(order) <= F.col("__edge"), F.lit(False))).drop("__edge")
+
+
+def full_batches(df: DataFrame, size: int, order: str) -> DataFrame:
+    """batch and place for each row; the rows start again to fill the last batch."""
+    placed = running(df.withColumn("__g", F.lit(0)), ["__g"], order, F.lit(1), "__i").drop("__g")
+    whole = df.agg(F.count(F.lit(1)).alias("__all"))  # one row
+    end = F.ceil(F.col("__all") / size) * size - 1
+    spread = placed.join(F.broadcast(whole)).withColumn("__p", F.explode(F.sequence(F.col("__i"), end, F.col("__all"))))
+    return spread.withColumn("batch", F.floor(F.col("__p") / size)).withColumn("place", F.pmod("__p", F.lit(size))).drop("__i", "__all", "__p")
+
+
 def previous_in_batch(df: DataFrame, value: str, order: str, size: int = 1000) -> DataFrame:
     """mismatched: the value of the row before in its batch of `size` rows; a batch's first row gets its last value. row order
     numbers run gapless from 0."""

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from ..functions.arrays import argsort_desc, cosine
+from ..functions.arrays import argsort_desc
 
 KS = (1, 3, 5, 10, 25, 50, 100)
 
@@ -45,6 +45,19 @@ def rerank(lists: Column, score: str = "rerank_score") -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["p"])
 
 
+def batched_rerank(df: DataFrame, lists: str, size: int, score) -> DataFrame:
+    """Lists scored in batches of so many entries, the last one smaller if need be, then ranked: entries get batch and rerank_score.
+    score is a function of an entry's column."""
+    scored = F.transform(lists, lambda p, i: p.withField("batch", F.floor(i / size)).withField("rerank_score", score(p)))
+    return df.withColumn(lists, rerank(scored))
+
+
+def retrieved(lists: Column, *, deduplicate: bool = False, k: int | None = None) -> Column:
+    """A retriever's list under its options: without repeated texts, then cut."""
+    out = deduplicated(lists) if deduplicate else lists
+    return top(out, k) if k else out
+
+
 def top(lists: Column, k: int) -> Column:
     return F.slice(lists, 1, k)
 
@@ -60,22 +73,6 @@ def ids_by_score(ids: Column, scores: Column) -> Column:
     return F.transform(argsort_desc(scores), lambda i: F.get(ids, i))
 
 
-def top_by_cosine(queries: DataFrame, corpus: DataFrame, k: int, *, key: str = "vec_id", vector: str = "vec", spread: int = 16) -> DataFrame:
-    """query, passage and cosine rank 1 to k by exact search: ties by id, a vector never finds itself.
-
-    queries is the stated query set. Each corpus slice first keeps its own k best for a query, so what is shuffled is
-    k * slices rows a query, not the corpus.
-    """
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q"))
-    c = corpus.select(F.col(key).alias("passage_id"), F.col(vector).alias("__c"))
-    scored = c.join(q, F.col("query_id") != F.col("passage_id")).select("query_id", "passage_id", cosine(F.col("__q"), F.col("__c")).alias("score"))
-    order = (F.col("score").desc(), F.col("passage_id"))
-    sliced = Window.partitionBy("query_id", F.pmod(F.xxhash64("passage_id"), F.lit(spread))).orderBy(*order)
-    best = scored.withColumn("__r", F.row_number().over(sliced)).where(F.col("__r") <= k)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select("query_id", "passage_id", "score", "rank")
-
-
 # Measures per question
 
 
@@ -116,6 +113,13 @@ def document_in_gold(document: Column, gold: Column, *, equal: bool = False) ->
     return F.array_contains(gold, document) if equal else F.exists(gold, lambda g: F.contains(g, d))
 
 
+def query_metrics(queries: Column) -> Column:
+    """calls and mean_length (characters) of a question's queries; 0 without any."""
+    n = F.size(queries)
+    total = F.aggregate(queries, F.lit(0), lambda a, q: a + F.length(q))
+    return F.struct(n.alias("calls"), F.when(n > 0, total / n).otherwise(F.lit(0.0)).alias("mean_length"))
+
+
 # Reports
 
 

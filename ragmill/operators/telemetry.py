@@ -4,51 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranges
 
-def interpolated(value: Column, *percents: float) -> list[Column]:
-    """Linear interpolation; nulls dropped, 0.0 of nothing."""
-    return [F.coalesce(F.percentile(value, p / 100), F.lit(0.0)) for p in percents]
 
+def ranked(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, v, n (how many of the value), first (the rank of its first, from 0) and total, nulls left out.
 
-def _ranked(df: DataFrame, value: str) -> DataFrame:
-    """value, how many there are of it, the rank of its first and the count of all, from counts by value: no sort of all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select("v", "n", (F.sum("n").over(run) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    Ranks come from counts by value, a range of values at a time: neither all rows nor all values are sorted in one task, and no
+    buffer holds the values of a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    placed = ranges.before(counts, by, "v", F.col("n"), "first")
+    if not by:
+        return placed.join(F.broadcast(whole))  # one row
+    return placed.join(whole.toDF(*[f"__k{i}" for i in range(len(by))], "total"), _same(by)).drop(*[f"__k{i}" for i in range(len(by))])
+
+
+def _same(by: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for i, c in enumerate(by):
+        out = out & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return out
 
 
 def _at(rank: Column) -> Column:
     return F.max(F.when((rank >= F.col("first")) & (rank < F.col("first") + F.col("n")), F.col("v")))
 
 
+def _named(p: float) -> str:
+    return f"p{p:g}".replace(".", "_")
+
+
+def percentiles(df: DataFrame, value: str, percents: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by and p50, p90, ... by linear interpolation between ranks, exact; groups without a value are left out."""
+    out = []
+    for p in percents:
+        place = F.lit(p / 100) * (F.col("total") - 1)
+        out += [_at(F.floor(place)).cast("double").alias(f"__a{_named(p)}"), _at(F.ceil(place)).cast("double").alias(f"__b{_named(p)}"), F.max(place - F.floor(place)).alias(f"__f{_named(p)}")]
+    found = ranked(df, value, by).groupBy(*by).agg(*out)
+    a, b, f = (lambda p, k=k: F.col(f"__{k}{_named(p)}") for k in "abf")
+    return found.select(*by, *[(a(p) + (b(p) - a(p)) * f(p)).alias(_named(p)) for p in percents])
+
+
+def _beside(groups: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A report with its groups' percentiles, 0.0 where a group has no value."""
+    names = [c for c in cuts.columns if c not in by]
+    renamed = cuts.toDF(*[f"__k{i}" for i in range(len(by))], *names)
+    met = groups.join(renamed, _same(by), "left") if by else groups.join(F.broadcast(renamed), how="left", on=F.lit(True))
+    return met.select(*groups.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+
+
 def nearest_rank(df: DataFrame, value: str, percents: Sequence[float]) -> DataFrame:
     """The value at round(p * (n - 1)), half to even, for each percentile."""
-    ranked = _ranked(df, value)
-    return ranked.agg(*[_at(F.bround(F.lit(p / 100) * (F.col("total") - 1))).alias(f"p{p:g}".replace(".", "_")) for p in percents])
+    return ranked(df, value).agg(*[_at(F.bround(F.lit(p / 100) * (F.col("total") - 1))).alias(_named(p)) for p in percents])
 
 
 def length_statistics(df: DataFrame, value: str) -> DataFrame:
     """n, mean, upper median (element n // 2 of the sorted values), min, max and the population's deviation."""
-    ranked = _ranked(df, value)
+    r = ranked(df, value)
     mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
     square = F.sum(F.col("v").cast("double") * F.col("v") * F.col("n")) / F.sum("n")
-    return ranked.agg(F.sum("n").alias("n"), mean.alias("mean"), _at(F.floor(F.col("total") / 2)).alias("upper_median"), F.min("v").alias("min"), F.max("v").alias("max"), F.sqrt(square - mean * mean).alias("std_pop"))
+    return r.agg(F.sum("n").alias("n"), mean.alias("mean"), _at(F.floor(F.col("total") / 2)).alias("upper_median"), F.min("v").alias("min"), F.max("v").alias("max"), F.sqrt(square - mean * mean).alias("std_pop"))
 
 
 def length_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    p50, p90 = interpolated(F.col(value), 50, 90)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), p50.alias("p50"), p90.alias("p90"))
+    groups = df.groupBy(*by).agg(F.count(value).alias("n"), zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"))
+    return _beside(groups, percentiles(df, value, (50, 90), by), by)
 
 
 def describe(df: DataFrame, columns: Sequence[str], percents: Sequence[float] = (25, 50, 75, 90, 99, 99.9, 99.99)) -> DataFrame:
     """A row for each column: count, mean, sample deviation, min, interpolated percentiles, max."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    cuts = [F.percentile("value", p / 100).alias(f"p{p:g}".replace(".", "_")) for p in percents]
-    return long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), *cuts, F.max("value").alias("max"))
+    groups = long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return groups.join(percentiles(long, "value", percents, ["column"]), "column", "left")
 
 
 def span(start: Column, end: Column) -> Column:
@@ -63,13 +96,20 @@ def request_timing(queued: Column, scheduled: Column, first: Column, last: Colum
     return F.struct(span(queued, scheduled).alias("queue"), span(scheduled, first).alias("prefill"), span(queued, first).alias("ttft"), decode.alias("decode"), F.when(tokens > 1, decode / (tokens - 1)).otherwise(F.lit(0.0)).alias("tpot"))
 
 
+def prediction_row(example: Column, k: Column, output_tokens: Column, reward: Column, seconds: Column) -> Column:
+    """A request's row in a prediction log: its example, branches, tokens, reward and time, and time per token (0.0 of none)."""
+    per_token = F.when(output_tokens > 0, seconds / output_tokens).otherwise(F.lit(0.0))
+    return F.struct(example.alias("example_id"), k.alias("k"), output_tokens.alias("output_tokens"), reward.cast("double").alias("reward"), seconds.cast("double").alias("seconds"), per_token.alias("seconds_per_token"))
+
+
 def latency_report(df: DataFrame, wall_seconds: float | Column, columns: Sequence[str]) -> DataFrame:
-    """Requests a second and interpolated p50 and p90 of each column."""
+    """Requests a second and interpolated p50 and p90 of each column, 0.0 of nothing."""
     wall = F.lit(wall_seconds) if isinstance(wall_seconds, int | float) else wall_seconds
-    out = [F.count(F.lit(1)).alias("n_requests"), (F.count(F.lit(1)) / wall).alias("requests_per_s")]
+    out = df.agg(F.count(F.lit(1)).alias("n_requests"), (F.count(F.lit(1)) / wall).alias("requests_per_s"))
     for c in columns:
-        out += [x.alias(f"{c}_p{p}") for p, x in zip((50, 90), interpolated(F.col(c), 50, 90), strict=True)]
-    return df.agg(*out)
+        cuts = percentiles(df, c, (50, 90))
+        out = _beside(out, cuts.toDF(*[f"{c}_{p}" for p in cuts.columns]), ())
+    return out
 
 
 def group_times(df: DataFrame, group: str) -> DataFrame:
@@ -85,10 +125,9 @@ def histogram_digest(samples: DataFrame) -> DataFrame:
 
 
 def live_counts(events: DataFrame, group: str, order: str, delta: str, capacity: int) -> DataFrame:
-    """Live and free rows of a bounded store after each event (+1 or -1)."""
-    run = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    live = F.sum(delta).over(run)
-    return events.withColumn("live", live).withColumn("free", F.lit(capacity) - live)
+    """Live and free rows of a bounded store after each event (+1 or -1); order is numeric and without ties in a group."""
+    live = ranges.before(events, [group], order, F.col(delta), "live").withColumn("live", F.col("live") + F.col(delta))
+    return live.withColumn("free", F.lit(capacity) - F.col("live"))
 
 
 def workload_estimate(throughput: Column, latency_ms: Column) -> Column:

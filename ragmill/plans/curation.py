@@ -50,10 +50,10 @@ def chunk_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select doc_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: 'text' || x), list_transform(regexp_extract_all(text, '!\\[[^\\]]*\\]\\(image(\\d+)\\)', 1), lambda x: 'image' || x)))), ',') cited
-from (select doc_id, '[' || (doc_id % 7) || '] ' || left(text, 40) || ' [3] ![p](image' || (doc_id % 5) || ') [12]' as text from documents)""")
+from (select doc_id, '[' || (doc_id % 7) || '] ' || text || ' [3] ![p](image' || (doc_id % 5) || ') [12]' as text from documents)""")
 def extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda k: (F.col("doc_id") % k).cast("string")
-    text = F.concat(F.lit("["), n(7), F.lit("] "), F.left("text", F.lit(40)), F.lit(" [3] ![p](image"), n(5), F.lit(") [12]"))
+    text = F.concat(F.lit("["), n(7), F.lit("] "), "text", F.lit(" [3] ![p](image"), n(5), F.lit(") [12]"))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.citations(text), ",").alias("cited"))
 
 
@@ -65,8 +65,8 @@ def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's assistant turns as gold answers (their first three words) and its first as the prediction."""
-    c = read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.truncate_words_anywhere(F.col("text"), 3).alias("a"))
+    """Each conversation's assistant turns, whole, as gold answers and its first as the prediction."""
+    c = read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("a"))
     g = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "a"))), lambda x: x["a"]).alias("answers"))
     return g.select("conv_id", A.consensus(F.get("answers", 0), F.col("answers")).alias("accuracy"), A.normalize_answer(F.get("answers", 0)).alias("answer"))
 
@@ -186,9 +186,9 @@ def anti_unjudged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.unfinished(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""select coalesce(a.k, b.k) k, case when a.k is null then 'only_b' when b.k is null then 'only_a' else 'both' end found_in from (select distinct c_nationkey k from customer where c_acctbal > 0) a full join (select distinct s_nationkey k from supplier) b on a.k = b.k""")
+@query("""select coalesce(a.k, b.k) k, case when a.k is null then 'only_b' when b.k is null then 'only_a' else 'both' end found_in from (select distinct c_nationkey k from customer) a full join (select distinct s_nationkey k from supplier) b on a.k = b.k""")
 def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("k"))
+    a = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
     return M.key_sets(a, read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k")
 
 
@@ -207,6 +207,15 @@ def pack_fixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fixed_blocks(d, "n_chars", 2048, ["lang"], "doc_id").select("lang", "doc_id", "start", "first_block", "last_block")
 
 
+@query(f"""with w as (select lang, doc_id, unnest({_WS}) x, generate_subscripts({_WS}, 1) i from documents), r as (select lang, length(x) n, row_number() over (partition by lang order by doc_id, i) - 1 p, count(*) over (partition by lang) c from w)
+select lang, (p // 512)::bigint block, md5(string_agg(n::varchar, ',' order by p)) ids from r where p // 512 < c // 512 group by 1, 2""")
+def cut_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each language (their lengths stand for ids) laid end to end and cut into blocks of 512, without the tail."""
+    d = read(spark, sf_dir, "documents").select("lang", "doc_id", F.transform(T.words(F.col("text")), F.length).alias("ids"))
+    out = M.cut_blocks(d, "ids", 512, ["lang"], "doc_id")
+    return out.select("lang", F.col("block").cast("long").alias("block"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
 @query()
 def greedy_knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into 8192 characters, batch by batch: a batch is 500 documents of following ids, as the trainer reads them."""

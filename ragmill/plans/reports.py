@@ -227,8 +227,8 @@ def left_join_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"), F.coalesce("items", F.lit(0)).alias("n_items"))
 
 
-@query("""select r_name, n_name, p_size from region, nation, (select distinct p_size from part where p_size <= 10)""")
+@query("""select r_name, n_name, p_size from region, nation, (select distinct p_size from part)""")
 def cross_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All combinations of three parameter lists: a sweep's grid, whose size is the feature."""
-    sizes = read(spark, sf_dir, "part").where("p_size <= 10").select("p_size").distinct()
+    sizes = read(spark, sf_dir, "part").select("p_size").distinct()
     return read(spark, sf_dir, "region").select("r_name").crossJoin(read(spark, sf_dir, "nation").select("n_name")).crossJoin(sizes)

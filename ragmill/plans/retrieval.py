@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from ..functions import arrays as X
+from ..operators import matching as G
+from ..operators import mixing as M
 from ..operators import retrieval as R
+from ..operators import vectors as V
 from .base import lines, query, read
 
 _RANKED = """
@@ -20,7 +22,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, pa
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each twentieth vector asks, all vectors answer; a hit has the question's label."""
     e = read(spark, sf_dir, "embeddings")
-    found = R.top_by_cosine(e.where("vec_id % 20 = 0"), e, 10, vector="embedding")
+    found = V.top_by_cosine(e.where("vec_id % 20 = 0"), e, 10, vector="embedding")
     label = e.select("vec_id", "label")
     found = found.join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
     return found.join(label.select(F.col("vec_id").alias("passage_id"), F.col("label").alias("cl")), "passage_id")
@@ -52,14 +54,14 @@ a as (select item_id, lower(regexp_extract(text, '^(\\S+ \\S+ \\S+ \\S+)', 1)) a
 h as (select item_id, source, min(case when contains(t, a) then pos end) first_rank from d, a where a != '' group by all)
 select source, round(avg(coalesce((first_rank <= 5)::int, 0)), 6) pseudo_recall_at_5, round(avg(coalesce((first_rank <= 50)::int, 0)), 6) pseudo_recall_at_50, count(*) n_questions from h group by source""")
 def pseudo_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's documents in id order are a ranking; an item's first four words are its answer. The items are the stated query
-    set and are matched to every document; each row keeps its first hits as a bounded array, summed by item and source."""
+    """Each source's documents in id order are a ranking; an item's first four words are its answer. The items are the stated query set:
+    they are looked for where the texts stand, and the first hit of each item and source then gets its place from a numbering of ids."""
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", F.lower("text").alias("t"))
     items = read(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^(\S+ \S+ \S+ \S+)", 1)).alias("a")).where("a != ''")
-    from ..operators.mixing import running
-
-    placed = running(docs, ["source"], "doc_id", F.lit(1), "place")
-    hits = placed.join(items, F.contains("t", F.col("a"))).groupBy("item_id", "source").agg((F.min("place") + 1).alias("first_rank"))
+    found = G.contained(docs, items, keep=["source", "doc_id"], text="t", item="item_id", pattern="a")
+    first = found.groupBy("item_id", "source").agg(F.min("doc_id").alias("doc_id"))
+    placed = M.running(docs.select("source", "doc_id"), ["source"], "doc_id", F.lit(1), "place")
+    hits = first.join(placed, ["source", "doc_id"]).select("item_id", "source", (F.col("place") + 1).alias("first_rank"))
     every = items.select("item_id").join(docs.select("source").distinct())  # items x sources, both stated sets
     rate = lambda k: F.round(F.avg(F.coalesce((F.col("first_rank") <= k).cast("int"), F.lit(0))), 6)
     return every.join(hits, ["item_id", "source"], "left").groupBy("source").agg(rate(5).alias("pseudo_recall_at_5"), rate(50).alias("pseudo_recall_at_50"), F.count(F.lit(1)).alias("n_questions"))
@@ -68,8 +70,8 @@ def pseudo_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select doc_id, item_id from documents d, benchmark b where contains(d.text, rtrim(b.text, chr(10)))""")
 def contamination_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a whole item as a substring: the items are the stated query set."""
-    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    return d.join(b.withColumnRenamed("text", "item"), F.contains("text", F.regexp_replace("item", r"\n+$", ""))).select("doc_id", "item_id")
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").withColumn("item", F.regexp_replace("text", r"\n+$", ""))
+    return G.contained(d, b, keep=["doc_id"], text="text", item="item_id", pattern="item")
 
 
 @query("""with r as (select doc_id, source, row_number() over (partition by source order by n_chars desc, doc_id) as "rank" from documents),
@@ -82,7 +84,7 @@ def capped_gold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = d.join(read(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct(), "doc_id")
     best = bad.groupBy("source").agg(F.min(F.struct((-F.col("n_chars")).alias("c"), "doc_id")).alias("b"))
     ahead = F.coalesce(F.struct((-F.col("n_chars")).alias("c"), "doc_id") <= F.col("b"), F.lit(False))
-    counted = d.join(F.broadcast(best), "source", "left").groupBy("source").agg(F.count_if(ahead).alias("r"), F.count(F.lit(1)).alias("n"))
+    counted = d.join(best, "source", "left").groupBy("source").agg(F.count_if(ahead).alias("r"), F.count(F.lit(1)).alias("n"))
     return counted.select("source", R.capped_rank(F.nullif("r", F.lit(0)), F.col("n")).alias("gold_rank"))
 
 
@@ -119,16 +121,13 @@ def branch_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("""with v as (select label, list(embedding::double[] order by vec_id) d from (select * from embeddings where vec_id < 100) group by label),
-q as (select label, list(embedding::double[] order by vec_id) q from (select * from embeddings where vec_id between 100 and 149) group by label)
-select q.label query_label, v.label doc_label, round(list_sum(list_transform(q.q, lambda x: list_max(list_transform(v.d, lambda y: list_dot_product(x, y))))), 4) score from q, v""")
+@query("""with q as (select vec_id, label, embedding::double[] e from embeddings where vec_id % 20 = 0), m as (select q.vec_id, q.label ql, c.label cl, max(list_dot_product(q.e, c.embedding::double[])) m from q, embeddings c group by 1, 2, 3)
+select ql query_label, cl::bigint doc_label, round(sum(m), 4) score from m group by 1, 2""")
 def maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as documents of several vectors (ids below 100), and as questions of several (100 to 149): a stated toy of late interaction."""
+    """Late interaction: each label's vectors are a document, those of each twentieth id a question."""
     e = read(spark, sf_dir, "embeddings")
-    side = lambda rows, name: rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias(name))
-    docs = side(e.where("vec_id < 100"), "d").withColumnRenamed("label", "doc_label")
-    asks = side(e.where("vec_id between 100 and 149"), "q").withColumnRenamed("label", "query_label")
-    return asks.join(F.broadcast(docs)).select("query_label", "doc_label", F.round(X.max_sim(F.col("q"), F.col("d")), 4).alias("score"))
+    out = V.max_sim(e.where("vec_id % 20 = 0"), e, vector="embedding")
+    return out.select(F.col("query_group").alias("query_label"), F.col("doc_group").alias("doc_label"), F.round("score", 4).alias("score"))
 
 
 @query("""with c as (select conv_id, min(case when turn = 0 then text end) q, min(case when turn = 1 then text end) a from conversations group by 1)

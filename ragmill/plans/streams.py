@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import caches as K
+from ..operators import mixing as M
 from ..streaming import streams as S
-from .base import query
+from .base import query, read
 
 
 @query("""with m as (select max(ts) - interval 1 hour w from events) select date_trunc('day', ts) as start, event_type, count(*) n, round(sum(value), 4) total from events, m
@@ -34,7 +36,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = S.event_stream(spark, sf_dir)
-    return S.run_available(S.token_batches(events.withColumn("tokens", F.ceil("value")), "event_type", "tokens", "event_id", 2048), "batches")
+    worker = F.concat_ws("-", "event_type", F.pmod(F.xxhash64("user_id"), F.lit(64)).cast("string"))  # each event type has 64 buffers
+    return S.run_available(S.token_batches(events.withColumn("tokens", F.ceil("value")).withColumn("worker", worker), "worker", "tokens", "event_id", 2048), "batches")
 
 
 @query("""with r as (select event_id // 4 grp, event_id % 4 branch, s as step, -value / 100 - 0.1 * s logp, (event_id % 3)::double prior from events, (select unnest([0, 1]) s)),
@@ -45,3 +48,40 @@ def stream_branch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = e.select(F.floor(F.col("event_id") / 4).alias("grp"), (F.col("event_id") % 4).alias("branch"), "step", (-F.col("value") / 100 - 0.1 * F.col("step")).alias("logp"), (F.col("event_id") % 3).cast("double").alias("prior_logit"))
     out = S.run_available(S.branch_groups(shards, 4), "branches")
     return out.where("complete").select("grp", "step", F.round("marginal", 6).alias("marginal"))
+
+
+@query("""with m as (select max(ts) - interval 1 hour w from events), e as (select event_type, date_trunc('day', ts) - interval 1 day * k as start from events, (select unnest([0, 1]) k))
+select start, event_type, count(*) n from e, m group by 1, 2, w having start + interval 2 day <= w""")
+def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.run_available(S.sliding(S.event_stream(spark, sf_dir), "2 days", "1 day", "1 hour", "event_type"), "sliding")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""select event_id::bigint event_id, c_name from events left join customer on user_id = c_custkey""")
+def stream_with_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream met with a table on a key."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    joined = S.with_static(S.event_stream(spark, sf_dir), c, "user_id").select(F.col("event_id").cast("long").alias("event_id"), "c_name")
+    return S.run_available(joined, "static")
+
+
+@query("""with a as (select event_type g, event_id i, user_id % 50 k from events), p as (select *, lag(i) over (partition by g, k order by i) p from a),
+d as (select p.g, p.i, count(distinct b.k) n from p join a b on p.g = b.g and b.i > p.p and b.i < p.i group by 1, 2)
+select p.i::bigint event_id, p.p is not null and coalesce(d.n, 0) < 12 as hit from p left join d on p.g = d.g and p.i = d.i""")
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accesses of five caches of twelve entries, least recently used out first."""
+    a = read(spark, sf_dir, "events").select("event_type", F.col("event_id").cast("long").alias("event_id"), (F.col("user_id") % 50).alias("k"))
+    return K.replay(a, ["event_type"], "event_id", "k", 12).select("event_id", "hit")
+
+
+@query()
+def adaptive_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under adaptive replacement."""
+    a = read(spark, sf_dir, "events").select("event_type", F.col("event_id").cast("long").alias("event_id"), (F.col("user_id") % 50).alias("k"))
+    return K.replay(a, ["event_type"], "event_id", "k", 12, "arc").select("event_id", "hit")
+
+
+@query("""with r as (select doc_id, row_number() over (order by doc_id) - 1 i from documents) select doc_id::bigint doc_id, (i // 64 * 64 + row_number() over (partition by i // 64 order by md5('2:' || doc_id), doc_id) - 1)::bigint as place from r""")
+def buffer_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order in which a shuffle buffer of 64 rows gives them."""
+    return M.buffer_shuffled(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", 64, 2)

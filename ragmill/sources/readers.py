@@ -33,9 +33,9 @@ def is_json_array(spark: SparkSession, path: str) -> bool:
     return bool(head) and head[0][0].lstrip().startswith("[")
 
 
-def load(spark: SparkSession, path: str, fmt: str | None = None, *, schema: str | None = None, list_columns: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
-    """A table from a file or folder. JSON arrays and JSON lines are told apart; names makes a headerless CSV; list_columns turn
-    text into arrays."""
+def load(spark: SparkSession, path: str, fmt: str | None = None, *, schema: str | None = None, list_columns: Sequence[str] = (), names: Sequence[str] = (), index_column: bool = False, limit: int | None = None) -> DataFrame:
+    """A table from a file or folder. JSON arrays and JSON lines are told apart; names makes a headerless CSV; index_column drops a
+    CSV's first column; list_columns turn text into arrays; limit is the caller's cut."""
     fmt = fmt or format_of(path)
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt in ("csv", "tsv"):
@@ -48,9 +48,29 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, *, schema: str
         df = spark.read.text(path)
     else:
         df = reader.format(fmt).load(path)
+    if index_column:
+        df = df.drop(df.columns[0])
     for c in list_columns:
         df = df.withColumn(c, parse_list(F.col(c)))
-    return df
+    return df.limit(limit) if limit is not None else df
+
+
+def text_of(spark: SparkSession, location: str) -> str:
+    """One text from a file on any store, or from a URL."""
+    if location.startswith(("http://", "https://")):
+        from urllib.request import urlopen
+
+        with urlopen(location) as answer:
+            return answer.read().decode("utf-8")
+    return spark.read.text(location, wholetext=True).first()[0]
+
+
+def merged_json(spark: SparkSession, *paths: str) -> dict:
+    """Objects of several JSON files as one, later ones win."""
+    out: dict = {}
+    for p in paths:
+        out |= json.loads(text_of(spark, p))
+    return out
 
 
 def whole_texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -89,10 +109,7 @@ class Registry:
     @classmethod
     def read(cls, spark: SparkSession, *paths: str) -> Registry:
         """Several files are merged, later ones win."""
-        merged: dict = {}
-        for p in paths:
-            merged |= json.loads(spark.read.text(p, wholetext=True).first()[0])
-        return cls(merged)
+        return cls(merged_json(spark, *paths))
 
     def table(self, spark: SparkSession, name: str, seed: int = 0) -> DataFrame:
         if name not in self.entries:
@@ -145,10 +162,29 @@ def wide_summaries(texts: DataFrame) -> DataFrame:
     """path, task, score of summary tables: a row of task names, then a row of scores."""
     lines = F.split(F.trim("value"), r"\r?\n")
     cells = lambda i: F.split(F.get(lines, i), ",")
-    pairs = F.arrays_zip(F.slice(cells(0), 2, 10_000).alias("task"), F.slice(cells(1), 2, 10_000).alias("score"))
+    rest = lambda xs: F.slice(xs, F.lit(2), F.greatest(F.size(xs), F.lit(1)))
+    pairs = F.arrays_zip(rest(cells(0)).alias("task"), rest(cells(1)).alias("score"))
     return texts.select("path", F.explode(pairs).alias("p")).select("path", F.trim("p.task").alias("task"), F.col("p.score").try_cast("double").alias("score")).where("score is not null")
 
 
+def select_runs(found: DataFrame, *, ks: Sequence[int] = (), groups: Sequence[str] = (), names: Sequence[str] = (), scored: DataFrame | None = None) -> DataFrame:
+    """Runs of any of the K values, of a group (a part of the name) or of an exact name; all without a choice. Those in scored (run)
+    are left out."""
+    wanted = [F.col("parameters.k").isin(list(ks))] if ks else []
+    wanted += [F.contains("run", F.lit(g)) for g in groups] + ([F.col("run").isin(list(names))] if names else [])
+    if wanted:
+        test = wanted[0]
+        for w in wanted[1:]:
+            test = test | w
+        found = found.where(F.coalesce(test, F.lit(False)))
+    return found.join(scored.select("run"), "run", "left_anti") if scored is not None else found
+
+
+def cached(df: DataFrame, cache: DataFrame, question_id: Column, query: Column) -> DataFrame:
+    """Rows with their cache entry, met on the key `id-query`; null where the cache has none."""
+    return df.withColumn("cache_key", F.trim(F.concat_ws("-", question_id, query))).join(cache, "cache_key", "left")
+
+
 def history_cache(df: DataFrame, question_id: Column, query: Column, order: str) -> DataFrame:
     """cache_key of each history row, `id-query` trimmed; of equal keys the last wins."""
     keyed = df.withColumn("cache_key", F.trim(F.concat_ws("-", question_id, query)))
@@ -170,8 +206,30 @@ def indexed(datasets: Mapping[str, DataFrame], order: Mapping[str, str]) -> Data
     return concatenate({n: running(df.withColumn("__g", F.lit(0)), ["__g"], order[n], F.lit(1), "row_id").drop("__g") for n, df in datasets.items()})
 
 
-def beam_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Beam records with context length and needle depth (a share) from the file's name."""
+def rows_at(df: DataFrame, which: int | slice | Sequence[int], *, row_id: str = "row_id") -> DataFrame:
+    """Rows of a numbered table by index, slice or list (repeated ones as often as listed), with their place; negative indices count
+    from the end. The rows are counted only if that is needed."""
+    if isinstance(which, int):
+        which = [which]
+    if isinstance(which, slice):
+        plain = all(x is None or x >= 0 for x in (which.start, which.stop)) and which.stop is not None and (which.step or 1) > 0
+        start, stop, step = which.indices(which.stop if plain else df.count())
+        low, high = (start, stop - 1) if step > 0 else (stop + 1, start)
+        inside = F.col(row_id).between(low, high) & (F.pmod((F.col(row_id) - start) * (1 if step > 0 else -1), F.lit(abs(step))) == 0)
+        return df.where(inside).withColumn("place", F.expr(f"({row_id} - {start}) div {step}"))
+    n = df.count() if any(i < 0 for i in which) else 0
+    wanted = df.sparkSession.createDataFrame([(k, i if i >= 0 else n + i) for k, i in enumerate(which)], f"place long, {row_id} long")
+    return df.join(F.broadcast(wanted), row_id)  # the caller's list
+
+
+def beam_logs(spark: SparkSession, path: str, parameters: DataFrame | None = None) -> DataFrame:
+    """Beam records with context length and needle depth (a share) from the file's name, or from parameters (folder, context_length,
+    depth), a sidecar's, where it has the file's folder."""
     df = spark.read.json(path).withColumn("path", F.input_file_name())
     part = lambda p: F.nullif(F.regexp_extract("path", p, 1), F.lit("")).try_cast("int")
-    return df.withColumn("context_length", part(r"_len_(\d+)_")).withColumn("depth", part(r"_depth_(\d+)") / 100)
+    df = df.withColumn("context_length", part(r"_len_(\d+)_")).withColumn("depth", part(r"_depth_(\d+)") / 100)
+    if parameters is None:
+        return df
+    given = parameters.select("folder", F.col("context_length").alias("__c"), F.col("depth").alias("__d"))
+    met = df.withColumn("folder", F.element_at(F.split("path", "/"), -2)).join(given, "folder", "left")
+    return met.withColumn("context_length", F.coalesce("__c", "context_length")).withColumn("depth", F.coalesce("__d", "depth")).drop("__c", "__d", "folder")

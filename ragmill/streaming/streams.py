@@ -6,8 +6,6 @@ through a sink in a shared folder and returns the table, which is how a batch jo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.folders import new_path, remove
+
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """A table's files as a stream, its times as timestamps in the session's zone."""
@@ -117,13 +117,8 @@ def branch_groups(shards: DataFrame, branches: int, timeout_ms: int | None = Non
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Drain a stream into a table in the shared folder and read it."""
-    spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='ragmill-')}"
-    path = f"{base.rstrip('/')}/ragmill/{name}-{uuid.uuid4().hex}"
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, name)
     q = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
+    remove(spark, f"{path}/log")
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
