@@ -58,11 +58,14 @@ def sliding_chunks(text: Column, *, size: int = 512, parts: int | None = None, o
 def overlaps_next(chunks: Column, overlap: int) -> Column:
     """For each pair of neighbours: whether the first's last words are the second's first."""
 
-    def check(i: Column) -> Column:
-        a, b = words(F.get(chunks, i)), words(F.get(chunks, i + 1))
-        return F.slice(a, F.greatest(F.lit(1), F.size(a) - overlap + 1), overlap) == F.slice(b, 1, overlap)
+    def pairs(ws: Column) -> Column:
+        def check(i: Column) -> Column:
+            a, b = F.get(ws, i), F.get(ws, i + 1)
+            return F.slice(a, F.greatest(F.lit(1), F.size(a) - overlap + 1), overlap) == F.slice(b, 1, overlap)
 
-    return F.when(F.size(chunks) > 1, F.transform(F.sequence(F.lit(0), F.size(chunks) - 2), check)).otherwise(F.array().cast("array<boolean>"))
+        return F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(0), F.size(ws) - 2), check)).otherwise(F.array().cast("array<boolean>"))
+
+    return let(F.transform(chunks, words), pairs)
 
 
 # Templates and evidence

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,11 +27,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: One row for each order and line number, which lineitem may repeat.
-LINES = """(select l_orderkey, l_linenumber, max(l_partkey) l_partkey, max(l_suppkey) l_suppkey, max(l_discount) l_discount, max(l_tax) l_tax, max(l_returnflag) l_returnflag
- from lineitem group by 1, 2) lines"""
+#: Lines of an order under a number of their own, as lineitem may repeat an order's line number: rows stay whole.
+LINES = """(select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_discount, l_tax, l_returnflag)::int l_linenumber, l_partkey, l_suppkey, l_discount, l_tax, l_returnflag
+ from lineitem) lines"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag")
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in columns])
+    """The window is an order's, whose lines are few."""
+    columns = ("l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*columns)).cast("int")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", *columns).withColumn("l_linenumber", place)

@@ -70,7 +70,8 @@ def token_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = T.stable_number(F.col("doc_id").cast("string"))
     chunks = T.sliding_chunks(F.col("text"), size=30, overlap=10)
-    fine = F.coalesce(F.forall(F.slice(T.overlaps_next(chunks, 10), 1, F.greatest(F.size(chunks) - 3, F.lit(0))), lambda x: x), F.lit(True))
+    # The last windows are suffixes, shorter than the overlap.
+    fine = B.let(T.overlaps_next(chunks, 10), lambda x: F.forall(F.slice(x, 1, F.greatest(F.size(x) - 2, F.lit(0))), lambda y: y))
     return d.select(_long("doc_id"), F.floor(n / 16).cast("long").alias("seed15"), F.length(T.truncate_tokens(F.col("text"), 20)).alias("cut"), fine.alias("overlaps"))
 
 
