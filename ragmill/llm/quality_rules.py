@@ -58,7 +58,7 @@ def _covered(places: Column) -> Column:
 
 
 def repeated_words(ws: Column) -> Column:
-    """Words within the five-word windows that are found twice or more in ws."""
+    """Words within the five-word windows that are found twice or more in ws. A window is told by a hash of its words' hashes: 64 bits."""
 
     def among(hashes: Column) -> Column:
         at = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -70,7 +70,10 @@ def repeated_words(ws: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(at, twice))
 
-    hashed = F.transform(F.sequence(F.lit(1), F.size(ws) - WINDOW + 1), lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+
+    hashed = let(F.transform(ws, lambda w: F.xxhash64(w)), windows)
     return F.when(F.size(ws) > WINDOW, let(hashed, among)).otherwise(F.lit(0))
 
 
