@@ -4,8 +4,9 @@ Each document is measured once; every rule is evaluated once from the measuremen
 policy is a named, versioned set of rules, so applying one is a bitwise and. Ablations need the bits alone: a document
 that fails just one rule of a policy would be kept without it.
 
-Defined results: a null text is measured as an empty one and so fails FEW_WORDS; empty texts the same; repeated rows each
-get their own row; an empty table gives no rows; measures cover whole texts; only the id and the text are read.
+Defined results: a null text is measured as an empty one and so fails FEW_WORDS; empty texts the same; a null id is carried along;
+repeated rows each get their own row; there are no ties, as rows are judged one by one; an empty table gives no rows; measures cover
+whole texts, however long; only the id and the text are read, so other columns have no effect.
 """
 
 from __future__ import annotations

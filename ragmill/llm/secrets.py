@@ -5,7 +5,8 @@ The lexer reads name-value pairs of source and configuration syntax (`name = "li
 scores a literal by how sensitive the names that receive it are and by how secret-like it looks. Literals that reach
 THRESHOLD add spans of kind `lexed`. Texts are read whole.
 
-Defined results: a null text is an empty one and has no spans; repeated rows get a row each; an empty table gives no rows; only
+Defined results: a null text is an empty one and has no spans; a null id is carried along; spans that tie in their start are in the
+order of their kinds; repeated rows get a row each; an empty table gives no rows; only
 the id and the text are read. Spans count code points; their end is exclusive.
 """
 

@@ -3,8 +3,9 @@
 Each shard draws an exponential variate for a record, hash-driven and scaled by the shard's weight; the least draw wins.
 A record's draws for the old shards stay as they are when a shard joins, so it moves only if the new one wins.
 
-Defined results: a null key is a key of its own; a null text counts as no bytes and as the empty text's checksum; repeated
-rows get the same shard and a slot each; an empty table gives no rows; only the key and the text are read, so other
+Defined results: a null key is a key of its own; a null text counts as no bytes and as the empty text's checksum; texts are read
+whole, however long; equal draws go to the shard of the smaller number; repeated rows get the same shard and a slot each, rows of
+one key are in the order of their checksums and sizes, and what ties in these is equal; an empty table gives no rows; only the key and the text are read, so other
 columns, whatever their names, have no effect and are not returned.
 """
 
