@@ -71,6 +71,39 @@ def mask_labels(source: Column, target: Column, ignore: int = -100) -> Column:
     return F.concat(F.array_repeat(F.lit(ignore), F.size(source)), target)
 
 
+def pair_encoding(prompt: Column, chosen: Column, rejected: Column, cutoff: int, ignore: int = -100) -> Column:
+    """ids and labels of a prompt with a chosen and with a rejected answer under a cutoff, which the longer answer's length shares out."""
+
+    def encode(n: Column) -> Column:
+        cut = lambda xs, k: F.slice(xs, F.lit(1), k)
+        p = cut(prompt, n["source"])
+        sides = []
+        for name, answer in (("chosen", chosen), ("rejected", rejected)):
+            a = cut(answer, n["target"])
+            sides += [F.concat(p, a).alias(f"{name}_ids"), mask_labels(p, a, ignore).alias(f"{name}_labels")]
+        return F.struct(*sides)
+
+    return let(sequence_budget(F.size(prompt), F.greatest(F.size(chosen), F.size(rejected)), cutoff), encode)
+
+
+def binary_encoding(prompt: Column, answer: Column, desirable: Column, cutoff: int, ignore: int = -100) -> Column:
+    """ids, labels and tag of a prompt with an answer that is wanted or not."""
+
+    def encode(n: Column) -> Column:
+        p, a = F.slice(prompt, F.lit(1), n["source"]), F.slice(answer, F.lit(1), n["target"])
+        return F.struct(F.concat(p, a).alias("ids"), mask_labels(p, a, ignore).alias("labels"), desirable.alias("tag"))
+
+    return let(sequence_budget(F.size(prompt), F.size(answer), cutoff), encode)
+
+
+def rendered(messages: Column, ignore: int = -100) -> Column:
+    """ids, labels and loss_weights of a conversation: messages are structs of ids (tokens) and loss_weight; tokens without weight are
+    ignored as labels."""
+    weights = F.flatten(F.transform(messages, lambda m: F.transform(m["ids"], lambda _: m["loss_weight"].cast("double"))))
+    labels = F.flatten(F.transform(messages, lambda m: F.transform(m["ids"], lambda t: F.when(m["loss_weight"] > 1e-6, t).otherwise(F.lit(ignore)))))
+    return F.struct(F.flatten(F.transform(messages, lambda m: m["ids"])).alias("ids"), labels.alias("labels"), weights.alias("loss_weights"))
+
+
 def pad(xs: Column, n: Column | int, value: int) -> Column:
     n = F.lit(n) if isinstance(n, int) else n
     return F.slice(F.concat(xs, F.array_repeat(F.lit(value), F.greatest(n - F.size(xs), F.lit(0)))), F.lit(1), n)

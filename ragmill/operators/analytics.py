@@ -218,6 +218,14 @@ def profile_json(df: DataFrame, text: str) -> DataFrame:
     return keys.join(F.broadcast(whole)).select("key", "n", (F.col("__all") - F.col("n")).alias("n_missing"))
 
 
+def profile_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, least, mean and most of the sizes of list columns, and in how many rows a list is missing; 0 of nothing."""
+    long = df.select(*[F.coalesce(F.size(c), F.lit(-1)).alias(c) for c in columns]).unpivot([], list(columns), "column", "size")
+    size = F.when(F.col("size") >= 0, F.col("size"))
+    zero = lambda c, x: F.coalesce(c, F.lit(x))
+    return long.groupBy("column").agg(zero(F.min(size), 0).alias("least"), zero(F.avg(size), 0.0).alias("mean"), zero(F.max(size), 0).alias("most"), F.count_if(F.col("size") < 0).alias("n_missing"))
+
+
 def value_counts(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """The n most frequent values, ties by value."""
     return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value").limit(n)

@@ -25,13 +25,18 @@ def explode_ranked(df: DataFrame, lists: str, *, keep: Sequence[str]) -> DataFra
     return df.select(*keep, F.posexplode(lists).alias("__pos", "__p")).select(*keep, (F.col("__pos") + 1).alias("rank"), "__p.*")
 
 
-def attach_text(ranked: DataFrame, passages: DataFrame) -> DataFrame:
-    """Join passage texts by id. Of passages with one id the greatest text wins, so the join never multiplies rows.
+def attach_text(ranked: DataFrame, passages: DataFrame, *, strict: bool = False) -> DataFrame:
+    """Join passage texts by id. Of passages with one id the greatest text wins, so the join never multiplies rows. With strict an id
+    that the passages lack fails the query; otherwise its text is null.
 
     Spark chooses to broadcast the passages only if they are small by its statistics.
     """
     one = passages.groupBy("passage_id").agg(F.max("passage_content").alias("passage_content"))
-    return ranked.join(one, "passage_id", "left")
+    met = ranked.join(one.withColumn("__there", F.lit(True)), "passage_id", "left")
+    if strict:
+        lost = F.raise_error(F.concat(F.lit("no passage "), F.col("passage_id").cast("string")))
+        met = met.where(F.when(F.col("__there"), True).otherwise(lost.cast("boolean")))
+    return met.drop("__there")
 
 
 def missing_passages(ranked: DataFrame, passages: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ from ..functions import answers as A
 from ..functions import arrays as X
 from ..functions import base as B
 from ..functions import text as T
+from ..operators import analytics as N
 from ..operators import annotations as Q
 from ..operators import curation as C
 from ..operators import ensemble as E
 from ..operators import mixing as M
 from ..operators import registry
 from ..operators import retrieval as R
+from ..operators import scoring as S
 from ..operators import telemetry as L
 from ..sources import readers
 from .base import query, read
@@ -425,3 +427,74 @@ def static_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select(_long("o_custkey"), _long("o_orderkey"), "o_totalprice", "o_orderstatus")
     plan = [("retrieve", {"by": "o_custkey", "score": "o_totalprice", "tie": "o_orderkey", "ret_topk": 3}), ("verify", {"condition": "o_orderstatus != 'F'"}), ("project", {"columns": ["o_custkey", "o_orderkey", "rank"]})]
     return registry.run_plan(o, plan).withColumn("rank", F.col("rank").cast("int"))
+
+
+# Encodings and scores
+
+
+@query("""with c as (select c_custkey k, list_transform(range(0, c_custkey % 20 + 1), lambda i: 100 + i) p, list_transform(range(0, c_custkey % 7 + 1), lambda i: 200 + i) a, list_transform(range(0, c_custkey % 11 + 1), lambda i: 300 + i) b from customer),
+n as (select *, len(p) s, greatest(len(a), len(b)) t from c), m as (select *, least(case when t * 2 < 16 then 16 when s * 2 < 16 then 16 - s else floor(16 * (t / (s + t)))::int end, t) nt from n), l as (select *, least(greatest(16 - nt, 0), s) ns from m)
+select k::bigint c_custkey, array_to_string(list_concat(p[1:ns], a[1:nt]), ',') chosen_ids, array_to_string(list_concat(list_transform(range(0, ns), lambda i: -100), b[1:nt]), ',') rejected_labels, k % 2 = 0 as tag,
+ array_to_string(list_concat(list_transform(p, lambda i: -100), a), ',') rendered_labels, len(a)::double as weight from l""")
+def pair_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and labels of preference pairs and of tagged answers under a cutoff of 16, and of messages by their loss weights."""
+    k = F.col("c_custkey")
+    seq = lambda n, start: F.transform(F.sequence(F.lit(0), (k % n).cast("int")), lambda i: i + start)
+    text = lambda a: F.array_join(a.cast("array<string>"), ",")
+    c = read(spark, sf_dir, "customer").select(_long("c_custkey"), seq(20, 100).alias("p"), seq(7, 200).alias("a"), seq(11, 300).alias("b"))
+    pair = X.pair_encoding(F.col("p"), F.col("a"), F.col("b"), 16)
+    tagged = X.binary_encoding(F.col("p"), F.col("a"), k % 2 == 0, 16)
+    chat = X.rendered(F.array(F.struct(F.col("p").alias("ids"), F.lit(0.0).alias("loss_weight")), F.struct(F.col("a").alias("ids"), F.lit(1.0).alias("loss_weight"))))
+    weight = F.aggregate(chat["loss_weights"], F.lit(0.0), lambda x, y: x + y)
+    return c.select("c_custkey", text(pair["chosen_ids"]).alias("chosen_ids"), text(pair["rejected_labels"]).alias("rejected_labels"), tagged["tag"].alias("tag"), text(chat["labels"]).alias("rendered_labels"), weight.alias("weight"))
+
+
+@query("""select c_custkey::bigint c_custkey, case when c_custkey % 2 = 0 then 0.5 else length(c_name) + c_nationkey end::double score from customer""")
+def pluggable_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any Python scorer as a column; where it fails the score is the stated one."""
+
+    def scorer(question: str, references: list[str], candidate: str) -> float:
+        if int(question) % 2 == 0:
+            raise ValueError("no score")
+        return len(candidate) + float(references[0])
+
+    c = read(spark, sf_dir, "customer")
+    score = S.pluggable(scorer, on_error=0.5)(F.col("c_custkey").cast("string"), F.array(F.col("c_nationkey").cast("string")), F.col("c_name"))
+    return c.select(_long("c_custkey"), score.alias("score"))
+
+
+@query("""with t as (select conv_id, max(text) filter (where turn = 1) p, max(text) filter (where turn = 0) r from conversations group by 1),
+w as (select conv_id, s, list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y != '') ws from (select conv_id, 'p' s, p x from t where p is not null and r is not null union all select conv_id, 'r', r from t where p is not null and r is not null)),
+g as (select conv_id, s, n, array_to_string(ws[i:i + n - 1], ' ') gram from (select *, unnest(range(1, len(ws) - n + 2)) i from (select *, unnest([1, 2, 3, 4]) n from w) where len(ws) >= n)),
+k as (select conv_id, s, n, gram, count(*) c from g group by 1, 2, 3, 4), m as (select p.n, sum(least(p.c, r.c)) m from k p join k r on p.s = 'p' and r.s = 'r' and p.conv_id = r.conv_id and p.n = r.n and p.gram = r.gram group by 1),
+t4 as (select n, sum(c) t from k where s = 'p' group by 1), l as (select sum(len(ws)) filter (where s = 'p') pl, sum(len(ws)) filter (where s = 'r') rl from w),
+x as (select count(*) n, avg(ln(m.m / t4.t)) a from t4 join m using (n))
+select round(case when n < 4 then 0.0 else 100 * exp(a) * case when pl < rl then exp(1 - rl / pl) else 1.0 end end, 4) bleu from x, l""")
+def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU of all conversations' second turns against their first."""
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(n) for i, n in enumerate("rp")])
+    return S.corpus_bleu(c.where("p is not null and r is not null"), "p", "r").select(F.round("bleu", 4).alias("bleu"))
+
+
+@query("""with q as (select event_id, event_type, value, user_id, row_number() over (order by value desc, user_id desc, event_id) r from events) select event_id::bigint event_id, 'worst' as category from q where r <= 20""")
+def worst_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows by several columns of evidence."""
+    e = read(spark, sf_dir, "events").select(_long("event_id"), "value", "user_id")
+    return N.top_n(e, 20, F.col("value").desc(), F.col("user_id").desc(), F.col("event_id"), category="worst").select("event_id", "category")
+
+
+@query("""with c as (select c_custkey, count(o_orderkey) n from customer left join orders on c_custkey = o_custkey group by 1) select 'orders' as "column", min(n) filter (where n > 0)::bigint least, round(avg(n) filter (where n > 0), 6) mean, max(n) filter (where n > 0)::bigint most, count(*) filter (where n = 0) n_missing from c
+union all select 'pair', 2, 2.0, 2, 0""")
+def list_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of list columns, and how often a list is missing."""
+    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("o_orderkey").alias("orders"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.array("c_name", "c_mktsegment").alias("pair")).join(o, "c_custkey", "left")
+    p = N.profile_lists(c, ["orders", "pair"])
+    return p.select("column", _long("least"), F.round("mean", 6).alias("mean"), _long("most"), "n_missing")
+
+
+@query("""select p_partkey::bigint p_partkey, p_name as passage_content from part""")
+def strict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passage texts for ids that must all be there."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("passage_id"), F.col("p_name").alias("passage_content"))
+    return R.attach_text(p.select("passage_id"), p, strict=True).select(F.col("passage_id").alias("p_partkey"), "passage_content")

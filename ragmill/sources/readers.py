@@ -95,6 +95,8 @@ class Dataset:
 
     path: str
     fmt: str | None = None
+    folder: str | None = None
+    subset: str | None = None
     split: str | None = None
     num_samples: int | None = None
     columns: Mapping[str, str] = field(default_factory=dict)  # part -> column
@@ -115,7 +117,9 @@ class Registry:
         if name not in self.entries:
             raise KeyError(f"no data set {name}; there are {', '.join(sorted(self.entries))}")
         e = self.entries[name]
-        df = load(spark, f"{e.path}/{e.split}" if e.split else e.path, e.fmt)
+        if e.path.startswith("hub:"):
+            raise ValueError(f"{e.path}: a hub's data sets must be copied to a store first")
+        df = load(spark, "/".join(p for p in (e.path, e.folder, e.subset, e.split) if p), e.fmt)
         if e.columns:
             df = df.select(*[F.col(c).alias(part) for part, c in e.columns.items() if c in df.columns])
         if e.num_samples:
