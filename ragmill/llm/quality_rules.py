@@ -18,11 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let
+from .common import let
 
 #: Words of a repeated window.
 WINDOW = 5
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 #: Rules in the order of their bits. Each is true where a document fails. Add at the end only: ledgers keep the bits.
 RULES: dict[str, str] = {
@@ -81,18 +81,16 @@ def repeated_words(ws: Column) -> Column:
 def measure(text: Column) -> Column:
     """A struct of all measures of a text, each of its parts computed once."""
     text = F.coalesce(text, F.lit(""))
-    bare = lambda t: F.translate(t, WHITE, "")
 
     def of_words(t: Column, ws: Column) -> Column:
-        solid = bare(t)
-        lines = F.filter(F.split(t, "\n", -1), lambda x: bare(x) != "")
+        lines = F.filter(F.split(t, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^ \t-\r]")))
         return let(
             lines,
             lambda ls: F.struct(
                 F.size(ws).cast("long").alias("n_words"),
-                F.length(solid).cast("long").alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-                (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long").alias("n_exclaims"),
+                F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+                (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
                 (F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", ""))).cast("long").alias("n_letters"),
                 F.size(ls).cast("long").alias("n_lines"),
                 (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
