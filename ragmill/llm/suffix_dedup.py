@@ -440,29 +440,38 @@ def removed_ranges(rows: DataFrame) -> DataFrame:
     return events.where("kind = 0").select("doc", "s", "e").unionByName(sorted_ranges.select("doc", "s", "e"))
 
 
-def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
-    """doc (long), key and text (binary): doc is the id where that tells documents apart, else a number in the documents' order."""
-    id_ = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    rows = df.select(id_.alias("doc"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
-    shared = rows.groupBy("doc", F.col("key").isNull().alias("none")).agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
-    shared = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    if shared.where("n > 1 or a != b").isEmpty():
-        return rows
-    every = rows.select(F.col("key").cast("long").alias("k"), digest.alias("d")).distinct().repartitionByRange("k", "d").sortWithinPartitions("k", "d")
+LOWEST = -(1 << 63)
+
+
+def _documents(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc (long) and text (binary), and what doc stands for: None if it is the id (LOWEST for none), as ids tell documents apart; else
+    a table of doc, a number in the documents' order, and id."""
+    id_ = F.col(key).cast("long")
+    rows = df.select(F.coalesce(id_, F.lit(LOWEST)).alias("doc"), F.col(text).cast("binary").alias("text"))
+    kinds = df.select(F.coalesce(id_, F.lit(LOWEST)).alias("doc"), id_.isNull().alias("none"), F.xxhash64(text).alias("h"))
+    shared = kinds.groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("none").alias("c"), F.max("none").alias("d"))
+    if shared.where("a != b or c != d").isEmpty():
+        return rows, None
+    digest = F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit(""))
+    both = df.select(id_.alias("k"), digest.alias("d"), F.col(text).cast("binary").alias("text"))
+    every = both.select("k", "d").distinct().repartitionByRange("k", "d").sortWithinPartitions("k", "d")
     # Partitions are ranges in order, and so are these numbers; written, so that they stay.
-    numbers = shared_table(every.select("k", "d", F.monotonically_increasing_id().alias("doc")), "documents")
-    met = rows.select(F.col("key"), "text", digest.alias("__d")).join(numbers.hint("merge"), F.col("key").cast("long").eqNullSafe(F.col("k")) & (F.col("__d") == F.col("d")))
-    return met.select("doc", "key", "text")
+    numbers = shared_table(every.select(F.col("k").alias("id"), F.col("d").alias("digest"), F.monotonically_increasing_id().alias("doc")), "documents")
+    met = both.join(numbers.hint("merge"), F.col("k").eqNullSafe(F.col("id")) & (F.col("d") == F.col("digest")))
+    return met.select("doc", "text"), numbers.select("doc", "id")
 
 
 def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 and removed (byte ranges s to e, exclusive), a row for each input row."""
-    kind = df.schema[key].dataType.simpleString()
-    if kind not in ("tinyint", "smallint", "int", "bigint"):
+    kind = df.schema[key].dataType
+    if kind.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{key} must be an integer column")
-    rows = _documents(df, key, text)
-    ranges = removed_ranges(rows.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    both = rows.join(ranges.hint("merge"), "doc", "left").select("key", "text", "ranges")
-    out = both.mapInArrow(_remains, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<s:long,e:long>>")
-    return out.withColumnRenamed("__id", key)
+    # The texts are dealt by document twice in the same way, so that Spark shuffles them once.
+    rows, ids = _documents(df, key, text)
+    ranges = removed_ranges(rows).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    both = rows.join(ranges.hint("merge"), "doc", "left").select("doc", "text", "ranges")
+    out = both.mapInArrow(_remains, "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<s:long,e:long>>")
+    columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+    if ids is None:
+        return out.select(F.when(F.col("__id") != LOWEST, F.col("__id")).cast(kind).alias(key), *columns)
+    return out.join(ids, F.col("__id") == F.col("doc")).select(F.col("id").cast(kind).alias(key), *columns)
