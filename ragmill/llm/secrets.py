@@ -3,7 +3,7 @@
 The lexer reads name-value pairs of source and configuration syntax (`name = "literal"`, `"name": 'literal'`,
 `name := other + "rest"`, `export NAME=bare`), keeps the literals of each name, carries them through later references, and
 scores a literal by how sensitive the names that receive it are and by how secret-like it looks. Literals that reach
-THRESHOLD add spans of kind `lexed`. Texts are read whole.
+THRESHOLD add spans of kind `lexed`. In a bare value a `#` begins a comment only after white space. Texts are read whole.
 
 Defined results: a null text is an empty one and has no spans; a null id is carried along; spans that tie in their start are in the
 order of their kinds; repeated rows get a row each; an empty table gives no rows; only
@@ -31,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 _TARGET = re.compile(r"""(?<![A-Za-z0-9_$.\-])([A-Za-z_$][A-Za-z0-9_$.\-]*+)["'\]]{0,2}[ \t]*+(?:=>|:=|[=:])(?![=:])[ \t]*+""", re.ASCII)
-_TERM = re.compile(r"""(?:[rbfu]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z_$][A-Za-z0-9_$.\-]*+)(?![A-Za-z0-9+/=@!%^&*~(])|([^\s"',;#(){}\[\]]+))""", re.ASCII)
+_TERM = re.compile(r"""(?:[rbfu]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z_$][A-Za-z0-9_$.\-]*+)(?![A-Za-z0-9+/=@!%^&*~(#])|([^\s"',;#(){}\[\]][^\s"',;(){}\[\]]*+))""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)^(?:<.*>|\$?\{.*\}|%.*%|x{3,}|\*+|change_?me|example.*|your[_-].*|none|null|true|false|todo|redacted|placeholder)$")

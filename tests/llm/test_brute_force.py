@@ -380,7 +380,7 @@ def test_decontamination(spark, docs, rows, empty):
     assert sum(want.values()) > 5
     for limit in (1 << 20, 0):
         got = Counter(map(tuple, decontamination.find_contamination(docs, bench, limit=limit).select("doc_id", "item_id", "n_shingles", "n_shared").collect()))
-        assert set(got) == set(want) and (got == want or limit == 0)
+        assert got == want
         left = decontamination.drop_contaminated(docs, bench, limit=limit)
         assert Counter(r["doc_id"] for r in left.collect()) == Counter(i for i, _ in rows if not any(w[0] == i for w in want))
     assert decontamination.find_contamination(empty, bench).count() == 0
