@@ -63,12 +63,32 @@ def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", T.judge_score(F.concat(F.lit("Score: "), F.col("turn").cast("string"), F.lit(".5"))).alias("score"), T.content_valid(F.col("text"), 20, 2000).alias("valid"))
 
 
-@query()
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _cases(table: dict[str, str]) -> str:
+    return "case x " + " ".join(f"when {_quoted(a)} then {_quoted(b)}" for a, b in table.items()) + " else x end"
+
+
+def _marks() -> str:
+    out = "t"
+    for m in map(_quoted, A.MARKS):
+        out = f"replace({out}, {m}, case when contains(t, {m} || ' ') or contains(t, ' ' || {m}) or th then '' else ' ' end)"
+    return out
+
+
+@query(f"""with a as (select conv_id, turn, trim(translate(text, chr(10) || chr(9), '  ')) t from conversations where role = 'assistant'), b as (select *, regexp_matches(t, '\\d,\\d') th from a),
+k as (select conv_id, turn, t, string_split({_marks()}, '') ch from b), d as (select *, list_filter(range(1, len(ch) + 1), lambda i: ch[i] = '.' and not coalesce(ch[i + 1] between '0' and '9', false))[1:32] dr from k),
+e as (select conv_id, turn, t, array_to_string(list_filter(ch, lambda x, i: not list_contains(dr, i)), '') v from d),
+w as (select conv_id, turn, t, array_to_string(list_transform(list_filter(list_transform(list_filter(regexp_split_to_array(lower(v), '\\s+'), lambda x: x != ''), lambda x: {_cases(A.NUMBER_WORDS)}), lambda x: x not in ({", ".join(map(_quoted, A.ARTICLES))})), lambda x: {_cases(A.CONTRACTIONS)}), ' ') n from e),
+g as (select conv_id, list(t order by turn) pl, list(n order by turn) nm from w group by 1), o as (select conv_id, nm, case when len(list_distinct(pl)) > 1 then nm else pl end own from g)
+select conv_id, round(list_avg(list_transform(own, lambda x: least(1.0, (len(list_filter(own, lambda y: y = own[1])) - (x = own[1])::int) / 3.0))), 6) accuracy, nm[1] as answer from o""")
 def answer_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's assistant turns, whole, as gold answers and its first as the prediction."""
     c = read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("a"))
     g = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "a"))), lambda x: x["a"]).alias("answers"))
-    return g.select("conv_id", A.consensus(F.get("answers", 0), F.col("answers")).alias("accuracy"), A.normalize_answer(F.get("answers", 0)).alias("answer"))
+    return g.select("conv_id", F.round(A.consensus(F.get("answers", 0), F.col("answers")), 6).alias("accuracy"), A.normalize_answer(F.get("answers", 0)).alias("answer"))
 
 
 @query()

@@ -498,3 +498,16 @@ def strict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passage texts for ids that must all be there."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("passage_id"), F.col("p_name").alias("passage_content"))
     return R.attach_text(p.select("passage_id"), p, strict=True).select(F.col("passage_id").alias("p_partkey"), "passage_content")
+
+
+@query("""with t as (select conv_id, max(text) filter (where turn = 1) p, max(text) filter (where turn = 0) r from conversations group by 1),
+w as (select conv_id, s, list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y != '') ws from (select conv_id, 'p' s, p x from t where p is not null and r is not null union all select conv_id, 'r', r from t where p is not null and r is not null)),
+g as (select conv_id, s, n, array_to_string(ws[i:i + n - 1], ' ') gram from (select *, unnest(range(1, len(ws) - n + 2)) i from (select *, unnest([1, 2]) n from w) where len(ws) >= n)),
+k as (select conv_id, s, n, gram, count(*) c from g group by 1, 2, 3, 4), m as (select p.conv_id, p.n, sum(least(p.c, r.c)) m from k p join k r on p.s = 'p' and r.s = 'r' and p.conv_id = r.conv_id and p.n = r.n and p.gram = r.gram group by 1, 2),
+a as (select conv_id, n, sum(c) c from k group by 1, 2), f as (select c.conv_id, x.n, coalesce(2.0 * m.m / a.c, 0.0) f from (select distinct conv_id from w) c, (select unnest([1, 2]) n) x left join m on m.conv_id = c.conv_id and m.n = x.n left join a on a.conv_id = c.conv_id and a.n = x.n)
+select 'rouge' || n as measure, round(avg(f), 6) as value, count(*) n from f group by f.n""")
+def overlap_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean ROUGE of all conversations' second turns against their first, by the name of the measure."""
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(n) for i, n in enumerate("rp")])
+    rows = c.where("p is not null and r is not null").select(S.rouge(T.words(F.col("p")), T.words(F.col("r"))).alias("s")).select("s.rouge1", "s.rouge2")
+    return rows.unpivot([], ["rouge1", "rouge2"], "measure", "value").groupBy("measure").agg(F.round(F.avg("value"), 6).alias("value"), F.count(F.lit(1)).alias("n"))
