@@ -51,10 +51,7 @@ def strip_marks(text: Column) -> Column:
         return out
 
     def periods(t: Column) -> Column:
-        few = F.regexp_replace(t, r"\.(?!\d)", "")
-        head = F.regexp_extract(t, r"(?s)^((?:(?:[^.]|\.(?=\d))*\.(?!\d)){32})", 1)
-        rest = F.substring(t, F.length(head) + 1, F.length(t))
-        return F.when(head == "", few).otherwise(F.concat(F.regexp_replace(head, r"\.(?!\d)", ""), rest))
+        return F.array_join(F.split(t, r"\.(?!\d)", 33), "")
 
     return let(let(text, by_mark), periods)
 

@@ -66,7 +66,7 @@ def parsed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(_long("s_suppkey"), F.array_join(shown.cast("array<string>"), ",").alias("pages"), F.get(T.slide_paths(F.lit("d/x_page_12.png"), pages), 0).alias("first_path"), F.array_join(listed, "|").alias("listed"), run["k"].alias("k"), run["top_p"].alias("top_p"), B.top_p_for(k % 9 + 1).alias("pruned"))
 
 
-@query("""select doc_id::bigint doc_id, ('0x' || left(sha256(doc_id::varchar), 15))::bigint as seed15, length(regexp_extract(coalesce(text, ''), '^((?:\\s*\\S+){0,20}(?:\\s+\\z)?)', 1))::int cut, true as overlaps from documents""")
+@query("""select doc_id::bigint doc_id, ('0x' || left(sha256(doc_id::varchar), 15))::bigint as seed15, case when len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x != '')) >= 20 then length(regexp_extract(coalesce(text, ''), '^((?:\\s*\\S+){0,20})', 1)) else length(coalesce(text, '')) end::int cut, true as overlaps from documents""")
 def token_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seed from a hash, texts cut at their 20th token, and neighbouring chunks that overlap as they should."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
