@@ -60,11 +60,12 @@ def token_accuracy(predictions: Column, labels: Column, ignore: int = -100) -> C
 
 
 def minimum_risk(candidates: DataFrame, question: str, candidate: str, similarity) -> DataFrame:
-    """The candidate of each question most like the others on average. Candidates a question are the few samples of one prompt."""
+    """The candidate of each question most like the others on average; means that agree to nine digits tie, and the first sample wins.
+    Candidates a question are the few samples of one prompt."""
     a = candidates.select(question, F.col(candidate).alias("__a"), F.col("sample").alias("__i"))
     b = candidates.select(question, F.col(candidate).alias("__b"), F.col("sample").alias("__j"))
     met = a.join(b, question).where("__i != __j").groupBy(question, "__a", "__i").agg(F.avg(similarity(F.col("__a"), F.col("__b"))).alias("__s"))
-    return met.groupBy(question).agg(F.max_by("__a", F.struct("__s", -F.col("__i"))).alias(candidate), F.max("__s").alias("mean_similarity"))
+    return met.groupBy(question).agg(F.max_by("__a", F.struct(F.round("__s", 9), -F.col("__i"))).alias(candidate), F.max("__s").alias("mean_similarity"))
 
 
 def length_normalized(logps: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import stored
 from . import ranges
 
 
@@ -14,9 +15,9 @@ def ranked(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """by, v, n (how many of the value), first (the rank of its first, from 0) and total, nulls left out.
 
     Ranks come from counts by value, a range of values at a time: neither all rows nor all values are sorted in one task, and no
-    buffer holds the values of a group.
+    buffer holds the values of a group. The counts are a table of their own, so df is read once.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")), "value-counts")
     whole = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     placed = ranges.before(counts, by, "v", F.col("n"), "first")
     if not by:

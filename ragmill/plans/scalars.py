@@ -412,13 +412,13 @@ def capped_text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_custkey", R.capped_rank(rank, F.size("e"), cap=5, missing=10).cast("int").alias("gold_rank"))
 
 
-@query("""with d as (select lang, doc_id, length(coalesce(text, '')) n from documents), c as (select a.lang, a.doc_id, avg(1.0 / (1 + abs(a.n - b.n))) s from d a join d b on a.lang = b.lang and a.doc_id != b.doc_id where a.doc_id < 40 and b.doc_id < 40 group by 1, 2)
-select lang, arg_max(doc_id, (s, -doc_id))::bigint doc_id, round(max(s), 6) mean_similarity from c group by 1""")
+@query("""with d as (select conv_id, turn, length(text) n from conversations), c as (select a.conv_id, a.turn, avg(1.0 / (1 + abs(a.n - b.n))) s from d a join d b on a.conv_id = b.conv_id and a.turn != b.turn group by 1, 2)
+select conv_id::bigint conv_id, arg_max(turn, (round(s, 9), -turn))::bigint turn, round(max(s), 6) mean_similarity from c group by 1""")
 def minimum_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the few samples of each question the one most like the others: samples are the 40 first documents, by language."""
-    d = read(spark, sf_dir, "documents").where("doc_id < 40").select("lang", F.col("doc_id").alias("sample"), F.struct("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")).alias("c"))
-    out = E.minimum_risk(d, "lang", "c", lambda a, b: 1.0 / (1 + F.abs(a["n"] - b["n"])))
-    return out.select("lang", F.col("c.doc_id").cast("long").alias("doc_id"), F.round("mean_similarity", 6).alias("mean_similarity"))
+    """Of the few samples of each question the one most like the others, by their lengths: a conversation's turns stand for samples."""
+    d = read(spark, sf_dir, "conversations").select(_long("conv_id"), F.col("turn").alias("sample"), F.struct("turn", F.length("text").alias("n")).alias("c"))
+    out = E.minimum_risk(d, "conv_id", "c", lambda a, b: 1.0 / (1 + F.abs(a["n"] - b["n"])))
+    return out.select("conv_id", F.col("c.turn").cast("long").alias("turn"), F.round("mean_similarity", 6).alias("mean_similarity"))
 
 
 @query("""with o as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) r from orders) select o_custkey::bigint o_custkey, o_orderkey::bigint o_orderkey, r::int as "rank" from o where r <= 3 and o_orderstatus != 'F'""")
