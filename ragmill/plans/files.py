@@ -100,18 +100,18 @@ def summary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mean_score", F.round("mean_score", 4))
 
 
-@query("""with s as (select 'EVQA-K=' || (c_nationkey % 4 * 5) || '-TakeN=10-TopK=50' || case when c_nationkey % 2 = 0 then '-TopP=0.9' else '' end run, (c_nationkey % 4 * 5)::int k, count(*) n from customer group by all)
+@query("""with s as (select 'Exp-K=' || (c_nationkey % 4 * 5) || '-TakeN=10-TopK=50' || case when c_nationkey % 2 = 0 then '-TopP=0.9' else '' end run, (c_nationkey % 4 * 5)::int k, count(*) n from customer group by all)
 select run, k, 10 as take_n, 50 as top_k, case when k % 2 = 0 then 0.9::double else 1.0 end top_p, n, row_number() over (order by k) as place from s where k in (5, 10) or run like '%K=15%'""")
 def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score files of experiment folders: paths must have one part and lack another, a choice by K and by name, finished ones left out,
     parameters read from the folder's name, rows in the order of the parameters that are there."""
     c, base = read(spark, sf_dir, "customer"), new_path(spark, "runs")
     for i in range(4):
-        name = f"EVQA-K={5 * i}-TakeN=10-TopK=50" + ("-TopP=0.9" if i % 2 == 0 else "")
+        name = f"Exp-K={5 * i}-TakeN=10-TopK=50" + ("-TopP=0.9" if i % 2 == 0 else "")
         c.where(F.col("c_nationkey") % 4 == i).agg(F.count(F.lit(1)).alias("n")).write.json(f"{base}/{name}")
-    c.agg(F.count(F.lit(1)).alias("n")).write.json(f"{base}/EVQA-debug-K=5")
+    c.agg(F.count(F.lit(1)).alias("n")).write.json(f"{base}/Exp-debug-K=5")
     c.agg(F.count(F.lit(1)).alias("n")).write.json(f"{base}/Other-K=5")
-    found = readers.runs(spark, f"{base}/*", must=("EVQA",), must_not=("debug",))
+    found = readers.runs(spark, f"{base}/*", must=("Exp",), must_not=("debug",))
     scored = found.where("parameters.k = 0").select("run")
     out = readers.select_runs(found, ks=(0, 5, 10), groups=("K=15",), scored=scored).select("run", "parameters.*", "n")
     return N.placed(out, ["k", "missing", "top_k", "top_p"])
