@@ -50,5 +50,17 @@ select page_id, n::bigint as payload_bytes, p.d as payload_digest,
        case when n >= 100 and page_id != first_id then 'revisit' else 'response' end as record_type,
        case when n >= 100 and page_id != first_id then first_id end as refers_to
 from p left join f on p.d = f.d
+""",
+    "op11_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') t, length(coalesce(text, ''))::bigint n, sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
+h as (select *, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+             case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from h),
+c as (select *, substring(t, 1, a) p, substring(t, a + 1, b - a) m, substring(t, b + 1) s from f)
+select doc_id, n, form, case when form != 'plain' then a end as prefix_chars, case when form != 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256,
+       case when form != 'plain' then (a > 0 and regexp_matches(substring(t, a, 2), '^[^ \t-\r]{2}$', 's')) or (b > 0 and regexp_matches(substring(t, b, 2), '^[^ \t-\r]{2}$', 's')) end as splits_word
+from c
 """,
 }

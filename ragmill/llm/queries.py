@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with their production parameters."""
+"""The thirteen operators as queries over whole tables, with their production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_classifier, decontamination, line_dedup, packing, quality_rules, secrets, sharding, simhash, suffix_dedup, warc
+from . import compression_classifier, decontamination, fill_in_middle, line_dedup, packing, quality_rules, secrets, sharding, simhash, suffix_dedup, warc
 from .common import new_path, read
 
 SHARDS = 24
@@ -70,6 +70,13 @@ def op10_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(c, 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (text, "restored_sha256"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests, "splits_word")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
