@@ -62,5 +62,23 @@ select doc_id, n, form, case when form != 'plain' then a end as prefix_chars, ca
        sha256(t) as restored_sha256,
        case when form != 'plain' then (a > 0 and regexp_matches(substring(t, a, 2), '^[^ \t-\r]{2}$', 's')) or (b > 0 and regexp_matches(substring(t, b, 2), '^[^ \t-\r]{2}$', 's')) end as splits_word
 from c
+""",
+    "op12_prefix_trie": r"""
+with o as (select conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} x,
+                  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) p
+           from conversations where conv_id is not null),
+l as (select conv_id, list(x order by p) s from o group by conv_id),
+h as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda y: ascii(y)::bigint)),
+                 lambda c, y: list_reduce(list_prepend(xor(c, y), range(8)), lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)), 4294967295) % 4 h from l),
+b as (select h.conv_id, list_concat(coalesce(l.s[1:h.h], []), h.s[h.h + 1:]) s from h left join l on l.conv_id = h.conv_id - h.conv_id % 20),
+m as (select conv_id, len(s) n, d, s[1:d] p from (select conv_id, s, unnest(range(0, len(s) + 1)) d from b)),
+v as (select d, p, min(conv_id) conv_id, count(*) n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) ends_sha256,
+             case when d = 0 then 0 else len(list_filter(regexp_split_to_array(any_value(p[d].t), '[ \t-\r]+'), lambda w: w != '')) end words from m group by d, p),
+a as (select m.conv_id, m.d, v.conv_id rep from m join v on m.d = v.d and m.p = v.p),
+n as (select v.conv_id, v.d, a.rep parent, n_convs, words, ends_sha256 from v left join a on a.conv_id = v.conv_id and a.d = v.d - 1),
+k as (select parent conv_id, d - 1 d, count(*) n_children from n where d > 0 group by 1, 2),
+f as (select n.*, coalesce(n_children, 0) n_children from n left join k on k.conv_id = n.conv_id and k.d = n.d),
+s as (select a.rep conv_id, a.d, count(*) filter (f.n_children = 0) n_leaves, sum((f.n_convs - 1) * f.words) saved_tokens from f join a on a.conv_id = f.conv_id and a.d <= f.d group by 1, 2)
+select f.conv_id, f.d::bigint as depth, f.parent as parent_conv_id, f.n_convs, f.n_children::bigint as n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, f.ends_sha256 from f join s on s.conv_id = f.conv_id and s.d = f.d
 """,
 }
