@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from .license_scan import TEMPLATES
+
+_NOTICES = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+
 ORACLE = {
     "op3_line_dedup": r"""
 with d as (select doc_id, text, string_split(text, chr(10)) ls from documents),
@@ -81,4 +85,20 @@ f as (select n.*, coalesce(n_children, 0) n_children from n left join k on k.con
 s as (select a.rep conv_id, a.d, count(*) filter (f.n_children = 0) n_leaves, sum((f.n_convs - 1) * f.words) saved_tokens from f join a on a.conv_id = f.conv_id and a.d <= f.d group by 1, 2)
 select f.conv_id, f.d::bigint as depth, f.parent as parent_conv_id, f.n_convs, f.n_children::bigint as n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, f.ends_sha256 from f join s on s.conv_id = f.conv_id and s.d = f.d
 """,
+    "op13_license_scan": r"""
+with d as (select doc_id, row_number() over () id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+w as (select doc_id, id, string_split(t, chr(10)) ls, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x != '') ws from d),
+p as (select id, i - 1 word, case when ws[i] = 'mit' and ws[i + 1] = 'license' then 'mit' when ws[i] = 'apache' and ws[i + 1] = 'license' then 'apache'
+             when ws[i] = 'general' and ws[i + 1] = 'public' and ws[i + 2] = 'license' then 'gpl' end as label from (select id, ws, unnest(range(1, len(ws) + 1)) i from w)),
+b as (select id, count(*) n_base, min(word) first_word, max(word) last_word, list_distinct(list(label)) base from p where label is not null group by id),
+c as (select id, i, list_distinct(list_filter(regexp_split_to_array(array_to_string(ls[i + 1:i + 4], chr(10)), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x != '')) own
+      from (select id, ls, unnest(range(0, greatest(len(ls) - 4, 0) + 1)) i from w)),
+n as (select label, list_distinct(list_filter(regexp_split_to_array(lower(x), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: y != '')) words from (values NOTICES) v(label, x)),
+m as (select id, list_distinct(list(label)) more, max(n_shared / len(words)) share, count(distinct i) n_blocks
+      from (select id, i, label, words, len(list_intersect(own, words)) n_shared from c, n) where 10 * n_shared >= 9 * len(words) group by id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+       coalesce(array_to_string(list_sort(base), ','), '') as base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, more))), ','), '') as labels,
+       coalesce(n_blocks, 0)::bigint as n_blocks, case when n_base > 0 then 1.0 else coalesce(share, 0) end::double as score
+from w left join b using (id) left join m using (id)
+""".replace("NOTICES", _NOTICES),
 }

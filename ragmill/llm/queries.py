@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_classifier, decontamination, fill_in_middle, line_dedup, packing, prefix_trie, quality_rules, secrets, sharding, simhash, suffix_dedup, warc
+from . import compression_classifier, decontamination, fill_in_middle, license_scan, line_dedup, packing, prefix_trie, quality_rules, secrets, sharding, simhash, suffix_dedup, warc
 from .common import new_path, read
 
 SHARDS = 24
@@ -81,6 +81,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
