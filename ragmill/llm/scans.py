@@ -77,8 +77,9 @@ def running(df: DataFrame, key: str, order: Sequence[Column], terms: dict[str, R
 
     sums = ", ".join(f"{t} long, {t}_before long" for t in terms)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    # Rows alike in key and order are interchangeable; a salt lets ranges part them.
-    salted = df.withColumn("__salt", F.rand(7))
+    # Rows alike in key and order are interchangeable; a salt lets ranges part them. Written first, as the ranges' bounds take a pass of
+    # their own.
+    salted = shared_table(df.withColumn("__salt", F.rand(7)), f"{name}-rows")
     ranged = salted.repartitionByRange(key, *order, "__salt").sortWithinPartitions(key, *order).select(*columns, *terms)
     scanned = shared_table(ranged.mapInArrow(run, f"{kinds}, pos long, {sums}, first boolean, part long, final boolean"), name)
 
