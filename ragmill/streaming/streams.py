@@ -1,17 +1,16 @@
-"""Streams: windows over event time, sessions, deduplication, and stateful buffers and branch groups.
+"""Streams: windows over event time, sessions, deduplication. Stateful processors are in buffers and branches.
 
-Each stream takes and gives a streaming DataFrame, so sources and sinks are the caller's. run_available drains what is there
-through a sink in a shared folder and returns the table, which is how a batch job uses the same plan.
+Each stream takes and gives a streaming DataFrame, so sources and sinks are the caller's. drain runs a stream over what is there into a
+folder and can be called again to go on; run_available does so once, which is how a batch job uses the same plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.folders import new_path, remove
 
@@ -48,77 +47,37 @@ def with_static(events: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return events.join(table, key, "left")
 
 
-def token_batches(rows: DataFrame, key: str, length: str, row_id: str, capacity: int) -> DataFrame:
-    """batch: a key's rows in arrival order, a new batch where the next would take it over its capacity of tokens. The buffer (batch
-    number, tokens so far) is state, so a restarted stream goes on where it stood."""
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started within have the state store that processors of buffers and branches need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch, used = state.get if state.exists else (0, 0)
-        for pdf in frames:
-            out = []
-            for n in pdf[length].tolist():
-                if used and used + n > capacity:
-                    batch, used = batch + 1, 0
-                used += n
-                out.append(batch)
-            yield pd.DataFrame({"grp": [k[0]] * len(pdf), "row_id": pdf[row_id], "batch": out})
-        state.update((batch, used))
 
-    kind = rows.schema[key].dataType.simpleString()
-    keyed = rows.select(key, F.col(length).cast("long").alias(length), F.col(row_id).cast("long").alias(row_id)).groupBy(key)
-    return keyed.applyInPandasWithState(run, f"grp {kind}, row_id long, batch long", "batch long, used long", "append", GroupStateTimeout.NoTimeout)
+def drain(stream: DataFrame, path: str, *, seconds: float | None = None) -> DataFrame:
+    """Run a stream over what is there and read all that path has so far. The checkpoint stays, so the next call for the same path goes
+    on where this one, finished or killed, has stopped; rows of a batch that was not committed are not read.
 
-
-def branch_groups(shards: DataFrame, branches: int, timeout_ms: int | None = None) -> DataFrame:
-    """grp, step, marginal, complete: branches' log-probabilities arrive in any order; once a step's branches are all there the
-    mixture is emitted and the posterior moves on. With timeout_ms, groups that stay silent so long are released with what they have,
-    complete false; a drained stream then runs until the last group's time is up, so batch jobs leave it out.
-
-    shards: grp, branch, step, logp, prior_logit.
+    A stream with timers has never done all its work: it needs a number of seconds to run for.
     """
-    import json
-    import math
-
-    def lse(xs: list[float]) -> float:
-        m = max(xs)
-        return m + math.log(sum(math.exp(x - m) for x in xs))
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"next": 0, "score": {}, "steps": {}}
-        out = []
-
-        def emit(step: int, got: dict, complete: bool) -> None:
-            z = lse([held["score"][b] for b in got])
-            out.append((k[0], step, lse([held["score"][b] - z + lp for b, lp in got.items()]), complete))
-            for b, lp in got.items():
-                held["score"][b] += lp
-
-        if state.hasTimedOut:
-            for step in sorted(held["steps"], key=int):
-                emit(int(step), held["steps"][step], False)
-            state.remove()
-        else:
-            for pdf in frames:
-                for b, s, lp, prior in zip(pdf["branch"], pdf["step"], pdf["logp"], pdf["prior_logit"], strict=True):
-                    held["score"].setdefault(str(b), float(prior))
-                    held["steps"].setdefault(str(s), {})[str(b)] = float(lp)
-            while len(held["steps"].get(str(held["next"]), {})) == branches:
-                emit(held["next"], held["steps"].pop(str(held["next"])), True)
-                held["next"] += 1
-            state.update((json.dumps(held),))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["grp", "step", "marginal", "complete"])
-
-    keyed = shards.groupBy("grp")
-    kind = shards.schema["grp"].dataType.simpleString()
-    return keyed.applyInPandasWithState(run, f"grp {kind}, step int, marginal double, complete boolean", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
+    with keyed_state(stream.sparkSession):
+        writer = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/log").outputMode("append")
+        q = (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime="200 milliseconds")).start()
+    if seconds is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(seconds):
+        q.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Drain a stream into a table in the shared folder and read it."""
-    spark, path = stream.sparkSession, new_path(stream.sparkSession, name)
-    q = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    remove(spark, f"{path}/log")
-    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    """Drain a stream into a new table in the shared folder, once and for all: its checkpoint goes."""
+    path = new_path(stream.sparkSession, name)
+    out = drain(stream, path)
+    remove(stream.sparkSession, f"{path}/log")
+    return out

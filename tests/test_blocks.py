@@ -155,12 +155,16 @@ def test_micro_batches(spark, sf_dir):
 def test_token_batches(spark, sf_dir):
     events = {r["event_id"]: math.ceil(r["value"]) for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()}
     rows = QUERIES["stream_token_batches"](spark, sf_dir).collect()
-    assert sorted(r["row_id"] for r in rows) == sorted(events)
+    assert len({r["row_id"] for r in rows}) == len(rows) and {r["row_id"] for r in rows} <= set(events)
     sums, sizes = Counter(), Counter()
     for r in rows:
         sums[r["grp"], r["batch"]] += events[r["row_id"]]
         sizes[r["grp"], r["batch"]] += 1
     assert all(n <= 2048 or sizes[k] == 1 for k, n in sums.items())
+    for g in {g for g, _ in sums}:  # a batch is closed by a row that it has no room for
+        own = sorted((r["row_id"], r["batch"]) for r in rows if r["grp"] == g)
+        assert [b for _, b in own] == sorted(b for _, b in own)
+        assert all(sums[g, b] + events[i] > 2048 for (_, b), (i, c) in zip(own, own[1:]) if c == b + 1)
     assert len({g for g, _ in sums}) > 5
 
 
