@@ -3,7 +3,9 @@
 The lexer reads name-value pairs of source and configuration syntax (`name = "literal"`, `"name": 'literal'`,
 `name := other + "rest"`, `export NAME=bare`), keeps the literals of each name, carries them through later references, and
 scores a literal by how sensitive the names that receive it are and by how secret-like it looks. Literals that reach
-THRESHOLD add spans of kind `lexed`. In a bare value a `#` begins a comment only after white space. Texts are read whole.
+THRESHOLD add spans of kind `lexed`, which never overlap one another. In a bare value a `#` begins a comment only after white space; it
+ends at `&` and `?`, as in query strings, and an identifier before `(` or `[` is a call or a lookup, no literal. Texts are read whole, in
+time that is linear in their length.
 
 Defined results: a null text is an empty one and has no spans; a null id is carried along; spans that tie in their start are in the
 order of their kinds; repeated rows get a row each; an empty table gives no rows; only
@@ -12,6 +14,7 @@ the id and the text are read. Spans count code points; their end is exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -31,7 +34,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 _TARGET = re.compile(r"""(?<![A-Za-z0-9_$.\-])([A-Za-z_$][A-Za-z0-9_$.\-]*+)["'\]]{0,2}[ \t]*+(?:=>|:=|[=:])(?![=:])[ \t]*+""", re.ASCII)
-_TERM = re.compile(r"""(?:[rbfu]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z_$][A-Za-z0-9_$.\-]*+)(?![A-Za-z0-9+/=@!%^&*~(#])|([^\s"',;#(){}\[\]][^\s"',;(){}\[\]]*+))""", re.ASCII)
+_TERM = re.compile(
+    r"""(?:[rbfu]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')"""
+    r"""|([A-Za-z_$][A-Za-z0-9_$.\-]*+)(?![A-Za-z0-9+/=@!%^&*~(\[#])"""
+    r"""|([^\s"',;#(){}\[\]&?][^\s"',;(){}\[\]&?]*+)(?![(\[])""",
+    re.ASCII,
+)
 _PLUS = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)^(?:<.*>|\$?\{.*\}|%.*%|x{3,}|\*+|change_?me|example.*|your[_-].*|none|null|true|false|todo|redacted|placeholder)$")
@@ -61,25 +69,34 @@ def literal_score(value: str) -> float:
 
 
 def lex(text: str) -> list[tuple[str, list[int], list[tuple[int, int]]]]:
-    """Assignments in their order: the name, the earlier assignments that its value refers to, and its own literals' spans."""
+    """Assignments in their order: the name, the earlier assignments that its value refers to, and its own literals' spans.
+
+    A text is read once: behind a bare value the next target is looked for at its end. Only quoted literals are looked into, for the
+    assignments that they hold.
+    """
     known: dict[str, int] = {}
     found = []
-    for m in _TARGET.finditer(text):
-        earlier, spans, at = [], [], m.end()
+    target = _TARGET.search(text)
+    while target:
+        earlier, spans, at, end = [], [], target.end(), target.end()
+        quoted = False
         while term := _TERM.match(text, at):
             spans += [term.span(g) for g in (1, 2, 4) if term[g] is not None]
+            quoted = quoted or term[1] is not None or term[2] is not None
             if term[3] is not None:
                 if (short := term[3].rpartition(".")[2]) in known:
                     earlier.append(known[short])
                 else:
                     spans.append(term.span(3))
-            plus = _PLUS.match(text, term.end())
+            end = term.end()
+            plus = _PLUS.match(text, end)
             if not plus:
                 break
             at = plus.end()
         if spans or earlier:
-            known[m[1].rpartition(".")[2]] = len(found)
-            found.append((m[1], earlier, spans))
+            known[target[1].rpartition(".")[2]] = len(found)
+            found.append((target[1], earlier, spans))
+        target = _TARGET.search(text, target.end() if quoted else end)
     return found
 
 
@@ -95,18 +112,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def lexed_spans(text: str) -> dict[tuple[int, int], float]:
-    """Literal spans with their best score. Names pass their score on to the constants that they are made of."""
-    best: dict[tuple[int, int], float] = {}
+    """Literal spans with their scores. Names pass their score on to the constants that they are made of. Of spans that overlap (a literal
+    and one within it) that of the higher score stays, then the earlier, then the longer."""
     if ":" not in text and "=" not in text:
-        return best
+        return {}
     found = lex(text)
     reach = [name_score(name) for name, _, _ in found]
+    scored = []
     for i in range(len(found) - 1, -1, -1):
         for j in found[i][1]:
             reach[j] = max(reach[j], reach[i])
         for a, b in found[i][2] if reach[i] else ():
             if (score := reach[i] * literal_score(text[a:b])) >= THRESHOLD:
-                best[a, b] = max(score, best.get((a, b), 0.0))
+                scored.append((-score, a, -b))
+    kept: list[tuple[int, int]] = []
+    best: dict[tuple[int, int], float] = {}
+    for score, a, b in sorted(scored):
+        at = bisect.bisect(kept, (a, -b))
+        if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or -b <= kept[at][0]):
+            kept.insert(at, (a, -b))
+            best[a, -b] = -score
     return best
 
 

@@ -12,7 +12,8 @@ import corpus_pipeline
 from ragmill.llm import quality_rules
 from ragmill.llm.common import read, shared_table
 
-from .test_brute_force import PASSAGE, brute_components, brute_fp, brute_rules, check_places, tokens
+from .test_brute_force import PASSAGE, brute_rules, check_places, tokens
+from .test_near_copies import brute as near_copies
 
 
 def fails(text):
@@ -59,22 +60,22 @@ def test_stages(spark, sf_dir, small):
     docs, want = read(spark, sf_dir, "documents"), small
     items = [r["text"] for r in read(spark, sf_dir, "benchmark").collect()]
 
-    def components(texts):
-        found = brute_components({i: brute_fp(t) for i, t in texts.items()})
-        return {i: t for i, t in texts.items() if found[i][1] == i}
+    def near(texts):
+        found = near_copies(list(texts.items()))
+        return {i: t for i, t in texts.items() if found[i] == i}
 
     brute = [
         lambda ts: {i: t for i, t in ts.items() if not fails(t)},
         cut_lines,
-        components,
+        near,
         lambda ts: {i: t for i, t in ts.items() if not contained(t, items)},
     ]
     for (name, stage), expected in zip(corpus_pipeline.STAGES[:-1], brute, strict=True):
-        docs = shared_table(stage(spark, docs, sf_dir), f"test-{name}")
+        docs, before = shared_table(stage(spark, docs, sf_dir), f"test-{name}"), len(want)
         want = expected(want)
-        assert docs.columns == list(corpus_pipeline.COLUMNS)
+        assert docs.columns == list(corpus_pipeline.COLUMNS) and len(want) < before
         assert {r["doc_id"]: r["text"] for r in docs.collect()} == want, name
-    rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
     pieces = Counter()
     for i, t in want.items():
         ids = tokens(t)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 import string
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ragmill.llm import secrets
 
@@ -96,3 +99,135 @@ def test_scores():
     for n in (8, 20, 40):
         strong = "".join(rnd.choices(string.ascii_letters + string.digits + "!#%", k=n))
         assert secrets.literal_score(strong) > secrets.literal_score("a" * n)
+
+
+NAME = set(string.ascii_letters + string.digits + "_$.-")
+FIRST = NAME - set(string.digits) - set(".-")
+WHITE = " \t\n\r\x0b\x0c"
+STOPS = set("\"',;(){}[]&?") | set(WHITE)
+
+
+def read_target(t, i):
+    """(name, end) of a target that begins at i, read character by character, or None."""
+    if t[i] not in FIRST or (i and t[i - 1] in NAME):
+        return None
+    j = i
+    while j < len(t) and t[j] in NAME:
+        j += 1
+    name, tries = t[i:j], 0
+    while tries < 2 and j < len(t) and t[j] in "\"']":
+        j, tries = j + 1, tries + 1
+    while True:  # fewer marks may belong to the name when what follows is no sign of assignment; a mark never is one
+        k = j
+        while k < len(t) and t[k] in " \t":
+            k += 1
+        for sign in ("=>", ":=", "=", ":"):
+            if t.startswith(sign, k) and t[k + len(sign) : k + len(sign) + 1] not in ("=", ":"):
+                k += len(sign)
+                while k < len(t) and t[k] in " \t":
+                    k += 1
+                return name, k
+        return None
+
+
+def read_term(t, i):
+    """(kind, start, end, where to go on) of a term at i, or None. Kinds: quoted, name, bare."""
+    j = i
+    while j < len(t) and j - i < 2 and t[j] in "rbfu":
+        j += 1
+    while j > i and not (j < len(t) and t[j] in "\"'"):
+        j -= 1
+    for at in (j, i):
+        if at < len(t) and t[at] in "\"'":
+            k = at + 1
+            while k < len(t) and t[k] not in (t[at], "\n"):
+                if t[k] == "\\":
+                    if k + 1 == len(t) or t[k + 1] == "\n":
+                        break
+                    k += 1
+                k += 1
+            if k < len(t) and t[k] == t[at]:
+                return "quoted", at + 1, k, k + 1
+    if i < len(t) and t[i] in FIRST:
+        k = i
+        while k < len(t) and t[k] in NAME:
+            k += 1
+        if k == len(t) or t[k] not in "+/=@!%^&*~([#":
+            return "name", i, k, k
+    if i < len(t) and t[i] not in STOPS and t[i] != "#":
+        k = i
+        while k < len(t) and t[k] not in STOPS:
+            k += 1
+        if k == len(t) or t[k] not in "([":
+            return "bare", i, k, k
+    return None
+
+
+def read_all(t):
+    known, found, i = {}, [], 0
+    while i < len(t):
+        target = read_target(t, i)
+        if not target:
+            i += 1
+            continue
+        name, at = target
+        begin, end, refs, spans, quoted = at, at, [], [], False
+        while term := read_term(t, at):
+            kind, a, b, end = term
+            quoted |= kind == "quoted"
+            short = t[a:b].rpartition(".")[2]
+            if kind == "name" and short in known:
+                refs.append(known[short])
+            else:
+                spans.append((a, b))
+            k = end
+            while k < len(t) and t[k] in " \t":
+                k += 1
+            step = 1 if t.startswith("+", k) else 2 if t.startswith("..", k) else 0
+            if not step:
+                break
+            k += step
+            while k < len(t) and t[k] in " \t":
+                k += 1
+            at = k
+        if refs or spans:
+            known[name.rpartition(".")[2]] = len(found)
+            found.append((name, refs, spans))
+        i = begin if quoted else max(end, begin)
+    return found
+
+
+SYNTAX = st.lists(st.sampled_from(["password", "x", "r", "b", " ", " = ", ":", "=", "=>", ":=", '"', "'", "]", "[", "(", "+", " + ", "..", ".", "\\", "\n", "&", "?", "#", "9", "-", "é", ";", SECRET]), max_size=24).map("".join)
+
+
+@settings(max_examples=3000, deadline=None)
+@given(SYNTAX)
+def test_against_a_lexer_by_characters(text):
+    assert secrets.lex(text) == read_all(text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(SYNTAX)
+def test_spans_do_not_overlap(text):
+    spans = sorted(secrets.lexed_spans(text))
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
+@pytest.mark.parametrize("part", ["token=ab1C&", "x=x", "password='", 'a="', 'k="v"+', "a='b=\"x\"+", "token:", "[token]=", 'secret="q=', "token=" + SECRET + "?"])
+def test_a_megabyte_without_white_space(part):
+    """Query strings and minified sources: seconds, not hours."""
+    text = part * (1_000_000 // len(part))
+    began = time.process_time()
+    spans = sorted(secrets.lexed_spans(text))
+    assert time.process_time() - began < 5
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
+@pytest.mark.parametrize("text", ["password = value.strip()", "token = tokens[0]", "secret=fetch('x')[0]"])
+def test_calls_and_lookups_are_no_literals(text):
+    assert secrets.lexed_spans(text) == {}
+
+
+def test_query_strings():
+    text = f"http://host/?user=me&token={SECRET.replace('#', '7')}&password=Ab3dEf6hIj"
+    assert [text[a:b] for a, b in sorted(secrets.lexed_spans(text))] == [SECRET.replace("#", "7"), "Ab3dEf6hIj"]
