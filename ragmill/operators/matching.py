@@ -1,61 +1,122 @@
-"""Which of a stated set of texts each document holds: all patterns are looked for in one pass over a text.
+"""Which of a set of patterns each document holds as a substring; both sides may be large.
 
-The patterns are measured and broadcast in blocks of at most BLOCK bytes; each block is one scan of the documents.
+Texts meet patterns by q-grams. A pattern is indexed by one of its grams, the one that the fewest texts have; the texts' grams are shuffled
+to it, copies of a text once, and `contains` decides. Of long patterns and of texts only minimizers are grams: the least of each WINDOW
+neighbouring hashes, which are the same inside a pattern and where the pattern stands in a text. Shorter patterns take shorter grams
+(CLASSES), of which texts give all. A pattern with a gram that no text has is nowhere.
+
+Grams that no pattern has leave a text's task as little as a bitmap of fixed size can see to that. The driver reads the bitmap and which
+classes are in use, no pattern and no text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of patterns that are looked for at once.
-BLOCK = 16 << 20
+from ..sources.folders import stored
+
+
+class Class(NamedTuple):
+    """Patterns of at least so many code points, up to the next class; their grams' length, and the neighbours of which the least counts."""
+
+    shortest: int
+    gram: int
+    window: int
+
+
+CLASSES = (Class(16, 8, 9), Class(4, 4, 1), Class(1, 1, 1), Class(0, 0, 1))
+#: Bits of the bitmap of pattern grams (8 MB), and code points that are hashed at once.
+BITS, CHUNK = 1 << 26, 1 << 20
+
+
+def grams(text: str, kind: Class) -> np.ndarray:
+    """The distinct grams of a class, as signed 64-bit hashes. The empty pattern's gram is in every text."""
+    q, w = kind.gram, kind.window
+    if q == 0:
+        return np.zeros(1, np.int64)
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(text), CHUNK):
+        codes = np.frombuffer(text[at : at + CHUNK + q + w - 2].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = len(codes) - q + 1
+        if n < w:
+            continue
+        h = np.full(n, q, np.uint64)
+        for j in range(q):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        least = h[: n - w + 1].copy()
+        for j in range(1, w):
+            np.minimum(least, h[j : j + len(least)], out=least)
+        out.append(np.unique(least))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def class_of(n: int) -> Class:
+    return next(c for c in CLASSES if n >= c.shortest)
+
+
+def _each(rows: DataFrame, classes: Sequence[Class] | None, bitmap=None) -> DataFrame:
+    """key, gram from key, text: all grams of these classes that the bitmap knows, or without classes those of the text's own class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(bitmap.value, np.uint64) if bitmap else None
+        keys: list[np.ndarray] = []
+        found: list[np.ndarray] = []
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], names=["key", "gram"])
+            keys.clear()
+            found.clear()
+            return out
+
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                own = np.concatenate([np.zeros(0, np.int64), *(grams(text, c) for c in (classes if classes is not None else [class_of(len(text))]))])
+                if known is not None:
+                    at = own.view(np.uint64) & np.uint64(BITS - 1)
+                    own = own[(known[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                if len(own):
+                    keys.append(np.full(len(own), key))
+                    found.append(own)
+                if sum(map(len, keys)) > CHUNK:
+                    yield batch_of()
+        if keys:
+            yield batch_of()
+
+    return rows.mapInArrow(run, "key long, gram long")
+
+
+def _bitmap(pattern_grams: DataFrame) -> bytes:
+    place = F.col("gram").bitwiseAND(F.lit(BITS - 1))
+    bits = pattern_grams.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 63 as int))")).alias("b")).toArrow()  # at most BITS / 64 rows
+    out = np.zeros(BITS // 64, np.int64)
+    out[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
+    return out.tobytes()
 
 
 def contained(docs: DataFrame, patterns: DataFrame, *, keep: Sequence[str], text: str, item: str, pattern: str) -> DataFrame:
     """keep and item for each document and each pattern that its text contains, an empty one too; null texts and patterns match nothing.
     Letters count as they are: fold both sides beforehand."""
-    items = patterns.select(F.col(item).alias("i"), F.col(pattern).alias("p")).where("p is not null")
-    size = items.agg(F.sum(F.octet_length("p") + 64)).first()[0] or 0
-    blocks = -(-size // BLOCK)
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{item}` {items.schema['i'].dataType.simpleString()}"]
-    rows = docs.select(*keep, F.col(text).alias("__text")).where("__text is not null")
-    out = docs.sparkSession.createDataFrame([], ", ".join(kinds))
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == b)
-        out = out.unionByName(_scan(rows, [(r["i"], r["p"]) for r in part.collect()], list(keep), item, ", ".join(kinds)))
-    return out
-
-
-def _scan(rows: DataFrame, found: list[tuple], keep: list[str], item: str, schema: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(found)
-    kind = pa.int64() if found and isinstance(found[0][0], int) else pa.string()
+    spark = docs.sparkSession
+    items = patterns.select(F.col(item).alias("__item"), F.col(pattern).alias("__p"), F.xxhash64(pattern).alias("__ph")).where("__p is not null")
+    rows = docs.select(*keep, F.col(text).alias("__t"), F.xxhash64(text).alias("__th")).where("__t is not null")
+    size = F.length("__p")
+    used = items.agg(*[F.max((size >= c.shortest) & (size < above.shortest if above else F.lit(True))) for c, above in zip(CLASSES, [None, *CLASSES], strict=False)]).first()
+    classes = [c for c, u in zip(CLASSES, used, strict=True) if u]
+    pattern_grams = stored(_each(items.select(F.col("__ph").alias("key"), "__p"), None).distinct(), "pattern-grams")
+    bitmap = spark.sparkContext.broadcast(_bitmap(pattern_grams))
+    text_grams = stored(_each(rows.select(F.col("__th").alias("key"), "__t"), classes, bitmap), "text-grams")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        owners: dict[str, list] = {}
-        for i, p in shared.value:
-            owners.setdefault(p, []).append(i)
-        always = owners.pop("", [])
-        search = ahocorasick.Automaton()
-        for p, own in owners.items():
-            search.add_word(p, (p, own))
-        if owners:
-            search.make_automaton()
-        for batch in batches:
-            at, items = [], []
-            for n, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                own = list(always)
-                if owners:
-                    for _, x in {p: o for _, (p, o) in search.iter(t)}.items():
-                        own += x
-                at += [n] * len(own)
-                items += own
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keep))), pa.array(items, kind)], names=[*keep, item])
-
-    return rows.mapInArrow(run, schema)
+    counts = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    index = pattern_grams.join(counts, "gram", "left").groupBy(F.col("key").alias("__ph")).agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"), F.count_if(F.col("n").isNull()).alias("absent"))
+    met = text_grams.join(index.where("absent = 0"), "gram").select(F.col("key").alias("__th"), "__ph").distinct()
+    found = rows.join(met, "__th").join(items, "__ph").where(F.contains("__t", "__p"))
+    return found.select(*keep, F.col("__item").alias(item))

@@ -50,14 +50,35 @@ def test_vector_search(spark, block, table, monkeypatch):
     assert vectors.top_by_cosine(asked.limit(0), df, 4).count() == 0 and vectors.top_by_cosine(asked, df.limit(0), 4).count() == 0
 
 
-@pytest.mark.parametrize("block", [16 << 20, 70])
-def test_matching(spark, block, monkeypatch):
-    monkeypatch.setattr(matching, "BLOCK", block)
+def found_in(spark, docs, items):
+    out = matching.contained(spark.createDataFrame(docs, "d long, t string").repartition(3), spark.createDataFrame(items, "i long, p string").repartition(2), keep=["d"], text="t", item="i", pattern="p")
+    return Counter(map(tuple, out.collect()))
+
+
+def held(docs, items):
+    return Counter((d, i) for d, t in docs for i, p in items if t is not None and p is not None and p in t)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 19])
+def test_matching(spark, chunk, monkeypatch):
+    monkeypatch.setattr(matching, "CHUNK", chunk)
     docs = [(1, "the cat sat"), (1, "the cat sat"), (2, "concatenate"), (3, None), (None, "a cat"), (4, "")]
     items = [(10, "cat"), (11, "cat"), (12, ""), (13, None), (14, "at sa"), (15, "catx"), (None, "the")]
-    found = matching.contained(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, p string"), keep=["d"], text="t", item="i", pattern="p")
-    want = Counter((d, i) for d, t in docs for i, p in items if t is not None and p is not None and p in t)
-    assert Counter(map(tuple, found.collect())) == want
+    assert found_in(spark, docs, items) == held(docs, items)
+    rnd = random.Random(chunk)
+    texts = ["".join(rnd.choices("ab \u00e9\U0001f600", k=rnd.choice([0, 5, 40, 300]))) for _ in range(60)] + ["ab" * 100, "a" * 90]
+    cuts = [(t, rnd.randrange(len(t) or 1), rnd.choice([0, 1, 2, 3, 4, 7, 15, 16, 17, 24, 60])) for t in texts]
+    patterns = [t[a : a + n] for t, a, n in cuts] + ["ba" * 12, "a" * 16, "b" * 30]
+    docs, items = list(enumerate([*texts, texts[0], texts[1]])), list(enumerate(patterns))
+    assert found_in(spark, docs, items) == held(docs, items)
+    assert not found_in(spark, docs, []) and not found_in(spark, [], items)
+
+
+def test_matching_with_many_hits(spark):
+    """One text in a third of all rows, and one gram that all patterns share."""
+    docs = [(i, "the common passage of every third document" if i % 3 == 0 else f"text {i} of its own, and not a common one") for i in range(900)]
+    items = [(i, p) for i, p in enumerate(["common passage of every", "the common passage of e", "common", "document", "of its own, and not a", *(f"text {i} of its own" for i in range(0, 900, 7))])]
+    assert found_in(spark, docs, items) == held(docs, items)
 
 
 @pytest.mark.parametrize("rows", [200_000, 7])
