@@ -15,10 +15,10 @@ from ragmill.operators import analytics, annotations, caches, matching, ranges,
 from ragmill.plans import QUERIES
 
 
-@pytest.mark.parametrize(("block", "table"), [(4 << 20, 4 << 20), (64, 8)])
-def test_vector_search(spark, block, table, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", block)
-    monkeypatch.setattr(vectors, "TABLE", table)
+@pytest.mark.parametrize(("chunk", "block", "table", "per_pivot"), [(16384, 4096, 4 << 20, 256), (7, 3, 8, 5), (1000, 1000, 1000, 2)])
+def test_vector_search(spark, chunk, block, table, per_pivot, monkeypatch):
+    for name, value in (("CHUNK", chunk), ("BLOCK", block), ("TABLE", table), ("PER_PIVOT", per_pivot)):
+        monkeypatch.setattr(vectors, name, value)
     rnd = random.Random(2)
     rows = [(i, [float(rnd.randint(-3, 3)) for _ in range(4)], i % 3) for i in range(60)] + [(60, None, 1), (61, [1.0, 2.0, 0.0, 1.0], None)]
     rows += [(100 + i, rows[i][1], rows[i][2]) for i in range(10)]  # equal vectors tie
@@ -50,6 +50,31 @@ def test_vector_search(spark, block, table, monkeypatch):
     assert vectors.top_by_cosine(asked.limit(0), df, 4).count() == 0 and vectors.top_by_cosine(asked, df.limit(0), 4).count() == 0
 
 
+def test_pivots_rule_out_cells_and_lose_nothing(spark, monkeypatch):
+    """Clustered vectors and a third of all rows equal: most cells are not visited, and the rows are those of a full search."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "PER_PIVOT", 20)
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(12, 8))
+    points = [centres[i % 12] + 0.05 * rnd.normal(size=8) for i in range(400)] + [centres[0]] * 200 + [np.zeros(8), np.full(8, np.nan)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "vec_id long, vec array<double>").repartition(4)
+    seen, meet = [], vectors._meet
+    monkeypatch.setattr(vectors, "_meet", lambda corpus, asked, *a: (seen.append((corpus, asked)), meet(corpus, asked, *a))[1])
+    got = defaultdict(list)
+    for r in vectors.top_by_cosine(df.where("vec_id % 10 = 0"), df, 5).collect():
+        got[r["query_id"]].append((r["rank"], r["passage_id"]))
+    unit = np.array(points[:600]) / np.linalg.norm(points[:600], axis=1)[:, None]
+    for i in range(0, 600, 10):
+        s = np.round(unit @ unit[i], 9)
+        want = sorted((j for j in range(600) if j != i), key=lambda j: (-s[j], j))[:5]
+        assert {j for _, j in got[i]} == set(want) or np.allclose(sorted(s[j] for _, j in got[i]), sorted(s[j] for j in want), atol=1e-9)
+        assert [r for r, _ in sorted(got[i])] == [1, 2, 3, 4, 5]
+    assert len(got) == 60
+    cells = seen[0][0].select("cell").distinct().count()
+    assert cells > 8 and seen[1][1].count() + seen[0][1].count() < 60 * cells / 2
+
+
 def found_in(spark, docs, items):
     out = matching.contained(spark.createDataFrame(docs, "d long, t string").repartition(3), spark.createDataFrame(items, "i long, p string").repartition(2), keep=["d"], text="t", item="i", pattern="p")
     return Counter(map(tuple, out.collect()))
