@@ -58,12 +58,12 @@ def interleave(df: DataFrame, source: str, order: str, strategy: str = "first_ex
     return ranked
 
 
-def mix_by_weight(df: DataFrame, source: str, order: str, weights: Mapping[str, float], n: int, seed: int, *, strategy: str | None = None) -> DataFrame:
-    """n slots, each from a source drawn by weight; a source gives its rows in order and starts again at its end.
+#: Slots of a block of a weighted mix.
+SLOTS = 1 << 16
 
-    With a strategy the mix stops earlier: first_exhausted once a source has given its last row, all_exhausted once all have,
-    all_exhausted_without_replacement there too, and sources that have run out give no more rows. n must be enough for that.
-    """
+
+def _drawn(spark, source: str, kind: str, weights: Mapping[str, float], begin: int, end: int, seed: int) -> DataFrame:
+    """slot, its block, and the source that it draws."""
     total, bound, draw = sum(weights.values()), 0.0, F.lit(list(weights)[-1])
     u = seeded_int(seed, F.col("slot")) / F.lit(float(1 << 52))
     cuts = []
@@ -72,17 +72,67 @@ def mix_by_weight(df: DataFrame, source: str, order: str, weights: Mapping[str,
         cuts.append((bound, name))
     for b, name in reversed(cuts[:-1]):
         draw = F.when(u < b, F.lit(name)).otherwise(draw)
-    slots = df.sparkSession.range(n).select(F.col("id").alias("slot")).withColumn(source, draw)
-    slots = running(slots, [source], "slot", F.lit(1), "__k")
-    rows = running(df, [source], order, F.lit(1), "__r")
-    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("__n"))
-    keyed = slots.join(sizes, source).withColumn("__r", F.pmod("__k", F.col("__n")))
+    return spark.range(begin, end).select(F.col("id").alias("slot"), F.floor(F.col("id") / SLOTS).alias("__block")).withColumn(source, draw.cast(kind))
+
+
+def _counted(drawn: DataFrame, source: str) -> DataFrame:
+    """__block, source, and the draws of the source in the block and in those before: a row for each source and SLOTS slots."""
+    counts = drawn.groupBy("__block", source).agg(F.count(F.lit(1)).alias("__in"))
+    return counts.withColumn("__before", F.sum("__in").over(Window.partitionBy(source).orderBy("__block")) - F.col("__in"))
+
+
+def _ranked(drawn: DataFrame, counts: DataFrame, source: str) -> DataFrame:
+    """Adds __k, the earlier draws of the slot's source: those in its block, and the block's count of those before it."""
+    at = F.row_number().over(Window.partitionBy("__block", source).orderBy("slot")) - 1
+    return drawn.withColumn("__at", at).join(counts.drop("__in"), ["__block", source]).withColumn("__k", F.col("__before") + F.col("__at")).drop("__at", "__before", "__block")
+
+
+def last_draws(spark, source: str, kind: str, weights: Mapping[str, float], sizes: Mapping[str, int], seed: int) -> dict[str, int]:
+    """The slot in which each source gives its last row. The block that it is in is found from counts of blocks, the slot within that block
+    alone; if the slots that are expected to be enough are not, twice as many are counted."""
+    total = sum(weights.values())
+    n = max(int(sizes[s] * total / w * 1.05) for s, w in weights.items()) + 1000
+    while True:
+        drawn = _drawn(spark, source, kind, weights, 0, n, seed)
+        counts = _counted(drawn, source)
+        size = F.coalesce(*[F.when(F.col(source) == F.lit(s), F.lit(c)) for s, c in sizes.items()])
+        blocks = counts.where((F.col("__before") < size) & (F.col("__before") + F.col("__in") >= size)).select("__block", source, (size - F.col("__before")).alias("__nth")).collect()  # one for each source
+        if len(blocks) == len(sizes):
+            break
+        n *= 2
+    out = {}
+    for r in blocks:
+        begin = r["__block"] * SLOTS
+        own = _drawn(spark, source, kind, weights, begin, min(begin + SLOTS, n), seed).where(F.col(source) == F.lit(r[source]))
+        out[r[source]] = own.select("slot").orderBy("slot").limit(r["__nth"]).agg(F.max("slot")).first()[0]
+    return out
+
+
+def mix_by_weight(df: DataFrame, source: str, order: str, weights: Mapping[str, float], n: int | None, seed: int, *, strategy: str | None = None) -> DataFrame:
+    """n slots (None: as many as there are rows), each from a source drawn by weight; a source gives its rows in order and starts again at its end.
+
+    With a strategy the mix ends by itself and n is left out: first_exhausted once a source has given its last row, all_exhausted once all
+    have, all_exhausted_without_replacement there too, and sources that have run out give no more rows. A source without rows or weight
+    would never end, so it is an error.
+    """
+    spark, kind = df.sparkSession, df.schema[source].dataType.simpleString()
+    df = df.where(F.col(source).isin(list(weights)))
+    counted = df.groupBy(source).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = {r[source]: r["__n"] for r in counted.collect()}  # one for each weight
+    if missing := [s for s, w in weights.items() if not sizes.get(s) or w <= 0]:
+        raise ValueError(f"no rows or no weight: {', '.join(map(str, missing))}")
     if strategy:
-        last = keyed.where(F.col("__k") == F.col("__n") - 1).agg(F.min("slot").alias("__least"), F.max("slot").alias("__most"), F.count(F.lit(1)).alias("__done"))  # one row
-        most = F.when(F.col("__done") == len(weights), F.col("__most")).otherwise(F.lit(n))
-        keyed = keyed.join(F.broadcast(last)).where(F.col("slot") <= (F.col("__least") if strategy == "first_exhausted" else most)).drop("__least", "__most", "__done")
-        if strategy == "all_exhausted_without_replacement":
-            keyed = keyed.where(F.col("__k") < F.col("__n"))
+        if n is not None:
+            raise ValueError("a strategy ends the mix, not a number of slots")
+        ends = last_draws(spark, source, kind, weights, sizes, seed).values()
+        n = (min(ends) if strategy == "first_exhausted" else max(ends)) + 1
+    n = sum(sizes.values()) if n is None else n
+    drawn = _drawn(spark, source, kind, weights, 0, n, seed)
+    slots = _ranked(drawn, _counted(drawn, source), source)
+    rows = running(df, [source], order, F.lit(1), "__r")
+    keyed = slots.join(F.broadcast(counted), source).withColumn("__r", F.pmod("__k", F.col("__n")))  # a row for each weight
+    if strategy == "all_exhausted_without_replacement":
+        keyed = keyed.where(F.col("__k") < F.col("__n"))
     return keyed.join(rows, [source, "__r"]).drop("__k", "__r", "__n")
 
 

@@ -467,28 +467,32 @@ def concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.concatenate({"a": a, "b": b})
 
 
-@query("""with sl as (select s slot, ('0x' || left(md5('7:' || s), 13))::bigint / 4503599627370496.0 u from range(2000) r(s)), k as (select slot, case when u < 0.5 then 'de' when u < 0.75 then 'en' else 'fr' end lang from sl),
-n as (select *, row_number() over (partition by lang order by slot) - 1 i from k), d as (select lang, doc_id, row_number() over (partition by lang order by doc_id) - 1 j, count(*) over (partition by lang) c from documents)
-select n.slot::bigint slot, n.lang, doc_id::bigint doc_id from n join d on n.lang = d.lang and n.i % d.c = d.j""")
+_DRAWS = """with z as (select count(*) z from documents), sl as (select s slot, ('0x' || left(md5('7:' || s), 13))::bigint / 4503599627370496.0 u from (select unnest(range(SLOTS)) s from z)),
+k as (select slot, case when u < 0.4 then 'de' when u < 0.7 then 'en' when u < 0.9 then 'fr' else 'es' end lang from sl),
+n as (select *, row_number() over (partition by lang order by slot) - 1 i from k), d as (select lang, doc_id, row_number() over (partition by lang order by doc_id) - 1 j, count(*) over (partition by lang) c from documents)"""
+
+_WEIGHTS = {"de": 4.0, "en": 3.0, "fr": 2.0, "es": 1.0}
+
+
+@query(_DRAWS.replace("SLOTS", "z") + """ select n.slot::bigint slot, n.lang, doc_id::bigint doc_id from n join d on n.lang = d.lang and n.i % d.c = d.j""")
 def weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2000 places dealt to three sources by weight; each gives its rows in order and starts again at its end."""
-    d = read(spark, sf_dir, "documents").where("lang in ('de', 'en', 'fr')").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
-    return M.mix_by_weight(d, "lang", "doc_id", {"de": 2.0, "en": 1.0, "fr": 1.0}, 2000, 7).select("slot", "lang", "doc_id")
+    """As many places as documents, dealt to the languages by weight; each gives its rows in order and starts again at its end."""
+    d = read(spark, sf_dir, "documents").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
+    return M.mix_by_weight(d, "lang", "doc_id", _WEIGHTS, None, 7).select("slot", "lang", "doc_id")
 
 
-@query("""with sl as (select s slot, ('0x' || left(md5('7:' || s), 13))::bigint / 4503599627370496.0 u from range(20000) r(s)), k as (select slot, case when u < 0.5 then 'de' when u < 0.75 then 'en' else 'fr' end lang from sl),
-n as (select *, row_number() over (partition by lang order by slot) - 1 i from k), d as (select lang, doc_id, row_number() over (partition by lang order by doc_id) - 1 j, count(*) over (partition by lang) c from documents where lang in ('de', 'en', 'fr')),
+@query(_DRAWS.replace("SLOTS", "20 * z + 1000") + """,
 x as (select lang, max(c) c from d group by 1), e as (select min(slot) least, max(slot) most from (select min(slot) slot from n join x using (lang) where i = c - 1 group by n.lang)),
 a as (select 'first_exhausted' as strategy, n.slot, n.lang, doc_id from n join d on n.lang = d.lang and n.i % d.c = d.j, e where n.slot <= least
 union all select 'all_exhausted', n.slot, n.lang, doc_id from n join d on n.lang = d.lang and n.i % d.c = d.j, e where n.slot <= most
 union all select 'all_exhausted_without_replacement', n.slot, n.lang, doc_id from n join d on n.lang = d.lang and n.i = d.j, e where n.slot <= most)
 select strategy, slot::bigint slot, lang, doc_id::bigint doc_id from a""")
 def weighted_mix_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weighted mix with each rule of where it stops, out of at most 20000 places."""
-    d = read(spark, sf_dir, "documents").where("lang in ('de', 'en', 'fr')").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
+    """The weighted mix with each rule of where it stops."""
+    d = read(spark, sf_dir, "documents").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
     out = None
     for s in ("first_exhausted", "all_exhausted", "all_exhausted_without_replacement"):
-        m = M.mix_by_weight(d, "lang", "doc_id", {"de": 2.0, "en": 1.0, "fr": 1.0}, 20000, 7, strategy=s).select(F.lit(s).alias("strategy"), "slot", "lang", "doc_id")
+        m = M.mix_by_weight(d, "lang", "doc_id", _WEIGHTS, None, 7, strategy=s).select(F.lit(s).alias("strategy"), "slot", "lang", "doc_id")
         out = m if out is None else out.unionByName(m)
     return out
 
