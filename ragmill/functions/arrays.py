@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -190,13 +193,33 @@ def continuation_tokens(offsets: Column, at: Column) -> Column:
     return F.filter(offsets, lambda o: o["end"] > at)
 
 
-def propose_by_ngram(tokens: Column, low: int, high: int, k: int) -> Column:
-    """What followed the earliest earlier place of the longest suffix of low to high tokens: up to k tokens; [] if none."""
-
-    def places(n: int) -> Column:
-        suffix = F.slice(tokens, F.size(tokens) - n + 1, n)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n, F.lit(1))), lambda i: (F.size(tokens) > n) & (F.slice(tokens, i, n) == suffix))
-        return F.try_element_at(starts, F.lit(1)) + n
-
-    at = F.coalesce(*[F.when(F.size(tokens) > n, places(n)) for n in range(high, low - 1, -1)])
-    return F.when(at.isNull(), F.slice(tokens, 1, 0)).otherwise(F.slice(tokens, at, k))
+def proposal(tokens: Sequence, low: int, high: int, k: int) -> Sequence:
+    """Up to k tokens that followed the earliest earlier place of the longest suffix of low to high tokens; none if there is no such place.
+
+    The last tokens, backwards, are a pattern that is looked for in the others, backwards, by its failure function: linear time, whatever
+    the suffix's length.
+    """
+    pattern, n = list(tokens[::-1][:high]), len(tokens)
+    fail, state = [0] * len(pattern), 0
+    for i in range(1, len(pattern)):
+        while state and pattern[i] != pattern[state]:
+            state = fail[state - 1]
+        state += pattern[i] == pattern[state]
+        fail[i] = state
+    state, best, at = 0, 0, None
+    for i in range(n - 2, -1, -1):
+        while state and (state == len(pattern) or pattern[state] != tokens[i]):
+            state = fail[state - 1]
+        state += pattern[state] == tokens[i]
+        if state and state >= best:
+            best, at = state, i
+    return tokens[at + best : at + best + k] if at is not None and best >= low else tokens[:0]
+
+
+def propose_by_ngram(tokens: Column, low: int, high: int, k: int, kind: str = "array<int>", longest: int | None = None) -> Column:
+    """proposal() for arrays of a kind; longest bounds the tokens and what is proposed together."""
+
+    def each(arrays: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else list(proposal(list(x), low, high, k if longest is None else max(0, min(k, longest - len(x))))) for x in arrays])
+
+    return F.pandas_udf(each, kind)(tokens)

@@ -13,6 +13,8 @@ from ..operators import analytics as N
 from ..operators import curation as C
 from ..sources import readers, sinks
 from ..sources.folders import new_path
+from ..sources.json_lines import json_lines
+from ..streaming.streams import run_available
 from .base import query, read
 
 
@@ -58,6 +60,23 @@ def json_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_folder(spark, path).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus")
 
 
+@query("""select event_id::bigint event_id, event_type, round(value, 4) as value from events""")
+def jsonl_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines, read as a stream of byte ranges and drained."""
+    path = new_path(spark, "jsonl")
+    read(spark, sf_dir, "events").select("event_id", "event_type", "value").write.json(path)
+    out = run_available(json_lines(spark, path, "event_id long, event_type string, value double", stream=True, range_bytes=1 << 20), "jsonl")
+    return out.withColumn("value", F.round("value", 4))
+
+
+@query("""select user_id::bigint user_id, count(*) n from events group by 1""")
+def jsonl_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user out of a folder of JSON lines that is cut into ranges of 64 KB."""
+    path = new_path(spark, "jsonl")
+    read(spark, sf_dir, "events").select("user_id").write.json(path)
+    return json_lines(spark, path, "user_id long", range_bytes=1 << 16).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""select 'nations' as _dataset_name, n_nationkey::bigint as id, n_name as label, (row_number() over (order by n_nationkey) - 1)::bigint row_id, 'validation' as split from nation
 union all select 'parties', s_suppkey, s_name, row_number() over (order by s_suppkey) - 1, 'validation' from supplier""")
 def registry_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

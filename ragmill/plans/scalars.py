@@ -19,7 +19,7 @@ from ..operators import retrieval as R
 from ..operators import scoring as S
 from ..operators import telemetry as L
 from ..sources import readers
-from .base import query, read
+from .base import lines, query, read
 
 
 def _long(c: str):
@@ -137,19 +137,33 @@ def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(_long("vec_id"), text(X.mask_labels(F.array(F.lit(7), F.lit(8)), x)).alias("masked"), text(X.pad(x, 7, 0)).alias("padded"), text(X.pad(x, 3, 0)).alias("cut"), text(X.valid_gold(F.array(F.lit(-1), F.lit(0), i(v % 9), F.lit(4)), F.lit(5))).alias("gold"), i(X.resolve_index(i(-(v % 11) - 1), F.lit(5))).alias("resolved"), text(X.cyclic_slice(x, i(v % 5), 4)).alias("cyclic"), X.count_at_least(x, F.lit(2)).alias("at_least"), ends.alias("ends"))
 
 
-@query("""with e as (select vec_id, [1, 2, vec_id % 3, 4]::int[] a, [1, 2, vec_id % 2, 4]::int[] b from embeddings)
-select vec_id::bigint vec_id, array_to_string(case when a[3] = b[3] then a else a[1:2] end, ',') prefix, array_to_string(list_transform([a[1:3], a[4:4]], lambda c: array_to_string(c, '+')), ',') chunks, '12,15,18' as points, case vec_id % 3 when 1 then '2,1' when 2 then '2' else '' end proposed, 1::int straddling from e""")
+@query("""with o as (select l_orderkey, list((l_partkey % 3)::int order by l_linenumber) a, list((l_suppkey % 3)::int order by l_linenumber) b, min(l_partkey) low, max(l_partkey) high, sum(l_suppkey) % (3 * count(*)) place from lines group by 1),
+p as (select *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] != b[i])), len(a) + 1) - 1 same,
+ list_min(list_filter(range(1, len(a) - 1), lambda i: a[i] = a[-2] and a[i + 1] = a[-1])) two, list_min(list_filter(range(1, len(a)), lambda i: a[i] = a[-1])) one from o)
+select l_orderkey::bigint l_orderkey, array_to_string(a[1:same], ',') prefix, array_to_string(list_transform(range(0, len(a), 3), lambda i: array_to_string(a[i + 1:i + 3], '+')), ',') chunks,
+ array_to_string(list_sort(list_distinct(list_transform([1, 2, 3], lambda i: round_even(low + (high - low) * i / 4.0, 0)::bigint))), ',') points,
+ array_to_string(case when two is not null then a[two + 2:two + 3] when one is not null then a[one + 1:one + 2] else [] end, ',') proposed, len(list_filter(range(1, len(a) + 1), lambda i: 3 * i > place))::int straddling from p""")
 def sequence_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common prefixes, chunks, points between two ends, continuations by the longest suffix met before, tokens beyond a place."""
-    v = F.col("vec_id")
-    i = lambda x: x.cast("int")
+    """Lines of an order as sequences: common prefixes, chunks, points between two ends, continuations by the longest suffix met before,
+    tokens beyond a place."""
     text = lambda a: F.array_join(a.cast("array<string>"), ",")
-    a, b = (F.array(F.lit(1), F.lit(2), i(v % k), F.lit(4)) for k in (3, 2))
-    chunks = F.transform(X.chunked(a, 3), lambda c: F.array_join(c.cast("array<string>"), "+"))
-    proposed = X.propose_by_ngram(F.array(F.lit(1), F.lit(2), i(v % 3)), 1, 2, 2)
-    offsets = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(e).alias("end")) for s, e in ((0, 3), (3, 6))])
-    e = read(spark, sf_dir, "embeddings")
-    return e.select(_long("vec_id"), text(X.common_prefix(F.array(a, b))).alias("prefix"), F.array_join(chunks, ",").alias("chunks"), text(_ints(X.interior_points(F.lit(9.5), F.lit(20.5), 3))).alias("points"), text(proposed).alias("proposed"), F.size(X.continuation_tokens(offsets, F.lit(4))).alias("straddling"))
+    entry = F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 3).cast("int").alias("a"), (F.col("l_suppkey") % 3).cast("int").alias("b"))))
+    o = lines(spark, sf_dir).groupBy(_long("l_orderkey")).agg(entry.alias("e"), F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high"), (F.sum("l_suppkey") % (3 * F.count(F.lit(1)))).alias("place"))
+    o = o.withColumn("a", F.transform("e", lambda x: x["a"])).withColumn("b", F.transform("e", lambda x: x["b"]))
+    offsets = F.transform("e", lambda x, i: F.struct((3 * i).alias("start"), (3 * i + 3).alias("end")))
+    chunks = F.transform(X.chunked(F.col("a"), 3), lambda c: F.array_join(c.cast("array<string>"), "+"))
+    points = X.interior_points(F.col("low").cast("double"), F.col("high").cast("double"), 3).cast("array<long>")
+    return o.select("l_orderkey", text(X.common_prefix(F.array("a", "b"))).alias("prefix"), F.array_join(chunks, ",").alias("chunks"), text(points).alias("points"), text(X.propose_by_ngram(F.col("a"), 1, 2, 2)).alias("proposed"), F.size(X.continuation_tokens(offsets, F.col("place"))).alias("straddling"))
+
+
+@query("""with w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t-\\r]+'), lambda x: x != '') ws from documents),
+p as (select doc_id, ws, len(ws) n, list_min(list_filter(range(1, len(ws) - 3), lambda i: ws[i] = ws[-4] and ws[i + 1] = ws[-3] and ws[i + 2] = ws[-2] and ws[i + 3] = ws[-1])) p4,
+ list_min(list_filter(range(1, len(ws) - 2), lambda i: ws[i] = ws[-3] and ws[i + 1] = ws[-2] and ws[i + 2] = ws[-1])) p3, list_min(list_filter(range(1, len(ws) - 1), lambda i: ws[i] = ws[-2] and ws[i + 1] = ws[-1])) p2 from w)
+select doc_id::bigint doc_id, array_to_string(case when p4 is not null then ws[p4 + 4:p4 + 8] when p3 is not null then ws[p3 + 3:p3 + 7] when p2 is not null then ws[p2 + 2:p2 + 6] else [] end, ' ') proposed from p""")
+def ngram_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document would go on with if it repeated itself: five words after the first place of its last two to four."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t-\r]+", -1), lambda w: w != "")
+    return read(spark, sf_dir, "documents").select(_long("doc_id"), F.array_join(X.propose_by_ngram(words, 2, 4, 5, "array<string>"), " ").alias("proposed"))
 
 
 def _ints(xs):
@@ -421,6 +435,18 @@ def minimum_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.col("c.turn").cast("long").alias("turn"), F.round("mean_similarity", 6).alias("mean_similarity"))
 
 
+@query("""with w as (select conv_id q, turn i, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x != '') ws from conversations),
+g as (select q, i, n, array_to_string(ws[p:p + n - 1], ' ') g, count(*) c from (select q, i, ws, n, unnest(range(1, len(ws) - n + 2)) p from w, (select unnest([1, 2, 3, 4]) n)) group by all),
+m as (select a.q, a.i, sum(least(a.c, b.c)) filter (a.n = 1) m1, sum(least(a.c, b.c)) filter (a.n = 2) m2, sum(least(a.c, b.c)) filter (a.n = 3) m3, sum(least(a.c, b.c)) filter (a.n = 4) m4 from g a join g b on a.q = b.q and a.n = b.n and a.g = b.g and a.i != b.i group by 1, 2),
+l as (select q, i, len(ws) l, count(*) over (partition by q) - 1 k, sum(len(ws)) over (partition by q) - len(ws) r from w),
+s as (select q, i, case when coalesce(m1, 0) = 0 then 0 else least(1, exp(1 - r / (k * l))) * exp((ln(m1 / (k * l)) + ln((coalesce(m2, 0) + 1) / (k * greatest(l - 1, 0) + 1)) + ln((coalesce(m3, 0) + 1) / (k * greatest(l - 2, 0) + 1)) + ln((coalesce(m4, 0) + 1) / (k * greatest(l - 3, 0) + 1))) / 4) end b from l left join m using (q, i))
+select q::bigint conv_id, arg_min(i, (-round(b, 9), i))::bigint turn, round(max(b), 6) bleu from s group by 1""")
+def minimum_risk_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the turns of each conversation, as samples of one answer, the one of least risk under BLEU."""
+    c = read(spark, sf_dir, "conversations").select(_long("conv_id"), _long("turn"), "text")
+    return E.minimum_risk_bleu(c, "conv_id", "turn", "text").withColumn("bleu", F.round("bleu", 6))
+
+
 @query("""with o as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) r from orders) select o_custkey::bigint o_custkey, o_orderkey::bigint o_orderkey, r::int as "rank" from o where r <= 3 and o_orderstatus != 'F'""")
 def static_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pipeline declared as a list of named steps: retrieve the best three, number them, keep what is verified."""
