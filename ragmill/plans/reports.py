@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import register
 from ..operators import analytics as N
 from ..operators import telemetry as T
+from ..operators.states import Ledger
+from ..sources.folders import new_path
 from .base import query, read
 
 
@@ -232,3 +235,27 @@ def cross_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All combinations of three parameter lists: a sweep's grid, whose size is the feature."""
     sizes = read(spark, sf_dir, "part").select("p_size").distinct()
     return read(spark, sf_dir, "region").select("r_name").crossJoin(read(spark, sf_dir, "nation").select("n_name")).crossJoin(sizes)
+
+
+@query("""with w as (select conv_id, turn, role, unnest(string_split_regex(trim(text, chr(32) || chr(10) || chr(9)), '\\s+')) word, generate_subscripts(string_split_regex(trim(text, chr(32) || chr(10) || chr(9)), '\\s+'), 1) i from conversations),
+p as (select *, row_number() over (partition by conv_id order by turn, i) - 1 p, count(*) over (partition by conv_id) n from w where word != ''),
+c as (select *, unnest(range(case when p < 40 then 0 else (p - 40) // 30 + 1 end, least(p // 30, greatest(ceil((n - 10) / 30.0), 1) - 1)::bigint + 1)) chunk from p)
+select conv_id::bigint conv_id, min(turn)::bigint turn, arg_min(role, p) as role, chunk::bigint chunk, count(*) n_words, count(distinct turn) n_rows, md5(string_agg(word, ' ' order by p)) as words from c group by conv_id, chunk""")
+def chunk_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in chunks of 40 words that share 10, by the table function in SQL."""
+    register(spark)
+    read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").createOrReplaceTempView("turns_to_chunk")
+    out = spark.sql("select * from chunk_rows(table(turns_to_chunk) partition by conv_id order by turn, text => 'text', size => 40, overlap => 10)")
+    return out.withColumn("words", F.md5("words"))
+
+
+@query("""select event_type, 'value' as metric, count(value) as "count", round(avg(value), 6) as mean, round(var_samp(value), 4) as variance, round(min(value), 6) as "min", round(max(value), 6) as "max" from events group by 1
+union all select event_type, 'user', count(user_id), round(avg(user_id), 6), round(var_samp(user_id), 4), min(user_id), max(user_id) from events group by 1""")
+def merged_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means, variances and ends of events, added by three runs as states, one of them twice, and merged."""
+    e = read(spark, sf_dir, "events")
+    ledger = Ledger(spark, new_path(spark, "states"), ["event_type"], {"value": F.col("value"), "user": F.col("user_id")})
+    for run, part in (("a", e.where("event_id % 5 = 0")), ("b", e.where("event_id % 5 in (1, 2)")), ("c", e.where("event_id % 5 > 2")), ("b", e.where("event_id % 5 in (1, 2)"))):
+        ledger.add(run, part)
+    out = ledger.values()
+    return out.select("event_type", "metric", "count", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))

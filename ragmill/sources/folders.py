@@ -47,6 +47,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    at, fs = _at(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     at, fs = _at(spark, old)
     if not fs.rename(at, _at(spark, new)[0]):
