@@ -5,7 +5,7 @@ A record's draws for the old shards stay as they are when a shard joins, so it m
 
 Defined results: a null key is a key of its own; a null text counts as no bytes and as the empty text's checksum; texts are read
 whole, however long; equal draws go to the shard of the smaller number; repeated rows get the same shard and a slot each, rows of
-one key are in the order of their checksums and sizes, and what ties in these is equal; an empty table gives no rows; only the key and the text are read, so other
+one key have slots in no order; an empty table gives no rows; only the key and the text are read, so other
 columns, whatever their names, have no effect and are not returned.
 """
 
@@ -16,8 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_table
+
 #: Groups of slots over all shards; bounds the table of offsets that is broadcast, whatever the input's size.
 SLOT_GROUPS = 1 << 16
+#: Parts that rows alike are dealt to.
+SALTS = 1024
 
 
 def draw(key: Column, shard: int, weight: float) -> Column:
@@ -44,7 +48,8 @@ def rendezvous_shards(
     """key, size, text_crc32, shard, slot, and grown_shard: the shard under the weights in grown, null without them.
 
     Slots run gapless from 0 in each shard. They come from counts of (shard, hash group), whose running totals are a
-    table of at most SLOT_GROUPS rows, and from row numbers within a group; no shard is sorted as a whole.
+    table of at most SLOT_GROUPS rows, and from row numbers within a group; no shard is sorted as a whole. Rows of one key, and rows
+    repeated as a whole, are in many groups.
     """
     groups = max(1, SLOT_GROUPS // len(weights))
     k = shard_key(F.col("__key"))
@@ -53,9 +58,12 @@ def rendezvous_shards(
         (F.octet_length("__text").cast("long") + 8).alias("size"),
         F.crc32("__text").alias("text_crc32"),
         choose(k, weights).alias("shard"),
-        F.pmod(F.xxhash64(F.lit("slot"), k), F.lit(groups)).cast("int").alias("__group"),
         (choose(k, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt"),
     )
+    group = F.pmod(F.xxhash64(F.lit("slot"), "__key", "text_crc32", "size", "__salt"), F.lit(groups)).cast("int")
+    # Written, so that texts are read once and that counts and row numbers see the same salts.
+    keyed = shared_table(keyed.select("*", group.alias("__group")).drop("__salt"), "shards")
     before = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("shard", "__group").agg(F.count(F.lit(1)).alias("__n"))
     offsets = offsets.select("shard", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
