@@ -48,7 +48,7 @@ def covered_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     # Written, so that the join below shuffles both sides itself and a hot window's partition can be split.
     repeated = shared_table(seen.where("__n > 1").select("a", "b", "__first"), "line-repeats")
     later = windows.join(repeated.hint("merge"), ["a", "b"]).where(~place.eqNullSafe(F.col("__first")))
-    spread = F.flatten(F.transform(F.collect_list("__at"), lambda p: F.sequence(p, p + SPAN - 1)))
+    spread = F.flatten(F.transform(F.collect_set("__at"), lambda p: F.sequence(p, p + SPAN - 1)))
     return later.groupBy("__key", "__hash").agg(F.sort_array(F.array_distinct(spread)).alias("__gone"))
 
 
