@@ -62,11 +62,10 @@ def class_of(n: int) -> Class:
     return next(c for c in CLASSES if n >= c.shortest)
 
 
-def _each(rows: DataFrame, classes: Sequence[Class] | None, bitmap=None) -> DataFrame:
+def _each(rows: DataFrame, classes: Sequence[Class] | None, known=None) -> DataFrame:
     """key, gram from key, text: all grams of these classes that the bitmap knows, or without classes those of the text's own class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(bitmap.value, np.uint64) if bitmap else None
         keys: list[np.ndarray] = []
         found: list[np.ndarray] = []
 
@@ -80,9 +79,8 @@ def _each(rows: DataFrame, classes: Sequence[Class] | None, bitmap=None) -> Data
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 own = np.concatenate([np.zeros(0, np.int64), *(grams(text, c) for c in (classes if classes is not None else [class_of(len(text))]))])
-                if known is not None:
-                    at = own.view(np.uint64) & np.uint64(BITS - 1)
-                    own = own[(known[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                if known:
+                    own = own[in_bitmap(own, known.value)]
                 if len(own):
                     keys.append(np.full(len(own), key))
                     found.append(own)
@@ -94,14 +92,22 @@ def _each(rows: DataFrame, classes: Sequence[Class] | None, bitmap=None) -> Data
     return rows.mapInArrow(run, "key long, gram long")
 
 
-def _bitmap(pattern_grams: DataFrame) -> bytes:
-    place = F.col("gram").bitwiseAND(F.lit(BITS - 1))
-    bits = pattern_grams.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 63 as int))")).alias("b")).toArrow()  # at most BITS / 64 rows
+def bitmap(hashes: DataFrame, column: str = "gram") -> bytes:
+    """BITS bits, one set for each hash: of fixed size, however many there are."""
+    place = F.col(column).bitwiseAND(F.lit(BITS - 1))
+    bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    bits = hashes.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()  # at most BITS / 64 rows
     out = np.zeros(BITS // 64, np.int64)
     out[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
     return out.tobytes()
 
 
+def in_bitmap(hashes: np.ndarray, bits: bytes) -> np.ndarray:
+    """Which of the hashes may be among those that the bitmap was made of."""
+    at = hashes.view(np.uint64) & np.uint64(BITS - 1)
+    return (np.frombuffer(bits, np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def contained(docs: DataFrame, patterns: DataFrame, *, keep: Sequence[str], text: str, item: str, pattern: str) -> DataFrame:
     """keep and item for each document and each pattern that its text contains, an empty one too; null texts and patterns match nothing.
     Letters count as they are: fold both sides beforehand."""
@@ -112,8 +118,8 @@ def contained(docs: DataFrame, patterns: DataFrame, *, keep: Sequence[str], text
     used = items.agg(*[F.max((size >= c.shortest) & (size < above.shortest if above else F.lit(True))) for c, above in zip(CLASSES, [None, *CLASSES], strict=False)]).first()
     classes = [c for c, u in zip(CLASSES, used, strict=True) if u]
     pattern_grams = stored(_each(items.select(F.col("__ph").alias("key"), "__p"), None).distinct(), "pattern-grams")
-    bitmap = spark.sparkContext.broadcast(_bitmap(pattern_grams))
-    text_grams = stored(_each(rows.select(F.col("__th").alias("key"), "__t"), classes, bitmap), "text-grams")
+    known = spark.sparkContext.broadcast(bitmap(pattern_grams))
+    text_grams = stored(_each(rows.select(F.col("__th").alias("key"), "__t"), classes, known), "text-grams")
 
     counts = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     index = pattern_grams.join(counts, "gram", "left").groupBy(F.col("key").alias("__ph")).agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"), F.count_if(F.col("n").isNull()).alias("absent"))
