@@ -8,8 +8,8 @@ more. What holds that many keys is a candidate; thus the containment estimate of
 containing document is missed, however long. Candidates are verified by exact containment of the shingles' words. Documents
 are not sketched: every shingle of theirs is looked up.
 
-The item side is the stated query set: it is broadcast if the measured size of its texts and hashes is below `limit` bytes;
-beyond that the hashes of documents meet the sketch keys in a shuffled join, which gives the same rows.
+Documents meet items in shuffled joins, whatever the sizes of both. A bitmap of fixed size, made of the items' hashes, keeps
+shingles that no item has from leaving a document's task; one that is full keeps none and changes no result.
 
 Words are lower-case, split at ASCII white space, with ASCII punctuation stripped from their ends; words of punctuation alone
 are dropped. Defined results: null and empty texts contain nothing; items with fewer than five words have no shingle and match
@@ -21,24 +21,21 @@ from __future__ import annotations
 
 import re
 import string
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.matching import bitmap, in_bitmap
 from .common import shared_table, text_hash, without_rows
 
 SHINGLE = 5
 #: Containment, as a fraction: 4 of 5.
 SHARE = (4, 5)
-#: Bytes of item texts and of their hashes (9 for each byte of text at most, as a word has two or more) that may be broadcast.
-LIMIT = 16 << 20
-#: Items whose shingles a worker keeps as words.
-KEPT_ITEMS = 1024
 _WHITE = " \t\n\x0b\x0c\r"
 _TABLE = {ord(c): " " for c in _WHITE}
 #: White space to str.split() that isn't ASCII white space.
@@ -84,112 +81,55 @@ def least_keys(n: int) -> int:
     return sketch_length(n) - n * (SHARE[1] - SHARE[0]) // SHARE[1]
 
 
-class Partition:
-    """The items of one size class: their sketch keys, sorted, with the items that own them."""
-
-    def __init__(self, sketches: list[np.ndarray], owners: list[int], least: list[int]):
-        keys = np.concatenate(sketches)
-        who = np.repeat(np.arange(len(owners)), [len(x) for x in sketches])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.who, self.owners, self.least = keys[order], who[order], np.array(owners), np.array(least)
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.keys >> np.uint64(48)).astype(np.int64)] = True
-
-    def candidates(self, h: np.ndarray) -> np.ndarray:
-        """Items of which so many keys are among the hashes that the text may contain them."""
-        h = h[self.filter[(h >> np.uint64(48)).astype(np.int64)]]
-        h = h[np.isin(h, self.keys)] if len(h) else h
-        if not len(h):
-            return np.zeros(0, np.int64)
-        held = np.bincount(self.who[np.isin(self.keys, h)], minlength=len(self.owners))
-        return self.owners[held >= self.least]
-
-
-class Items:
-    """Test items: texts as they are, an index for each size class, and the shingles of the items met last for the exact check."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.texts, made = [], [], {}
-        for item, text in rows:
-            h = np.unique(_hashes(words(text or "")))
-            if not len(h):
-                continue
-            sketches, owners, least = made.setdefault(size_class(len(h)), ([], [], []))
-            sketches.append(h[: sketch_length(len(h))])
-            owners.append(len(self.ids))
-            least.append(least_keys(len(h)))
-            self.ids.append(item)
-            self.texts.append(text)
-        self.parts = [Partition(*x) for _, x in sorted(made.items())]
-        self.kept: OrderedDict[int, dict[int, tuple[str, ...]]] = OrderedDict()
-
-    def shingles(self, i: int) -> dict[int, tuple[str, ...]]:
-        if i not in self.kept:
-            ws = words(self.texts[i])
-            h, first = np.unique(_hashes(ws), return_index=True)
-            self.kept[i] = {int(x): tuple(ws[j : j + SHINGLE]) for x, j in zip(h, first, strict=True)}
-            if len(self.kept) > KEPT_ITEMS:
-                self.kept.popitem(last=False)
-        return self.kept[i]
-
-    def found(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, its shingles, those in the text) of all items that the text contains."""
-        ws = words(text)
-        h = _hashes(ws)
-        out = []
-        for i in [i for p in self.parts for i in p.candidates(h).tolist()]:
-            own = self.shingles(i)
-            at = np.flatnonzero(np.isin(h, np.fromiter(own, np.uint64, len(own))))
-            here = {tuple(ws[j : j + SHINGLE]) for j in at.tolist()}
-            shared = sum(s in here for s in own.values())
-            if shared * SHARE[1] >= len(own) * SHARE[0]:
-                out.append((self.ids[i], len(own), shared))
-        return out
-
-
-def _matches(docs: DataFrame, item_kind: str, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _item_shingles(items: DataFrame, kind: str) -> DataFrame:
+    """item_id, __ih, h, s (the shingle), n (shingles of the item), k (sketch keys that a document needs, on sketch keys alone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
             for i, x in enumerate(batch.column(2)):
-                for row in shared.value.found(x.as_py() or ""):
-                    at.append(i)
-                    rows.append(row)
-            take = pa.array(at, pa.int64())
-            columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns], names=["__key", "__hash", "item_id", "n_shingles", "n_shared"])
+                ws = words(x.as_py() or "")
+                h, first = np.unique(_hashes(ws), return_index=True)
+                n = len(h)
+                if n:
+                    take = pa.array(np.full(n, i))
+                    text = pa.array([" ".join(ws[j : j + SHINGLE]) for j in first.tolist()])
+                    keys = pa.array(np.full(n, least_keys(n)), mask=np.arange(n) >= sketch_length(n))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), text, pa.array(np.full(n, n)), keys], names=["item_id", "__ih", "h", "s", "n", "k"])
 
-    kind = docs.schema["__key"].dataType.simpleString()
-    return docs.select("__key", "__hash", "__text").mapInArrow(run, f"__key {kind}, __hash long, item_id {item_kind}, n_shingles long, n_shared long")
+    return items.select("__key", "__hash", "__text").mapInArrow(run, f"item_id {kind}, __ih long, h long, s string, n long, k long")
 
 
-def _shingle_rows(table: DataFrame, key_kind: str) -> DataFrame:
-    """__key, __hash, h, s (the shingle), n (shingles of the row), k (sketch keys that a document needs, on sketch keys alone)."""
+def _document_shingles(docs: DataFrame, kind: str, known: Broadcast) -> DataFrame:
+    """__key, __hash, h, s: the distinct shingles of each document that the bitmap of the items' hashes lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, hashes, texts = [], [], []
             for i, x in enumerate(batch.column(2)):
                 ws = words(x.as_py() or "")
-                h, first = np.unique(_hashes(ws), return_index=True)
-                n = len(h)
-                if n:
-                    take = pa.array(np.full(n, i))
-                    text = pa.array([" ".join(ws[j : j + SHINGLE]) for j in first.tolist()])
-                    keys = pa.array(np.full(n, least_keys(n)), mask=np.arange(n) >= sketch_length(n))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), text, pa.array(np.full(n, n)), keys], names=["__key", "__hash", "h", "s", "n", "k"])
+                own = _hashes(ws)
+                places = np.flatnonzero(in_bitmap(own, known.value))
+                h, first = np.unique(own[places], return_index=True)
+                at += [i] * len(h)
+                hashes.append(h)
+                texts += [" ".join(ws[j : j + SHINGLE]) for j in places[first].tolist()]
+            take = pa.array(at, pa.int64())
+            found = pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), found, pa.array(texts, pa.string())], names=["__key", "__hash", "h", "s"])
 
-    return table.select("__key", "__hash", "__text").mapInArrow(run, f"__key {key_kind}, __hash long, h long, s string, n long, k long")
+    return docs.select("__key", "__hash", "__text").mapInArrow(run, f"__key {kind}, __hash long, h long, s string")
 
 
-def _matches_by_join(docs: DataFrame, items: DataFrame, kinds: tuple[str, str]) -> DataFrame:
-    """The same for an item side of any size: sketch keys name candidate pairs, whose distinct shared shingles are then counted.
+def _contained(df: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
+    """Sketch keys name candidate pairs, whose distinct shared shingles are then counted.
 
     Ids are met null-safely. Pairs are decided once for rows alike; the rows are then joined back, so that repeated ones get theirs.
     """
-    d = _shingle_rows(docs, kinds[0]).select("__key", "__hash", "h", "s")
-    i = _shingle_rows(items, kinds[1]).select(F.col("__key").alias("item_id"), F.col("__hash").alias("__ih"), "h", "s", "n", "k").distinct()
+    docs, items = _keyed(df, key, text), _keyed(benchmark, item_key, item_text)
+    kinds = [t.schema["__key"].dataType.simpleString() for t in (docs, items)]
+    i = shared_table(_item_shingles(items, kinds[1]).distinct(), "item-shingles")
+    known = df.sparkSession.sparkContext.broadcast(bitmap(i, "h"))
+    d = shared_table(_document_shingles(docs, kinds[0], known), "document-shingles")
     met = d.join(i.where("k is not null"), ["h", "s"]).select("__key", "__hash", "item_id", "__ih", "n", "k", "h").distinct()
     pairs = met.groupBy("__key", "__hash", "item_id", "__ih", "n", "k").agg(F.count(F.lit(1)).alias("held")).where("held >= k").drop("held", "k")
     own = _null_safe(pairs, i.select("item_id", "__ih", "h", "s"), "item_id", "__ih")
@@ -213,21 +153,12 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("__key"), text_hash(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
 
 
-def _contained(df: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, limit: int) -> DataFrame:
-    docs, items = _keyed(df, key, text), _keyed(benchmark, item_key, item_text)
-    kinds = tuple(t.schema["__key"].dataType.simpleString() for t in (docs, items))
-    size = items.agg(F.sum(F.octet_length("__text") * 10 + 64)).first()[0] or 0
-    if size <= limit:
-        return _matches(docs, kinds[1], Items([(r["__key"], r["__text"]) for r in items.select("__key", "__text").collect()]))
-    return _matches_by_join(docs, items, kinds)
-
-
-def find_contamination(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", limit: int = LIMIT) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, item_id, n_shingles of the item and n_shared: all pairs of a document and an item that it contains."""
-    return _contained(df, benchmark, key, text, item_key, item_text, limit).drop("__hash").withColumnRenamed("__key", key)
+    return _contained(df, benchmark, key, text, item_key, item_text).drop("__hash").withColumnRenamed("__key", key)
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", limit: int = LIMIT) -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """df without the documents that contain an item. Their keys are written, then met in an anti join."""
-    found = _contained(df, benchmark, key, text, item_key, item_text, limit).select("__key", "__hash").distinct()
+    found = _contained(df, benchmark, key, text, item_key, item_text).select("__key", "__hash").distinct()
     return without_rows(df, shared_table(found, "contaminated"), key=key, text=text)
