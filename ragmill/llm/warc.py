@@ -13,7 +13,7 @@ but holds a damaged record, only the inflated bytes between the records that hol
 Defined results: a null payload is an empty one; a null id or URL leaves its header out and is read back as null; repeated rows get a
 record each, all of them responses if theirs is the least id, and between equal payloads of one id there is no first; an empty
 table writes no records; an empty archive gives no records and no gap, a wholly damaged one no records and one gap for its bytes;
-payloads are written and read whole, a long one as a file of its own; a member that inflates to more than MOST_INFLATED is
+payloads are written and read whole, a long one as a file of its own; a member that inflates to more than any row's value can hold is
 quarantined; other columns are not read.
 """
 
@@ -33,8 +33,10 @@ from .common import shared_table
 
 #: Payloads below this size are never revisits.
 LEAST = 100
-#: Bytes after which a file is closed, and that a member may inflate to: they bound what a reading task holds.
-FILE_BYTES, MOST_INFLATED = 8 << 20, 1 << 30
+#: Bytes after which a file is closed.
+FILE_BYTES = 8 << 20
+#: Beyond this a member holds more than a value of a row can (2 GiB) and its headers: no record that a row could give or take.
+MOST_INFLATED = (1 << 31) + (1 << 20)
 #: Parts that a digest's pages are dealt to where they meet the digest's first page.
 SALTS = 16
 
