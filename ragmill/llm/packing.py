@@ -46,6 +46,8 @@ LARGE = (8, 4, 3)
 STALLED, STEPS = 200, 4000
 #: Pieces of one length that a task numbers together, while there are fewer than PARTS * PIECES; (length, part) pairs.
 PIECES, PARTS = 4096, 1 << 17
+#: A column that deals rows which are alike to SALTS parts.
+SALT, SALTS = "__salt", 1024
 #: Words that a worker keeps with their ids.
 KEPT_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
@@ -336,13 +338,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """Adds sequence_id and offset to pieces with __key, piece and length. The table is read three times: pass a written one."""
+    """Adds sequence_id and offset to pieces with __key, piece, length and ids_crc32. The table is read three times: pass a written one. A
+    column SALT parts rows that are alike in all these."""
     spark = pieces.sparkSession
     # At most `capacity` rows: a count for each length. Parts in proportion to them: at most PARTS + capacity, whatever the input's size.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = max(PIECES, sum(histogram.values()) // PARTS)
     parts = spark.createDataFrame(pa.table({"__length": pa.array(list(histogram), pa.int64()), "__parts": pa.array([-(-n // share) for n in histogram.values()], pa.int64())}))
-    part = F.pmod(F.xxhash64("__key", "piece"), F.col("__parts"))
+    part = F.pmod(F.xxhash64("__key", "piece", "ids_crc32", *([SALT] if SALT in pieces.columns else [])), F.col("__parts"))
     dealt = pieces.join(F.broadcast(parts), pieces["length"] == parts["__length"]).withColumn("__part", part).drop("__length", "__parts")
     counts = dealt.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -358,10 +361,11 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int = GROUPS) -
     step = F.col("__rank") - F.col("low")
     placed = ranked.join(F.broadcast(table), fits).withColumn("sequence_id", F.col("first") + F.floor(step / F.col("each")).cast("long"))
     placed = placed.withColumn("__offset", F.col("offset") + F.pmod(step, F.col("each")) * ranked["length"])
-    return placed.select(*[ranked[c] for c in pieces.columns], "sequence_id", F.col("__offset").alias("offset"))
+    return placed.select(*[ranked[c] for c in pieces.columns if c != SALT], "sequence_id", F.col("__offset").alias("offset"))
 
 
 def pack_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece."""
-    pieces = shared_table(token_pieces(df, key=key, text=text, tokenizer=tokenizer, capacity=capacity), "pieces")
+    pieces = token_pieces(df, key=key, text=text, tokenizer=tokenizer, capacity=capacity)
+    pieces = shared_table(pieces.withColumn(SALT, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "pieces")
     return pack(pieces, capacity=capacity, groups=groups).withColumnRenamed("__key", key)
