@@ -253,9 +253,20 @@ def heatmap(df: DataFrame, states: str, weights: str, segment: str, segments: Se
 
 
 def grouped_by_label(df: DataFrame, label: str, pattern: str, names: Sequence[str], value: str) -> DataFrame:
-    """Measurements grouped by what a pattern's groups find in their label: values in rising order."""
+    """Measurements grouped by what a pattern's groups find in their label: a row for each, with its place in the group's rising values
+    (from 0) and how many the group has. Groups may have any number."""
     parts = [F.regexp_extract(label, pattern, i + 1).alias(n) for i, n in enumerate(names)]
-    return df.where(F.regexp_like(F.col(label), F.lit(pattern))).select(*parts, value).groupBy(*names).agg(F.array_sort(F.collect_list(value)).alias("measured"))
+    rows = df.where(F.regexp_like(F.col(label), F.lit(pattern))).select(*parts, value)
+    placed = ranges.places(rows, list(names), F.col(value))
+    return placed.join(placed.groupBy(*names).agg(F.count(F.lit(1)).alias("of")), list(names))
+
+
+def running_counters(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """mean and most: a counter's average and maximum up to each row of its group; order is numeric and without ties in a group."""
+    rows = df
+    for name, what, how in (("__n", F.lit(1), "sum"), ("__sum", F.col(value), "sum"), ("__most", F.col(value), "max")):
+        rows = ranges.before(rows, [group], order, what, name, how=how)
+    return rows.withColumn("mean", (F.col("__sum") + F.col(value)) / (F.col("__n") + 1)).withColumn("most", F.greatest("__most", value)).drop("__n", "__sum", "__most")
 
 
 # A small filter language: `size>=10,name==x,ratio!=inf`

@@ -175,9 +175,14 @@ def stitched(spark, n: int, images: DataFrame, image: str, grid: int, seed: int)
     return first.join(images.select("row_id", image), "row_id").select("id", cell.alias("cell"), image)
 
 
+#: Rows up to which a settings table is broadcast.
+FEW = 10_000
+
+
 def config_matrix(tables: Sequence[DataFrame]) -> DataFrame:
-    """A row for each combination of the values of several settings: the cross product is the feature, and its tables are the caller's."""
+    """A row for each combination of the values of several settings: the cross product is the feature, and its tables are the caller's. A
+    table is broadcast if it is counted to be small."""
     out = tables[0]
     for t in tables[1:]:
-        out = out.crossJoin(F.broadcast(t))
+        out = out.crossJoin(F.broadcast(t) if t.limit(FEW + 1).count() <= FEW else t)
     return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import swap
 from ..functions.base import seeded, seeded_int
 from ..functions.text import base_document_id, evidence_list, fill
+from . import ranges
 
 # Filters and projections
 
@@ -122,9 +123,10 @@ def length_order(length: Column) -> list[Column]:
 
 
 def queue_order(df: DataFrame, by: Sequence[str], *, arrival: str, tie: str, priority: str | None = None) -> DataFrame:
-    """turn: the order in which each queue serves its requests, by priority (least first) and arrival, or by arrival alone."""
+    """turn: the order in which each queue serves its requests, by priority (least first) and arrival, or by arrival alone. A queue may hold
+    any number of requests."""
     keys = ([priority] if priority else []) + [arrival, tie]
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)))
+    return ranges.places(df, by, *[F.col(c) for c in keys], name="turn").withColumn("turn", F.col("turn") + 1)
 
 
 # Sampling
@@ -214,10 +216,19 @@ def nested_prefix(rows: DataFrame, k_values: Sequence[int], seed: int, *, exampl
 
 
 def few_shot(targets: DataFrame, pool: DataFrame, n: int, seed: int, *, key: str, pool_key: str, by: str) -> DataFrame:
-    """For each target n examples of its own group from a pool, by seeded hash; shot counts from 1."""
-    met = targets.select(F.col(key).alias("target_id"), by).join(pool.select(F.col(pool_key).alias("shot_id"), by), by).where(F.col("target_id") != F.col("shot_id"))
-    place = F.row_number().over(Window.partitionBy("target_id").orderBy(seeded(seed, F.col("target_id"), F.col("shot_id")), "shot_id"))
-    return met.withColumn("shot", place).where(F.col("shot") <= n)
+    """For each target up to n other examples of its own group from a pool; shot counts from 1.
+
+    A group's pool is shuffled by seed, and a target takes those that follow a seeded place of it, around the end: n + 1 places are looked
+    at, one of which may be the target itself, whatever the group's size.
+    """
+    own = pool.select(F.col(pool_key).alias("shot_id"), by).withColumn("__h", seeded(seed, F.col("shot_id")))
+    placed = ranges.places(own, [by], F.col("__h"), F.col("shot_id"), name="__i").drop("__h")
+    sizes = placed.groupBy(by).agg(F.count(F.lit(1)).alias("__m"))
+    start = F.pmod(seeded_int(seed, F.col("target_id"), F.lit("start")), F.col("__m"))
+    asked = targets.select(F.col(key).alias("target_id"), by).join(sizes, by).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(n), F.col("__m") - 1))))
+    met = asked.withColumn("__i", F.pmod(start + F.col("__k"), F.col("__m"))).join(placed, [by, "__i"]).where(F.col("target_id") != F.col("shot_id"))
+    shot = F.row_number().over(Window.partitionBy("target_id").orderBy("__k"))  # n + 1 rows at most
+    return met.withColumn("shot", shot).where(F.col("shot") <= n).drop("__m", "__k", "__i")
 
 
 def uniform_length(mean: int, ratio: float, seed: int, key: Column, least: int = 1) -> Column:

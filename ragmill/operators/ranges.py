@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import stored
+
 #: Rows of a range, and most ranges.
 ROWS, MOST = 200_000, 4096
 
@@ -50,3 +52,18 @@ def before(df: DataFrame, by: Sequence[str], order: str, value: Column, name: st
     both = tagged.withColumn("__at", fold("__v").over(own)).join(carried, met)
     out = F.coalesce("__before", F.lit(0)) + F.coalesce("__at", F.lit(0)) if how == "sum" else F.greatest("__before", "__at")
     return both.withColumn(name, out).drop("__part", "__v", "__at", "__before", "__range", *[f"__by_{i}" for i in range(len(by))])
+
+
+def places(df: DataFrame, by: Sequence[str], *order: Column, name: str = "place") -> DataFrame:
+    """Adds each row's place in its group, from 0, by any order without ties (or whose ties may be broken either way). Rows are sorted in
+    ranges of group and order, so no task holds a group; a range's rows of a group begin behind those of the ranges before it."""
+    shift = 33  # monotonically_increasing_id() has the range above, the place in it below
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__id", F.monotonically_increasing_id())
+    rows = stored(ranged.withColumn("__range", F.shiftright("__id", shift)), "places")
+    begins = rows.groupBy(*by, "__range").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__range")
+    begins = begins.select(*[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)], F.col("__range").alias("__r"), (F.sum("__n").over(earlier) - F.col("__n") - F.col("__first")).alias("__move"))
+    met = F.col("__range") == F.col("__r")
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"__by_{i}"))
+    return rows.join(begins, met).select(*df.columns, (F.col("__id") + F.col("__move")).alias(name))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import stored
@@ -125,10 +126,44 @@ def histogram_digest(samples: DataFrame) -> DataFrame:
     return samples.where("map_contains_key(labels, 'le')").groupBy("name", rest.alias("labels")).agg(F.map_from_entries(F.array_sort(pairs)).alias("buckets"))
 
 
+#: Events of a store that a task takes one after the other.
+STEPS = 1 << 16
+
+
 def live_counts(events: DataFrame, group: str, order: str, delta: str, capacity: int) -> DataFrame:
-    """Live and free rows of a bounded store after each event (+1 or -1); order is numeric and without ties in a group."""
-    live = ranges.before(events, [group], order, F.col(delta), "live").withColumn("live", F.col("live") + F.col(delta))
-    return live.withColumn("free", F.lit(capacity) - F.col("live"))
+    """live, free and refused for each event of a bounded store: +1 takes a row and is refused if none is free, -1 gives one back and is
+    refused if none is live. Order has no ties in a group.
+
+    A run of events maps the live rows before it to those after it as a sum between two bounds, and so do two runs after each other: runs
+    of STEPS events are first folded to such a map each, then taken through from where the maps before them lead.
+    """
+    n = ranges.places(events, [group], F.col(order), name="__i").withColumn("__run", F.floor(F.col("__i") / STEPS))
+    kind = events.schema[group].dataType.simpleString()
+
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        low, high, total = 0, capacity, 0
+        for d in rows.sort_values("__i")[delta].tolist():
+            low, high, total = min(max(low + d, 0), capacity), min(max(high + d, 0), capacity), total + d
+        return pd.DataFrame({"__g": [key[0]], "__r": [key[1]], "low": [low], "high": [high], "total": [total]})
+
+    maps = n.groupBy(group, "__run").applyInPandas(fold, f"__g {kind}, __r long, low long, high long, total long")
+    earlier = F.array_sort(F.collect_list(F.struct("__r", "low", "high", "total")).over(Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)))  # one for each run
+    start = F.aggregate(earlier, F.lit(0).cast("long"), lambda x, m: F.least(F.greatest(x + m["total"], m["low"]), m["high"]))
+    starts = maps.select("__g", "__r", start.alias("__start"))
+    met = n[group].eqNullSafe(starts["__g"]) & (n["__run"] == starts["__r"])
+    columns, fields = events.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+
+    def take(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__i")
+        live, out, refused = int(rows["__start"].iloc[0]), [], []
+        for d in rows[delta].tolist():
+            after = min(max(live + d, 0), capacity)
+            refused.append(after != live + d)
+            live = after
+            out.append(live)
+        return rows[columns].assign(live=out, free=[capacity - x for x in out], refused=refused)
+
+    return n.join(starts, met).groupBy(group, "__run").applyInPandas(take, f"{fields}, live long, free long, refused boolean")
 
 
 def workload_estimate(throughput: Column, latency_ms: Column) -> Column:

@@ -49,18 +49,23 @@ def chunk_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks).alias("chunk", "chunk_text")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-@query("""select doc_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: 'text' || x), list_transform(regexp_extract_all(text, '!\\[[^\\]]*\\]\\(image(\\d+)\\)', 1), lambda x: 'image' || x)))), ',') cited
-from (select doc_id, '[' || (doc_id % 7) || '] ' || text || ' [3] ![p](image' || (doc_id % 5) || ') [12]' as text from documents)""")
+@query("""with c as (select l_orderkey, list_sort(list_distinct(list(case l_linenumber % 3 when 0 then 'image' || (l_suppkey % 12) when 1 then 'text' || (l_partkey % 12) end))) c from lines group by 1)
+select l_orderkey::bigint l_orderkey, array_to_string(list_filter(c, lambda x: x is not null), ',') cited from c""")
 def extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lambda k: (F.col("doc_id") % k).cast("string")
-    text = F.concat(F.lit("["), n(7), F.lit("] "), "text", F.lit(" [3] ![p](image"), n(5), F.lit(") [12]"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.citations(text), ",").alias("cited"))
+    """Citations in answers that an order's lines make: texts, images, and brackets that cite nothing."""
+    k, text = F.col("l_linenumber") % 3, lambda c: (F.col(c) % 12).cast("string")
+    said = F.when(k == 0, F.concat(F.lit("see ![a picture](image"), text("l_suppkey"), F.lit(")."))).when(k == 1, F.concat(F.lit("as ["), text("l_partkey"), F.lit("] says"))).otherwise(F.concat(F.lit("[x"), text("l_partkey"), F.lit("] (image3)")))
+    answers = lines(spark, sf_dir).groupBy(F.col("l_orderkey").cast("long").alias("l_orderkey")).agg(F.array_join(F.collect_list(said), "\n").alias("answer"))
+    return answers.select("l_orderkey", F.array_join(T.citations(F.col("answer")), ",").alias("cited"))
 
 
-@query("""select conv_id, turn, coalesce(try_cast(trim(regexp_replace('Score: ' || turn || '.5', '.*Score:', '')) as double), 0) score, text is not null and regexp_matches(text, '[^\\x00-\\x7F]') and length(text) between 20 and 2000 valid from conversations""")
+@query("""select conv_id, turn, case role when 'user' then length(text) + 0.25 when 'assistant' then 0.0 else turn::double end::double score, text is not null and regexp_matches(text, '[^\\x00-\\x7F]') and length(text) between 20 and 2000 valid from conversations""")
 def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that a judge's texts give after their last mark, 0.0 where none can be read, and texts whose content is valid."""
     c = read(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", T.judge_score(F.concat(F.lit("Score: "), F.col("turn").cast("string"), F.lit(".5"))).alias("score"), T.content_valid(F.col("text"), 20, 2000).alias("valid"))
+    n = F.concat((F.length("text")).cast("string"), F.lit(".25"))
+    said = F.when(F.col("role") == "user", F.concat("text", F.lit("\nScore: 7\nScore: "), n)).when(F.col("role") == "assistant", F.concat(F.lit("Score: "), "text")).otherwise(F.concat(F.lit("Score:"), F.col("turn").cast("string"), F.lit(" ")))
+    return c.select("conv_id", "turn", T.judge_score(said).alias("score"), T.content_valid(F.col("text"), 20, 2000).alias("valid"))
 
 
 def _quoted(text: str) -> str:
@@ -172,11 +177,14 @@ def balanced_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.balanced_passages(rows, 3, 9, quotas={"A": 1}).drop("slot")
 
 
-@query("""with t as (select n_nationkey, n_regionkey from nation), m as (select a.n_nationkey target_id, b.n_nationkey shot_id, a.n_regionkey from t a join t b using (n_regionkey) where a.n_nationkey != b.n_nationkey)
-select target_id, shot_id, n_regionkey, shot from (select *, row_number() over (partition by target_id order by md5('2:' || target_id || ':' || shot_id), shot_id) shot from m) where shot <= 2""")
+@query("""with p as (select c_nationkey g, c_custkey id, row_number() over (partition by c_nationkey order by md5('2:' || c_custkey), c_custkey) - 1 i, count(*) over (partition by c_nationkey) m from customer),
+t as (select id, g, m, ('0x' || left(md5('2:' || id || ':start'), 13))::bigint % m s from p), k as (select *, unnest(range(0, least(3, m))) k from t),
+x as (select k.id target_id, p.id shot_id, k.g, row_number() over (partition by k.id order by k) shot from k join p on p.g = k.g and p.i = (k.s + k.k) % k.m where p.id != k.id)
+select target_id::bigint target_id, shot_id::bigint shot_id, g::int as c_nationkey, shot::int as shot from x where shot <= 2""")
 def few_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    return C.few_shot(n, n, 2, 2, key="n_nationkey", pool_key="n_nationkey", by="n_regionkey").select("target_id", "shot_id", "n_regionkey", "shot")
+    """Two other customers of each customer's nation."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_nationkey")
+    return C.few_shot(c, c, 2, 2, key="c_custkey", pool_key="c_custkey", by="c_nationkey").select("target_id", "shot_id", "c_nationkey", "shot")
 
 
 # Mixing and splitting

@@ -13,6 +13,10 @@ from ..sources.folders import new_path
 from .base import query, read
 
 
+def _long(c: str):
+    return F.col(c).cast("long").alias(c)
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -212,10 +216,21 @@ def histogram_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.get("labels", 0)["value"].alias("event_type"), text.alias("buckets"))
 
 
-@query("""select user_id, event_id, (sum(case when event_type = 'view' then -1 else 1 end) over (partition by user_id order by event_id))::bigint live, 400 - (sum(case when event_type = 'view' then -1 else 1 end) over (partition by user_id order by event_id))::bigint free from events""")
+@query("""with recursive e as (select user_id, event_id, event_type = 'view' gone, row_number() over (partition by user_id order by event_id) i from events),
+r as (select user_id, event_id, i, gone as refused, case when gone then 0 else 1 end live from e where i = 1
+union all select e.user_id, e.event_id, e.i, case when gone then live = 0 else live = 5 end, case when gone then greatest(live - 1, 0) else least(live + 1, 5) end from r join e on e.user_id = r.user_id and e.i = r.i + 1)
+select user_id::bigint user_id, event_id::bigint event_id, live::bigint live, (5 - live)::bigint free, refused from r""")
 def live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "view", -1).otherwise(1).alias("delta"))
-    return T.live_counts(rows, "user_id", "event_id", "delta", 400).drop("delta")
+    """Rows of each user's store of five, taken by events and given back by views; what finds none free or none live is refused."""
+    rows = read(spark, sf_dir, "events").select(_long("user_id"), _long("event_id"), F.when(F.col("event_type") == "view", -1).otherwise(1).alias("delta"))
+    return T.live_counts(rows, "user_id", "event_id", "delta", 5).drop("delta")
+
+
+@query("""select user_id::bigint user_id, event_id::bigint event_id, round(avg(value) over w, 6) as mean, round(max(value) over w, 6) as most from events window w as (partition by user_id order by event_id)""")
+def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter's mean and maximum up to each event of its user."""
+    e = read(spark, sf_dir, "events").select(_long("user_id"), _long("event_id"), "value")
+    return N.running_counters(e, "user_id", "event_id", "value").select("user_id", "event_id", F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"))
 
 
 @query("""with r as (select o_custkey, count(*) n, sum(o_totalprice) total from orders group by 1), h as (select o_custkey, count(*) items from orders join lineitem on o_orderkey = l_orderkey group by 1)

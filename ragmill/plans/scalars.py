@@ -97,27 +97,35 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.transform("e", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("m"))
 
 
-@query("""select c_custkey::bigint c_custkey, case c_custkey % 3 when 0 then 8 when 1 then 9 + 5 else 9 end::int as length from customer""")
+@query("""with c as (select conv_id, list(role order by turn) r, list(text order by turn) t from conversations group by 1 having count(*) >= 3),
+p as (select conv_id, r[1] r, t[2] || t[1] || ' ' || t[1] || t[3] plain, t[2] || trim('<image> ' || t[3]) || ' ' || t[1] || t[3] pictured from c)
+select conv_id::bigint conv_id, greatest(len(list_filter(regexp_split_to_array(plain, '\\s+'), lambda x: x != '')),
+ len(list_filter(regexp_split_to_array(pictured, '\\s+'), lambda x: x != '')) + case r when 'user' then 5 when 'system' then 90 else 0 end)::int as length from p""")
 def prompt_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the longest prompt that a passage makes, its largest image counted."""
-    k = F.col("c_custkey") % 3
-    turns = F.array(F.lit("one two "), F.lit("<<<EVIDENCE>>> three "), F.lit("four"))
-    p = F.array(F.struct(F.lit("a b").alias("text"), F.array().cast("array<string>").alias("images")), F.struct(F.lit("a b c d").alias("text"), F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("x"))).otherwise(F.array(F.lit("z"))).alias("images")))
-    n = T.example_length(turns, p, F.array().cast("array<string>"), F.create_map(F.lit("x"), F.lit(5)))
-    return read(spark, sf_dir, "customer").select(_long("c_custkey"), n.cast("int").alias("length"))
-
-
-@query("""select c_custkey::bigint c_custkey, m as method, case m when 'rewrite' then c_name when 'question_and_gold_entity' then 'why' || c_mktsegment when 'gold_document' then c_name when 'question_and_generated' then 'why- Rewrite 1: ' || c_name when 'expand_with_answer' then null else 'why T' || c_nationkey || ' body' end as query
-from customer, (select unnest(['rewrite', 'question_and_gold_entity', 'gold_document', 'question_and_generated', 'expand_with_answer', 'question_and_generated_plain']) m)""")
+    """Tokens of the longest prompt that a passage makes, its largest image counted: first turns are passages and evidence, and the role of
+    the first names an image of known size or none."""
+    c = _turns(spark, sf_dir).where(F.size("m") >= 3)
+    t = lambda i: F.get("m", i)["content"]
+    turns = F.array(t(1), F.concat(F.lit("<<<EVIDENCE>>> "), t(0)), t(2))
+    none = F.array().cast("array<string>")
+    passages = F.array(F.struct(t(0).alias("text"), none.alias("images")), F.struct(t(2).alias("text"), F.array(F.get("m", 0)["role"]).alias("images")))
+    n = T.example_length(turns, passages, none, F.create_map(F.lit("user"), F.lit(5), F.lit("system"), F.lit(90)))
+    return c.select("conv_id", n.cast("int").alias("length"))
+
+
+@query("""with c as (select c_custkey, c_name q, 'id_' || c_mktsegment || '_1' i1, 'id_N' || c_nationkey i2, c_mktsegment d1, repeat(c_name, 300) d2, '- Rewrite 1: ' || c_mktsegment || chr(10) || '- Rewrite 2: N' || c_nationkey || chr(10) || '- Answer 1: ' || c_mktsegment || case when c_custkey % 2 = 0 then chr(10) || '- TITLE: T' || c_nationkey || chr(10) || '- CONTENT: ' || c_mktsegment else '' end r, c_custkey % 2 = 0 full_, c_nationkey n from customer)
+select c_custkey::bigint c_custkey, m as method, unnest(case m when 'rewrite' then [d1, 'N' || n] when 'rewrite_with_reasoning' then [d1, 'N' || n] when 'expand_with_answer' then [q || ' ' || d1]
+ when 'question_and_gold_document' then [q || ' ' || d1, q || ' ' || left(d2, 4096)] when 'gold_document' then [d1, left(d2, 4096)] when 'question_and_gold_entity' then [q || d1, q || 'N' || n] when 'gold_entity' then [d1, 'N' || n]
+ when 'question_and_generated' then [q || r] when 'generated' then [r] when 'question_and_generated_plain' then [case when full_ then q || ' T' || n || ' ' || d1 else q || r end] else [case when full_ then q || ' T' || n else q || r end] end) as query
+from c, (select unnest(['rewrite', 'rewrite_with_reasoning', 'expand_with_answer', 'question_and_gold_document', 'gold_document', 'question_and_gold_entity', 'gold_entity', 'question_and_generated', 'generated', 'question_and_generated_plain', 'question_and_generated_entity']) m)""")
 def rewritten_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries that rewriting methods make, one row each; a method that makes none gives a row without one."""
-    c, out = read(spark, sf_dir, "customer"), None
-    for m in ("rewrite", "question_and_gold_entity", "gold_document", "question_and_generated", "expand_with_answer", "question_and_generated_plain"):
-        response = F.concat(F.lit("- TITLE: T"), F.col("c_nationkey").cast("string"), F.lit("\n- CONTENT: body")) if m.endswith("plain") else F.concat(F.lit("- Rewrite 1: "), "c_name")
-        qs = T.rewritten_queries(m, F.lit("why"), response, F.array(F.concat(F.lit("id_"), "c_mktsegment")), F.array("c_name"))
-        r = c.select(_long("c_custkey"), F.lit(m).alias("method"), F.explode_outer(qs).alias("query"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Queries that each of the rewriting methods makes out of a customer's fields, one row each."""
+    n = F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))
+    whole = F.concat(F.lit("\n- TITLE: T"), F.col("c_nationkey").cast("string"), F.lit("\n- CONTENT: "), "c_mktsegment")
+    response = F.concat(F.lit("- Rewrite 1: "), "c_mktsegment", F.lit("\n- Rewrite 2: "), n, F.lit("\n- Answer 1: "), "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, whole).otherwise(""))
+    ids, texts = F.array(F.concat(F.lit("id_"), "c_mktsegment", F.lit("_1")), F.concat(F.lit("id_"), n)), F.array("c_mktsegment", F.repeat("c_name", 300))
+    made = F.map_from_arrays(F.array(*[F.lit(m) for m in T.REWRITES]), F.array(*[T.rewritten_queries(m, F.col("c_name"), response, ids, texts) for m in T.REWRITES]))
+    return read(spark, sf_dir, "customer").select(_long("c_custkey"), F.explode(made).alias("method", "q")).select("c_custkey", "method", F.explode_outer("q").alias("query"))
 
 
 # Arrays
@@ -170,24 +178,29 @@ def _ints(xs):
     return xs.cast("array<int>")
 
 
-@query("""with l as (select l_orderkey, l_linenumber, l_quantity / 10 q, l_linenumber % 2 c, max(l_quantity / 10) over (partition by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) m from lineitem)
-select l_orderkey::bigint l_orderkey, l_linenumber::int l_linenumber, round(case when exp(q - greatest(q, 2.0)) >= 0.2 then q end, 6) kept, round(case when c > 0 then q / 2.0 - 0.1 * c - 0.5 else q end, 6) penalized, 0.0::double as uniform, round(case when l_linenumber < 3 then -1e9 else q end, 4) as held from l""")
+@query("""with l as (select l_orderkey, l_linenumber, l_quantity / 10 q, l_linenumber % 2 c from lineitem)
+select l_orderkey::bigint l_orderkey, l_linenumber::int l_linenumber, round(case when exp(q - greatest(q, 2.0)) >= 0.2 then q end, 6) kept, round(case when c > 0 then q / 2.0 - 0.1 * c - 0.5 else q end, 6) penalized, round(case when c = 1 then 0.0 else q - ln(exp(q) + exp(2.0)) end, 6)::double as prior, round(case when l_linenumber < 3 then -1e9 else q end, 4) as held from l""")
 def logit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logits under a least share, penalties for seen tokens, a uniform prior's log scores, and an end token held back."""
+    """Logits under a least share, penalties for seen tokens, a prior's log scores (uniform or of the logits), and an end token held back."""
     line = read(spark, sf_dir, "lineitem").select(_long("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), (F.col("l_quantity") / 10).alias("q"))
     two = F.array(F.col("q").cast("double"), F.lit(2.0))
     counts = F.array((F.col("l_linenumber") % 2).cast("int"), F.lit(0))
     pen = X.penalized(two, counts, repetition=2.0, frequency=0.1, presence=0.5)
     held = X.held_back(two, F.lit(0), F.col("l_linenumber"), 3)
-    return line.select("l_orderkey", "l_linenumber", F.round(F.get(X.min_p(two, 0.2), 0), 6).alias("kept"), F.round(F.get(pen, 0), 6).alias("penalized"), F.get(X.prior("uniform", two), 0).alias("uniform"), F.round(F.coalesce(F.get(held, 0), F.lit(-1e9)), 4).alias("held"))
+    prior = F.when(F.col("l_linenumber") % 2 == 1, F.get(X.prior("uniform", two), 0)).otherwise(F.get(X.prior("log_softmax", two), 0))
+    return line.select("l_orderkey", "l_linenumber", F.round(F.get(X.min_p(two, 0.2), 0), 6).alias("kept"), F.round(F.get(pen, 0), 6).alias("penalized"), F.round(prior, 6).alias("prior"), F.round(F.coalesce(F.get(held, 0), F.lit(-1e9)), 4).alias("held"))
 
 
-@query("""select doc_id::bigint doc_id, (doc_id % 3 + 1)::int expected, case doc_id % 3 when 0 then 1 when 1 then 5 else 10 end::int score from documents""")
+@query("""with f as (select conv_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x != '')[1:3] ns from conversations where turn = 0),
+r as (select c.conv_id, c.turn, lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) r, list_transform(coalesce(ns, []), lambda x: lower(x)) ns from conversations c left join f using (conv_id)),
+s as (select *, len(list_filter(ns, lambda x: contains(r, x))) found, len(ns) n from r)
+select conv_id::bigint conv_id, turn::bigint turn, case when n = 0 or r = '' or found = 0 then 1 when found = n then 10 else 1 + round_even(8 * found / n, 0)::int end::int score from s""")
 def needle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores for several needles by how many of them are found."""
-    k = F.col("doc_id") % 3
-    said = F.when(k == 0, "nothing").when(k == 1, "it was  Alpha").otherwise("beta and alpha")
-    return read(spark, sf_dir, "documents").select(_long("doc_id"), (k + 1).cast("int").alias("expected"), A.needles_score(said, F.array(F.lit("alpha"), F.lit("Beta "), F.lit(" "))).alias("score"))
+    """How many of the first three words of its conversation each turn repeats, as scores."""
+    c = read(spark, sf_dir, "conversations")
+    needles = c.where("turn = 0").select("conv_id", F.slice(T.words(F.col("text")), 1, 3).alias("needles"))
+    score = A.needles_score(F.col("text"), F.coalesce("needles", F.array().cast("array<string>")))
+    return c.join(needles, "conv_id", "left").select(_long("conv_id"), _long("turn"), score.cast("int").alias("score"))
 
 
 @query("""with t as (select l_orderkey, list(l_linenumber order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) y from lineitem group by 1) select l_orderkey::bigint l_orderkey, round(len(list_filter(range(2, len(y) + 1), lambda i: y[i] != 3 and y[i] = y[i - 1] + 1)) / nullif(len(list_filter(range(2, len(y) + 1), lambda i: y[i] != 3)), 0), 6) accuracy from t""")
@@ -197,13 +210,17 @@ def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("l_orderkey", F.round(E.token_accuracy(F.transform("y", lambda x: x + 1), F.col("y"), 3), 6).alias("accuracy"))
 
 
-@query("""select event_id::bigint event_id, round(-0.1 - 0.2 * (event_id % 3 != 1)::int, 6) as logprob, case event_id % 3 when 0 then 2 when 1 then 1 else 2 end::int n from events""")
+@query("""with e as (select event_id, -value / 100 a, -(event_id % 97) / 10.0 b, event_id % 4 k, value from events)
+select event_id::bigint event_id, round(case when k = 3 then value when k = 1 then a else a + b end, 6) as logprob, case k when 1 then 1 when 3 then 0 else 2 end::int n from e""")
 def logprob_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token log-probabilities from numbers, objects and maps in JSON, and their sum."""
-    k = F.col("event_id") % 3
-    shape = F.when(k == 0, "[-0.1, -0.2]").when(k == 1, '[{"logprob": -0.1}]').otherwise('[{"17": {"logprob": -0.1, "rank": 1}}, {"9": {"logprob": -0.2}}]')
-    xs = E.token_logprobs(shape)
-    return read(spark, sf_dir, "events").select(_long("event_id"), F.round(E.continuation_logprob(xs, F.lit(None).cast("double")), 6).alias("logprob"), F.size(xs).alias("n"))
+    """Token log-probabilities from numbers, objects and maps in JSON, and their sum, or a sum that is given."""
+    k, a, b = F.col("event_id") % 4, (-F.col("value") / 100).cast("string"), (-(F.col("event_id") % 97) / 10.0).cast("string")
+    numbers = F.concat(F.lit("["), a, F.lit(", "), b, F.lit("]"))
+    objects = F.concat(F.lit('[{"logprob": '), a, F.lit("}]"))
+    maps = F.concat(F.lit('[{"17": {"logprob": '), a, F.lit(', "rank": 1}}, {"9": {"logprob": '), b, F.lit("}}]"))
+    xs = E.token_logprobs(F.when(k == 0, numbers).when(k == 1, objects).when(k == 2, maps).otherwise("[]"))
+    given = F.when(k == 3, F.col("value"))
+    return read(spark, sf_dir, "events").select(_long("event_id"), F.round(E.continuation_logprob(xs, given), 6).alias("logprob"), F.size(xs).alias("n"))
 
 
 @query("""select user_id::bigint user_id, count(*) n, round(avg(value), 6) reward, round(sum(value) / count(*), 6) per_token from events group by 1""")
@@ -227,15 +244,15 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.size(m).alias("n_turns"), loss.alias("loss"), F.size(C.openai_messages(F.col("shared"), 2)).alias("n_openai"), C.chat_text(F.col("m")).alias("chat"))
 
 
-@query("""select conv_id::bigint conv_id, t as turns from (select conv_id, string_agg(role, ',' order by turn) t from conversations group by 1) union all select -1, 'user,assistant,user'""")
+@query("""with c as (select conv_id, list(role order by turn) r from conversations group by 1)
+select conv_id::bigint conv_id, array_to_string(case when conv_id % 2 = 1 then r else list_transform(list_filter(range(1, len(r) + 1), lambda i: i = 1 or i % 2 = 0 or r[i] != r[i - 1]), lambda i: r[i]) end, ',') as turns from c""")
 def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a conversation as one: a part's first turn goes if its speaker spoke last."""
+    """Parts of a conversation as one: a part's first turn goes if its speaker spoke last. Parts are pairs of turns, which share a turn with
+    the pair before in conversations of an odd id."""
     c = _turns(spark, sf_dir).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"))).alias("m"))
-    once = c.select("conv_id", F.transform("m", lambda x: F.array(x)).alias("p"))
-    turn = lambda r: F.struct(F.lit(r).alias("role"))
-    odd = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.array(F.array(turn("user"), turn("assistant")), F.array(turn("assistant"), turn("user"))).alias("p"))
-    both = once.unionByName(odd)
-    return both.select("conv_id", F.array_join(F.transform(C.join_parts(F.col("p")), lambda x: x["role"]), ",").alias("turns"))
+    step = F.when(F.col("conv_id") % 2 == 1, 1).otherwise(2)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("m") - (2 - step), F.lit(1)), step)
+    return c.select("conv_id", F.array_join(F.transform(C.join_parts(F.transform(starts, lambda i: F.slice("m", i, 2))), lambda x: x["role"]), ",").alias("turns"))
 
 
 @query("""with c as (select conv_id, list(text order by turn) t from conversations group by 1), x as (select conv_id, t, unnest(range(1, len(t))) i from c) select conv_id::bigint conv_id, i::int as position, t[i + 1] as turn, t[i] as previous from x""")
@@ -245,11 +262,11 @@ def turn_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.turn_history(c, "conv_id", "t").select("conv_id", "position", "turn", "previous")
 
 
-@query("""with g as (select conv_id, count(*) n, count(*) filter (where contains(text, 'e')) k from conversations group by 1) select conv_id::bigint conv_id, n >= 4 as ended from g""")
+@query("""select conv_id::bigint conv_id, coalesce(bool_or(contains(text, '. The')), false) or count(*) >= 6 as ended from conversations group by 1""")
 def dialogue_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a dialogue has ended: by an answer or after so many steps."""
-    c = _turns(spark, sf_dir).select("conv_id", F.transform("m", lambda x: x["content"]).alias("t"))
-    return c.select("conv_id", C.transition(F.transform("t", lambda x: F.replace(x, F.lit("[ANSWER]"), F.lit(""))), 4).alias("ended"))
+    """Whether a dialogue has ended, by an answer or after so many steps: sentences that begin with `The` are the answers."""
+    c = _turns(spark, sf_dir).select("conv_id", F.transform("m", lambda x: F.replace(x["content"], F.lit(". The"), F.lit(".[ANSWER]"))).alias("t"))
+    return c.select("conv_id", C.transition(F.col("t"), 6).alias("ended"))
 
 
 @query("""select conv_id::bigint conv_id, turn::bigint turn, 'user' as role0, 'assistant' as role1, 'c' || turn as chosen, 'r' || turn as rejected, 1.0::double w from conversations where role = 'user'""")
@@ -344,12 +361,15 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resample(d, 300, d.count(), "row_id", 5).select("slot", "doc_id")
 
 
-@query("""with h as (select o_custkey, list(o_orderkey order by o_orderkey) ids from orders group by 1) select o_custkey::bigint o_custkey, ids[(('0x' || left(md5('3:' || o_custkey), 13))::bigint % len(ids) + 1)::int]::bigint gold, 40 + (('0x' || left(md5('8:' || o_custkey), 13))::bigint % 21)::int as length, crc32_mod from (select *, 0::int crc32_mod from h)""")
+@query("""with h as (select o_custkey, list(o_orderkey order by o_orderkey) ids from orders group by 1),
+c as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(o_custkey::varchar, ''), lambda y: ascii(y)::bigint)),
+ lambda c, y: list_reduce(list_prepend(xor(c, y), range(8)), lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)), 4294967295) crc from h)
+select o_custkey::bigint o_custkey, ids[(('0x' || left(md5('3:' || o_custkey), 13))::bigint % len(ids) + 1)::int]::bigint gold, 40 + (('0x' || left(md5('8:' || o_custkey), 13))::bigint % 21)::int as length, (crc % 7)::int as engine from c""")
 def seeded_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One gold id of several and a length within bounds, both by seed; and the engine that a key goes to."""
+    """One gold id of several and a length within bounds, both by seed; and which of seven engines a key goes to."""
     o = read(spark, sf_dir, "orders").groupBy(_long("o_custkey")).agg(F.array_sort(F.collect_list(F.col("o_orderkey").cast("long"))).alias("ids"))
-    engine = T.route(F.lit("123456789"), 2)  # the CRC-32 of these digits is the well-known 0xCBF43926
-    return o.select("o_custkey", C.pick(F.col("ids"), 3, F.col("o_custkey")).alias("gold"), C.uniform_length(50, 0.2, 8, F.col("o_custkey")).alias("length"), engine.alias("crc32_mod"))
+    engine = T.route(F.col("o_custkey").cast("string"), 7)
+    return o.select("o_custkey", C.pick(F.col("ids"), 3, F.col("o_custkey")).alias("gold"), C.uniform_length(50, 0.2, 8, F.col("o_custkey")).alias("length"), engine.alias("engine"))
 
 
 @query("""with l as (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by (l_linenumber != 2)::int, md5('6:' || l_orderkey || ':' || l_linenumber), l_linenumber) r from (select distinct l_orderkey, l_linenumber from lineitem)) select l_orderkey::bigint l_orderkey, l_linenumber::int l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as index from l where r <= 3""")
@@ -417,13 +437,15 @@ def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("g").alias("doc_id"), text("input_ids").alias("ids"), text("labels").alias("labels"), text("position_ids").alias("places"), text("sequence_ids").alias("numbers"))
 
 
-@query("""with t as (select o_custkey, list(o_totalprice order by o_orderkey) v from orders group by 1) select o_custkey::bigint o_custkey, case when r is not null and r < 5 then r when len(v) >= 5 then 5 else 10 end::int gold_rank from (select *, list_position(list_transform(v, lambda x: x > 200000), true) r from t)""")
+@query("""with c as (select conv_id, list(lower(text) order by turn) t from conversations group by 1),
+r as (select *, list_position(list_transform(t[2:], lambda x: contains(x, left(t[1], 6)) or contains(x, left(t[1], 3) || ' ')), true) r from c)
+select conv_id::bigint conv_id, case when r > 0 and r < 4 then r when len(t) - 1 >= 4 then 4 else 10 end::int gold_rank from r""")
 def capped_text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of the first text that holds an answer, with the caps of the pipeline reports."""
-    o = read(spark, sf_dir, "orders").groupBy(_long("o_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("e"))
-    texts = F.transform("e", lambda x: F.when(x["o_totalprice"] > 200000, "The Answer is here").otherwise("nothing"))
-    rank = R.first_text_hit(texts, F.array(F.lit("answer IS")))
-    return o.select("o_custkey", R.capped_rank(rank, F.size("e"), cap=5, missing=10).cast("int").alias("gold_rank"))
+    """Rank of the first later turn that holds one of two answers out of the first turn, with the caps of the pipeline reports."""
+    c = _turns(spark, sf_dir).select("conv_id", F.transform("m", lambda x: x["content"]).alias("t"))
+    first, rest = F.get("t", 0), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1)))
+    rank = R.first_text_hit(rest, F.array(F.left(first, F.lit(6)), F.concat(F.left(first, F.lit(3)), F.lit(" "))))
+    return c.select("conv_id", R.capped_rank(rank, F.size(rest), cap=4, missing=10).cast("int").alias("gold_rank"))
 
 
 @query("""with d as (select conv_id, turn, length(text) n from conversations), c as (select a.conv_id, a.turn, avg(1.0 / (1 + abs(a.n - b.n))) s from d a join d b on a.conv_id = b.conv_id and a.turn != b.turn group by 1, 2)

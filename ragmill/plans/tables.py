@@ -15,7 +15,7 @@ from ..operators import mixing as M
 from ..operators import retrieval as R
 from ..operators import telemetry as L
 from ..sources import readers
-from .base import query, read
+from .base import lines, query, read
 
 # Annotations: events as annotated questions of their users' images.
 
@@ -119,11 +119,14 @@ def first_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(k.cast("long").alias("s_suppkey"), B.first_text(blank, F.concat(k.cast("string"), F.lit(" b"))).alias("label"), listed.alias("joined"), B.user_count(n, (k % 4).cast("string"), F.lit("9")).alias("users"), B.device_count((k % 4).cast("string"), n, F.lit(None).cast("string"), F.lit("2")).alias("devices"))
 
 
-@query("""select c_custkey::bigint c_custkey, 0 as n_images, (select count(*) from customer where c_custkey % 2 = 0) n_modified from customer""")
+@query("""with i as (select c_custkey, count(o_orderkey) n from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'P' group by 1) select c_custkey::bigint c_custkey, n::int as had, 0 as n_images, (select count(*) from i where n > 0) n_modified from i""")
 def cleared_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, F.array("c_name")).otherwise(F.array().cast("array<string>")).alias("images"))
-    kept, report = C.without_images(c)
-    return kept.select("c_custkey", F.size("images").alias("n_images")).join(F.broadcast(report))
+    """Customers with some orders as images, which are taken away, and how many rows that changes."""
+    o = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("images"))
+    c = read(spark, sf_dir, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
+    c = c.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.coalesce("images", F.array().cast("array<string>")).alias("images"))
+    kept, report = C.without_images(c.withColumn("had", F.size("images")))
+    return kept.select("c_custkey", "had", F.size("images").alias("n_images")).join(F.broadcast(report))
 
 
 @query("""select p_partkey::bigint p_partkey, 'Q: ' || p_name || ' E: [EVIDENCE]<D>Title: ' || p_brand || chr(9) || 'Content: ' || p_type || '</D>' || chr(10) as prompt, '[Chunk 1]' || chr(10) || p_name || chr(10) || chr(10) || '[Chunk 2]' || chr(10) || p_type as chunks,
@@ -170,13 +173,15 @@ def mode_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""select n_nationkey::bigint n_nationkey, case n_nationkey % 3 when 0 then 'a' when 1 then 'b' else 'c' end as found, ['x-y.z-w', 'x_y.z-w', 'x-y.z-w'] = ['x-y.z-w', 'x_y.z-w', 'x-y.z-w'] as same from nation""")
+@query("""select c_custkey::bigint c_custkey, case c_custkey % 4 when 3 then 'none' else c_name end as found, case when c_custkey % 4 = 1 then c_mktsegment end as nested from customer""")
 def key_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameters found under any spelling of their name, nested ones by their first part."""
-    key = F.element_at(F.array(F.lit("max-len.k"), F.lit("max_len.k"), F.lit("other")), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    m = F.create_map(key, F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("x")), (F.col("n_nationkey") % 3 + 1).cast("int")))
-    found = F.coalesce(T.parameter(m, "max-len.k"), F.lit("c"))
-    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), found.alias("found"), F.lit(T.key_candidates("x-y.z-w") == ["x-y.z-w", "x_y.z-w", "x-y.z-w"]).alias("same"))
+    """Parameters found under any spelling of their name, nested ones by their first part: each customer has a map of its own."""
+    k = F.col("c_custkey") % 4
+    plain = F.when(k == 0, "max-len").when(k == 1, "max_len").when(k == 2, "max-len").otherwise("maxlen")
+    nested = F.when(k == 1, "max_len.a-b").otherwise("max_len.a_b")
+    m = F.create_map(plain, F.col("c_name"), nested, F.col("c_mktsegment"))
+    c = read(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.coalesce(T.parameter(m, "max_len"), F.lit("none")).alias("found"), T.parameter(m, "max-len.a-b").alias("nested"))
 
 
 @query("""with g as (select conv_id, count(*) filter (where role = 'user') u, count(*) filter (where role = 'assistant') a from conversations group by 1) select conv_id::bigint conv_id, u % 2 = 1 and a = 1 sft, u % 2 = 1 and a >= 2 pairs, u % 2 = 1 and a = 1 and u >= 1 ensemble from g""")
@@ -282,32 +287,42 @@ def score_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(Q.score_pairs(c.select("c_custkey", F.col("c_mktsegment").alias("q")), d, "c_custkey").select(F.lit("many").alias("shape"), "q", "d"))
 
 
-@query("""select o_orderkey::bigint o_orderkey, h <= 3 as overlap3, coalesce(h = 1, false) hit1 from (select o_orderkey, case when o_orderkey % 9 < 5 then o_orderkey % 9 + 1 end h from orders)""")
+@query("""with o as (select l_orderkey, list(l_partkey % 7 order by l_linenumber) ids, list_filter(list(l_suppkey % 7 order by l_linenumber), lambda x: x < 3) gold from lines group by 1)
+select l_orderkey::bigint l_orderkey, case when len(gold) > 0 then list_has_any(ids[1:3], gold) end as overlap3, list_has_any(ids[1:1], gold) as hit1 from o""")
 def overlap_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether some of the first ids is gold, ids as trimmed text."""
-    k = F.col("o_orderkey") % 9
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(i.cast("string"), F.lit(" "))).alias("ids"), F.when(k < 5, F.array(k.cast("string"))).otherwise(F.array().cast("array<string>")).alias("gold"))
+    """Whether some of an order's first ids is gold, ids as trimmed text; an order without gold ids has no answer, or a miss."""
     hit = F.when(F.size("gold") > 0, R.overlap(F.col("ids"), F.col("gold"), 3))
-    return o.select("o_orderkey", hit.alias("overlap3"), R.overlap(F.col("ids"), F.col("gold"), 1).alias("hit1"))
+    return _ids_and_gold(spark, sf_dir).select("l_orderkey", hit.alias("overlap3"), R.overlap(F.col("ids"), F.col("gold"), 1).alias("hit1"))
+
 
+def _ids_and_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    o = lines(spark, sf_dir).groupBy(F.col("l_orderkey").cast("long").alias("l_orderkey")).agg(entry.alias("e"))
+    ids = F.transform("e", lambda x: F.concat((x["l_partkey"] % 7).cast("string"), F.lit(" ")))
+    gold = F.transform(F.filter("e", lambda x: x["l_suppkey"] % 7 < 3), lambda x: F.concat(F.lit(" "), (x["l_suppkey"] % 7).cast("string")))
+    return o.select("l_orderkey", ids.alias("ids"), gold.alias("gold"))
 
-@query("""with q as (select o_orderkey k, o_orderkey % 4 g from orders) select count(*) n_rows, count(*) filter (where g = 3) n_empty_gold, count(*) filter (where g = 2) n_empty_retrieval, round(avg((g = 0)::int), 6) recall_at_1, round(avg((g in (0, 1))::int), 6) recall_at_2 from q""")
+
+@query("""with o as (select l_orderkey, list_filter(list(l_partkey % 7 order by l_linenumber), lambda x: l_orderkey % 5 > 0) ids, list_filter(list(l_suppkey % 7 order by l_linenumber), lambda x: x < 3) gold from lines group by 1)
+select count(*) n_rows, count(*) filter (where len(gold) = 0) n_empty_gold, count(*) filter (where len(ids) = 0) n_empty_retrieval, round(avg(list_has_any(ids[1:1], gold)::int), 6) recall_at_1, round(avg(list_has_any(ids[1:2], gold)::int), 6) recall_at_2 from o""")
 def tolerant_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall with ids as text, empty lists as misses, and their counts."""
-    g = F.col("o_orderkey") % 4
-    ids = F.when(g == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit(" 0"), F.lit("1 ")))
-    gold = F.when(g == 3, F.array().cast("array<string>")).otherwise(F.array(g.cast("string")))
-    out = R.tolerant_recall(read(spark, sf_dir, "orders").select(ids.alias("ids"), gold.alias("gold")), "ids", "gold", (1, 2))
+    """Recall over orders with ids as text, empty lists as misses, and their counts: each fifth order has retrieved nothing."""
+    o = _ids_and_gold(spark, sf_dir)
+    out = R.tolerant_recall(o.withColumn("ids", F.when(F.col("l_orderkey") % 5 > 0, F.col("ids")).otherwise(F.array().cast("array<string>"))), "ids", "gold", (1, 2))
     return out.select("n_rows", "n_empty_gold", "n_empty_retrieval", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_2")])
 
 
-@query("""select p_partkey::bigint p_partkey, contains(p_brand || '_' || p_name, p_name) or contains(p_type, p_name) in_title, true as in_document, p_size % 2 = 0 as same_document from part""")
+@query("""with p as (select *, split_part(p_name, ' ', 1) a, split_part(p_name, ' ', 2) b, lead(p_name, 1, p_type) over (order by p_partkey) nxt from part)
+select p_partkey::bigint p_partkey, contains(p_brand || '_' || nxt, a) or contains(p_type, a) in_title, contains(nxt, b) or contains(p_type, b) in_document, nxt = p_name or p_type = p_name as same_document from p""")
 def gold_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A title that is part of a gold id, a document that is part of a gold one, and one that equals it."""
-    p = read(spark, sf_dir, "part")
-    doc = F.concat("p_type", F.lit("\n\n"))
-    same = F.when(F.col("p_size") % 2 == 0, F.array("p_type")).otherwise(F.array(F.concat("p_type", F.lit("x"))))
-    return p.select(F.col("p_partkey").cast("long").alias("p_partkey"), R.title_in_gold(F.col("p_name"), F.array(F.concat_ws("_", "p_brand", "p_name"), F.col("p_type"))).alias("in_title"), R.document_in_gold(doc, F.array(F.concat(F.lit("a "), "p_type", F.lit(" b")))).alias("in_document"), R.document_in_gold(F.col("p_type"), same, equal=True).alias("same_document"))
+    """A title that is part of a gold id, a document that is part of a gold one, and one that equals it: the gold of a part is its next."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_brand", "p_type")
+    placed = M.running(p, [], "p_partkey", F.lit(1), "i")
+    after = placed.select((F.col("i") - 1).alias("i"), F.col("p_name").alias("next"))
+    both = placed.join(after, "i", "left").withColumn("next", F.coalesce("next", "p_type"))
+    part = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    gold = F.array("next", "p_type")
+    return both.select("p_partkey", R.title_in_gold(part(1), F.array(F.concat_ws("_", "p_brand", "next"), F.col("p_type"))).alias("in_title"), R.document_in_gold(F.concat(part(2), F.lit("\n\n")), gold).alias("in_document"), R.document_in_gold(F.col("p_name"), gold, equal=True).alias("same_document"))
 
 
 @query("""select count(distinct l_partkey) filter (where l_partkey % 5 = 0) n_missing, count(*) filter (where l_partkey % 5 != 0) n_with_text from (select distinct l_orderkey, l_partkey from lineitem)""")
@@ -319,11 +334,16 @@ def passages_of_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.join(R.attach_text(ranked, p).agg(F.count("passage_content").alias("n_with_text")))
 
 
-@query("""select a || '/' || b || '/' || c as config, a, b, c from (select unnest(['fp16', 'fp8']) a), (select unnest([1, 2, 4]) b), (select distinct o_orderstatus c from orders)""")
+@query("""select a || '/' || b || '/' || c || '/' || d || '/' || e || '/' || f || '/' || g || '/' || h || '/' || i as config, a, b, i from (select unnest(['fp16', 'fp8']) a), (select unnest([1, 2, 4]) b), (select distinct o_orderstatus c from orders), (select distinct l_returnflag d from lineitem),
+(select r_name e from region where r_regionkey < 2), (select distinct lang f from documents where lang is not null), (select distinct quality g from labels where quality is not null), (select distinct toxic h from labels where toxic is not null), (select distinct p_size % 2 i from part)""")
 def config_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All combinations of settings, each one row."""
-    tables = [spark.createDataFrame([("fp16",), ("fp8",)], "a string"), spark.createDataFrame([(1,), (2,), (4,)], "b int"), read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("c")).distinct()]
-    return Q.config_matrix(tables).select(F.concat_ws("/", "a", F.col("b").cast("string"), "c").alias("config"), "a", "b", "c")
+    """All combinations of nine settings, each one row."""
+    values = lambda t, c, name: read(spark, sf_dir, t).select(c.alias(name)).where(F.col(name).isNotNull()).distinct()
+    tables = [
+        spark.createDataFrame([("fp16",), ("fp8",)], "a string"), spark.createDataFrame([(1,), (2,), (4,)], "b int"), values("orders", F.col("o_orderstatus"), "c"), values("lineitem", F.col("l_returnflag"), "d"),
+        read(spark, sf_dir, "region").where("r_regionkey < 2").select(F.col("r_name").alias("e")), values("documents", F.col("lang"), "f"), values("labels", F.col("quality"), "g"), values("labels", F.col("toxic"), "h"), values("part", F.col("p_size") % 2, "i"),
+    ]
+    return Q.config_matrix(tables).select(F.concat_ws("/", *[F.col(x).cast("string") for x in "abcdefghi"]).alias("config"), "a", "b", "i")
 
 
 # Aggregates
@@ -402,12 +422,13 @@ def mean_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.round(F.avg("perplexity"), 6).alias("mean_perplexity"), F.round(F.min("perplexity"), 6).alias("least"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""select regexp_extract('k' || l_linenumber || 'x' || (l_orderkey % 3), 'k([0-9]+)x([0-9]+)', 1) as m, (l_orderkey % 3)::varchar as n, count(*)::bigint as size, round(min(l_quantity), 4) least, round(max(l_quantity), 4) most from lineitem group by 1, 2""")
+@query("""select regexp_extract('k' || l_linenumber || 'x' || (l_orderkey % 3), 'k([0-9]+)x([0-9]+)', 1) as m, (l_orderkey % 3)::varchar as n, count(*)::bigint as size, round(min(l_quantity), 4) least, round(max(l_quantity), 4) most, round(quantile_disc(l_quantity, 0.5), 4) middle from lineitem group by 1, 2""")
 def measured_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements gathered by the shape that their label names."""
+    """Measurements gathered by the shape that their label names, in rising order: the ends and the lower middle of each list."""
     line = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("k"), F.col("l_linenumber").cast("string"), F.lit("x"), (F.col("l_orderkey") % 3).cast("string")).alias("label"), "l_quantity")
     g = N.grouped_by_label(line, "label", r"k(\d+)x(\d+)", ["m", "n"], "l_quantity")
-    return g.select("m", "n", F.size("measured").cast("long").alias("size"), F.round(F.array_min("measured"), 4).alias("least"), F.round(F.array_max("measured"), 4).alias("most"))
+    at = lambda place: F.round(F.max(F.when(F.col("place") == place, F.col("l_quantity"))), 4)
+    return g.groupBy("m", "n").agg(F.count(F.lit(1)).alias("size"), at(F.lit(0)).alias("least"), at(F.col("of") - 1).alias("most"), at(F.floor((F.col("of") - 1) / 2)).alias("middle"))
 
 
 @query("""with p as (select o_orderpriority grp, o_orderstatus st, avg(o_totalprice) v from orders group by 1, 2) select grp, round(max(v) filter (where st = 'F'), 4) "F", round(max(v) filter (where st = 'O'), 4) "O", round(max(v) filter (where st = 'P'), 4) "P" from p group by 1""")
