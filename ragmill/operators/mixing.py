@@ -19,24 +19,14 @@ def concatenate(datasets: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
-def numbered(df: DataFrame, by: Sequence[str], *order: Column, name: str = "row_id", rows: int = ranges.ROWS) -> DataFrame:
-    """Gapless numbers from 0 in each group, in the order of a leading hash part, then order.
-
-    Counts of (group, part) give each part its offset, so that a group is never sorted in one task. There are as many parts as bring a
-    part of all rows down to about `rows`.
-    """
-    parts = max(1, min(1 << 16, -(-df.count() // rows)))
-    tagged = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    counts = tagged.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*by, "__part").orderBy(*order)
-    return tagged.withColumn("__at", F.row_number().over(within)).join(offsets, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__at") - 1).drop("__part", "__at", "__before")
+def numbered(df: DataFrame, by: Sequence[str], *order: Column, name: str = "row_id") -> DataFrame:
+    """Gapless numbers from 0 in each group, by order. No group is sorted in one task."""
+    return ranges.places(df, by, *order, name=name)
 
 
 def running(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str) -> DataFrame:
-    """The sum of value over the earlier rows of the group, by a numeric order column without ties. Only a range of a group is sorted in
-    one task."""
+    """The sum of value over the earlier rows of the group, by an order column without ties. Only a range of a group is sorted in one
+    task."""
     return ranges.before(df, by, order, value, name)
 
 

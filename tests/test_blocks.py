@@ -106,9 +106,16 @@ def test_matching_with_many_hits(spark):
     assert found_in(spark, docs, items) == held(docs, items)
 
 
-@pytest.mark.parametrize("rows", [200_000, 7])
-def test_ranges(spark, rows, monkeypatch):
-    monkeypatch.setattr(ranges, "ROWS", rows)
+@pytest.fixture(params=["true", "false"])
+def coalesced(spark, request):
+    """One range for few rows, or as many as there are partitions."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_ranges(spark, coalesced):
     rnd = random.Random(5)
     data = [(rnd.choice(["a", "b", None]), i if i % 9 else 10**12 + i, rnd.randint(-5, 5)) for i in range(300)]
     df = spark.createDataFrame(data, "g string, o long, v long").repartition(4)
