@@ -7,7 +7,7 @@ largest. (2) The least number of sequences for these few sizes is a linear progr
 size share a sequence), solved by column generation; its whole parts are taken. (3) Actual lengths take the places of the
 rounded ones, but for the smallest place of each configuration: so what rounding has cost is still open. (4) The pieces of these
 places, those that the whole parts have left over, and the small ones fill the gaps best-fit, largest first. Steps 1 to 4 are
-planned for several bounds of what is large, and plain best-fit from the same counts as a floor; the plan with the fewest
+planned for several bounds of what is large and for several shares of the whole parts, and plain best-fit from the same counts as a floor; the plan with the fewest
 sequences is taken, one by groups if they tie. It says which ranks of each length go where; pieces get their rank in their length
 by a distributed numbering and look their place up.
 
@@ -28,6 +28,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ END_ID = 0
 #: Groups of equal cardinality that large lengths are rounded up in.
 GROUPS = 48
 #: Lengths above the capacity divided by these are large, one plan for each.
-LARGE = (8, 4, 3)
+LARGE = (8, 4, 3, 2)
+#: Shares of the configurations' numbers that are taken, a plan for each: what is left gives best-fit more pieces to close gaps with.
+TAKEN = (1.0, 0.5, 0.25)
 #: Rows of a linear program's simplex that bring no gain before it stops, and rows in all: any of them is a feasible plan.
 STALLED, STEPS = 200, 4000
 #: Pieces of one length that a task numbers together, while there are fewer than PARTS * PIECES; (length, part) pairs.
@@ -287,8 +290,14 @@ def grouped(large: list[tuple[int, int]], groups: int) -> tuple[list[int], list[
     return sizes, [m for _, m in members]
 
 
-def grouping_plan(histogram: dict[int, int], capacity: int, groups: int, small: int) -> Planner:
-    """Places by linear grouping: steps 1 to 4. Lengths up to small are left to step 4."""
+@lru_cache(maxsize=len(LARGE))
+def _solved(sizes: tuple[int, ...], demand: tuple[int, ...], capacity: int) -> list[tuple[list[int], float]]:
+    return configurations(list(sizes), list(demand), capacity)
+
+
+def grouping_plan(histogram: dict[int, int], capacity: int, groups: int, small: int, taken: float = 1.0) -> Planner:
+    """Places by linear grouping: steps 1 to 4. Lengths up to small are left to step 4, and so is what configurations would hold beyond the
+    share of their number that is taken."""
     out = Planner(capacity)
     sizes, supply = grouped([(s, histogram[s]) for s in sorted(histogram, reverse=True) if s > small], groups)
     # Groups of one size are one size of the program.
@@ -297,10 +306,10 @@ def grouping_plan(histogram: dict[int, int], capacity: int, groups: int, small:
             supply[i - 1] += supply.pop(i)
             sizes.pop(i)
     left = [sum(n for _, n in m) for m in supply]
-    chosen = configurations(sizes, left, capacity) if sizes else []
+    chosen = _solved(tuple(sizes), tuple(left), capacity) if sizes else []
     for counts, times in sorted(chosen, key=lambda x: -x[1]):
         # Whole parts; of a size that runs out the configuration is closed.
-        times = min([int(times + 1e-6), *(left[i] // k for i, k in enumerate(counts) if k)])
+        times = min([int(times * taken + 1e-6), *(left[i] // k for i, k in enumerate(counts) if k)])
         if times:
             slots, last = [], max(i for i, k in enumerate(counts) if k) if sum(counts) > 1 else -1
             for i, k in enumerate(counts):
@@ -333,7 +342,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     """Places for all pieces, given how many there are of each length."""
     plain = Planner(capacity)
     plain.best_fit(histogram)
-    plans = [grouping_plan(histogram, capacity, groups, capacity // d) for d in LARGE]
+    plans = [grouping_plan(histogram, capacity, groups, capacity // d, taken) for taken in TAKEN for d in LARGE]
     return min([*plans, plain], key=lambda p: p.used).runs
 
 
