@@ -126,9 +126,9 @@ def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE, share: tup
     """u, v: links between nodes, at least a spanning forest of all that share a key and are similar enough."""
     nodes = shared_table(marked.where("n > 0").groupBy("node").agg(F.min(F.struct("__key", "__hash")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     cells = nodes.select("node", "n", F.explode("keys").alias("cell"))
-    met = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("group"), F.sum("n").alias("size")).where("k > 1")
-    # Keys with the same members, told by a hash of them, need one comparison.
-    groups = shared_table(met.groupBy("k", "group").agg(F.min("cell").alias("cell"), F.ceil(F.first("size") / F.lit(BLOCK)).cast("int").alias("__b")), "groups")
+    met = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("group"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("other"), F.sum("n").alias("size")).where("k > 1")
+    # Keys with the same members, told by two hashes of them and their number, need one comparison.
+    groups = shared_table(met.groupBy("k", "group", "other").agg(F.min("cell").alias("cell"), F.ceil(F.first("size") / F.lit(BLOCK)).cast("int").alias("__b")), "groups")
     members = shared_table(cells.select("node", "cell").join(groups.select("cell", "__b"), "cell"), "members")
     picked = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "least.__key", F.col("least.__hash").alias("__h"))
     texts = docs.join(picked, docs["__key"].eqNullSafe(picked["__key"]) & (docs["__hash"] == F.col("__h"))).select("node", "__text")
