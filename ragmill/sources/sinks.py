@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folders import exists, remove, rename
+from .folders import exists, remove, rename, stored
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -76,10 +76,9 @@ def append_unfinished(df: DataFrame, path: str, key: str, fmt: str = "parquet")
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         done = df.select(key).limit(0)
-    todo = df.join(done, key, "left_anti")
-    before = 0 if done.isEmpty() else done.count()
+    todo = stored(df.join(done, key, "left_anti"), "unfinished")  # so the log is read once, and what is counted is what is appended
     todo.write.mode("append").format(fmt).save(path)
-    return spark.read.format(fmt).load(path).count() - before
+    return todo.count()
 
 
 def report_json(df: DataFrame, path: str) -> None:
