@@ -35,18 +35,18 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_available(S.deduplicated(events.unionByName(events), "1 hour", "event_id").select("event_id"), "dedup")
 
 
-@query("""with recursive e as (select event_type || '-' || (user_id % 64) grp, event_id, ceil(value)::bigint n, row_number() over (partition by event_type, user_id % 64 order by event_id) i from events),
+@query("""with recursive e as (select event_type || '-' || (user_id % 4) grp, event_id, ceil(value)::bigint n, row_number() over (partition by event_type, user_id % 4 order by event_id) i from events),
 r as (select grp, event_id, i, 0::bigint batch, 0 place, n used from e where i = 1
 union all select e.grp, e.event_id, e.i, case when used + n > 2048 then batch + 1 else batch end, case when used + n > 2048 then 0 else place + 1 end, case when used + n > 2048 then n else used + n end from r join e on e.grp = r.grp and e.i = r.i + 1)
 select grp, event_id::bigint row_id, batch, place::int place from r qualify batch < max(batch) over (partition by grp)""")
 def stream_token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 2048 tokens out of 64 buffers for each event type; what fills no batch stays in its buffer."""
-    worker = F.concat_ws("-", "event_type", (F.col("user_id") % 64).cast("string"))
+    """Batches of 2048 tokens out of four buffers for each event type; what fills no batch stays in its buffer."""
+    worker = F.concat_ws("-", "event_type", (F.col("user_id") % 4).cast("string"))
     events = S.event_stream(spark, sf_dir).withColumn("tokens", F.ceil("value")).withColumn("worker", worker)
     return S.run_available(B.token_batches(events, "worker", "tokens", "event_id", capacity=1 << 20, budget=2048), "batches").drop("refused")
 
 
-@query("""with recursive e as (select event_type || '-' || (user_id % 64) grp, event_id, ceil(value)::bigint n, row_number() over (partition by event_type, user_id % 64 order by event_id) i from events),
+@query("""with recursive e as (select event_type || '-' || (user_id % 4) grp, event_id, ceil(value)::bigint n, row_number() over (partition by event_type, user_id % 4 order by event_id) i from events),
 r as (select grp, event_id, i, 0::bigint batch, 0 place, n > 300 refused, case when n > 300 then 0 else n end used, case when n > 300 then 0 else 1 end held, 0::bigint next from e where i = 1
 union all select grp, event_id, i, next, held, refused, case when refused then used when held = 5 then 0 else used + n end, case when refused then held when held = 5 then 0 else held + 1 end, case when held = 5 and not refused then next + 1 else next end
 from (select e.grp, e.event_id, e.i, e.n, r.used, r.held, r.next, r.used + e.n > 300 refused from r join e on e.grp = r.grp and e.i = r.i + 1)),
@@ -54,7 +54,7 @@ m as (select grp, max(next) ends from r group by 1)
 select r.grp, event_id::bigint row_id, case when not refused then batch end as batch, case when not refused then place end::int as place, refused from r join m on r.grp = m.grp where refused or batch < ends""")
 def stream_bounded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of six rows out of buffers that hold 300 tokens at most and refuse what is more."""
-    worker = F.concat_ws("-", "event_type", (F.col("user_id") % 64).cast("string"))
+    worker = F.concat_ws("-", "event_type", (F.col("user_id") % 4).cast("string"))
     events = S.event_stream(spark, sf_dir).withColumn("tokens", F.ceil("value")).withColumn("worker", worker)
     return S.run_available(B.token_batches(events, "worker", "tokens", "event_id", capacity=300, take=6), "bounded")
 
