@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,8 +60,12 @@ def strip_marks(text: Column) -> Column:
 
 def fold_words(text: Column) -> Column:
     """Lower case, number words as digits, no articles, contractions written out."""
-    digits = lambda w: F.coalesce(F.try_element_at(_literal_map(NUMBER_WORDS), w), w)
-    spelled = lambda w: F.coalesce(F.try_element_at(_literal_map(CONTRACTIONS), w), w)
+
+    def known(table: dict[str, str]) -> Callable[[Column], Column]:
+        """Few words are in a table: they are told by a set, so that the others are not looked up in a map, entry by entry."""
+        return lambda w: F.when(w.isin(list(table)), F.try_element_at(_literal_map(table), w)).otherwise(w)
+
+    digits, spelled = known(NUMBER_WORDS), known(CONTRACTIONS)
     kept = F.filter(F.transform(words(F.lower(text)), digits), lambda w: ~w.isin(ARTICLES))
     return F.array_join(F.transform(kept, spelled), " ")
 

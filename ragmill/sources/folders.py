@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_new: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ragmill/{name}-{uuid.uuid4().hex}"
+    _new.append(f"{shared_dir(spark)}/ragmill/{name}-{uuid.uuid4().hex}")
+    return _new[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes what this session has put under new paths and gives their number. DataFrames that read from there are of no use then: call it
+    when their rows have been taken or written elsewhere."""
+    n = len(_new)
+    while _new:
+        remove(spark, _new.pop())
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

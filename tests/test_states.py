@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ragmill.functions.tables import register
 from ragmill.operators.states import Ledger
-from ragmill.sources.folders import new_path
+from ragmill.sources.folders import exists, new_path, stored, sweep
 
 
 def test_runs_merge_to_the_whole(spark):
@@ -70,3 +70,11 @@ def test_chunk_rows_refuses(spark, arguments):
     spark.createDataFrame([(1, "x")], "i long, t string").createOrReplaceTempView("rows_to_chunk")
     with pytest.raises(Exception, match="no text column|smaller than the size"):
         spark.sql(f"select * from chunk_rows(table(rows_to_chunk), {arguments})").collect()
+
+
+def test_sweep(spark):
+    path = new_path(spark, "test-sweep")
+    spark.range(3).write.parquet(path)
+    kept = stored(spark.range(5), "test-sweep")
+    assert exists(spark, path) and kept.count() == 5
+    assert sweep(spark) >= 2 and not exists(spark, path) and sweep(spark) == 0
