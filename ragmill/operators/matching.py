@@ -35,27 +35,44 @@ CLASSES = (Class(16, 8, 9), Class(4, 4, 1), Class(1, 1, 1), Class(0, 0, 1))
 BITS, CHUNK = 1 << 26, 1 << 20
 
 
-def grams(text: str, kind: Class) -> np.ndarray:
-    """The distinct grams of a class, as signed 64-bit hashes. The empty pattern's gram is in every text."""
+def grams(texts: Sequence[str], kind: Class) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of texts, their grams of a class as signed 64-bit hashes), repeats included, about CHUNK code points at a time. The empty
+    pattern's gram is in every text."""
     q, w = kind.gram, kind.window
     if q == 0:
-        return np.zeros(1, np.int64)
-    out = [np.zeros(0, np.uint64)]
-    for at in range(0, len(text), CHUNK):
-        codes = np.frombuffer(text[at : at + CHUNK + q + w - 2].encode("utf-32-le"), np.uint32).astype(np.uint64)
-        n = len(codes) - q + 1
-        if n < w:
-            continue
-        h = np.full(n, q, np.uint64)
-        for j in range(q):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        least = h[: n - w + 1].copy()
-        for j in range(1, w):
-            np.minimum(least, h[j : j + len(least)], out=least)
-        out.append(np.unique(least))
-    return np.unique(np.concatenate(out)).view(np.int64)
+        yield np.arange(len(texts)), np.zeros(len(texts), np.int64)
+        return
+    owners, pieces, held = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), CHUNK):  # neighbouring pieces of a long text share what a window reaches over
+            owners.append(i)
+            pieces.append(text[at : at + CHUNK + q + w - 2])
+            held += len(pieces[-1])
+            if held >= CHUNK:
+                yield _hashed(owners, pieces, q, w)
+                owners, pieces, held = [], [], 0
+    if pieces:
+        yield _hashed(owners, pieces, q, w)
+
+
+def _hashed(owners: list[int], pieces: list[str], q: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces at once: windows that begin in one and end in the next are left out."""
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(codes) - q - w + 2
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.full(n + w - 1, q, np.uint64)
+    for j in range(q):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[j : j + len(h)]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    least = h[:n].copy()
+    for j in range(1, w):
+        np.minimum(least, h[j : j + n], out=least)
+    lengths = np.array([len(x) for x in pieces])
+    inside = np.arange(n) + q + w - 1 <= np.repeat(np.cumsum(lengths), lengths)[:n]
+    return np.repeat(np.array(owners), lengths)[:n][inside], least[inside].view(np.int64)
 
 
 def class_of(n: int) -> Class:
@@ -63,31 +80,22 @@ def class_of(n: int) -> Class:
 
 
 def _each(rows: DataFrame, classes: Sequence[Class] | None, known=None) -> DataFrame:
-    """key, gram from key, text: all grams of these classes that the bitmap knows, or without classes those of the text's own class."""
+    """key, gram from key, text: grams of these classes that the bitmap knows, or without classes those of the text's own class. A long
+    text may give a gram once for each of its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        found: list[np.ndarray] = []
-
-        def batch_of() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], names=["key", "gram"])
-            keys.clear()
-            found.clear()
-            return out
-
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                own = np.concatenate([np.zeros(0, np.int64), *(grams(text, c) for c in (classes if classes is not None else [class_of(len(text))]))])
-                if known:
-                    own = own[in_bitmap(own, known.value)]
-                if len(own):
-                    keys.append(np.full(len(own), key))
-                    found.append(own)
-                if sum(map(len, keys)) > CHUNK:
-                    yield batch_of()
-        if keys:
-            yield batch_of()
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for kind in CLASSES if classes is None else classes:
+                chosen = [i for i, t in enumerate(texts) if classes is not None or class_of(len(t)) == kind]
+                for owner, own in grams([texts[i] for i in chosen], kind):
+                    if known:
+                        kept = in_bitmap(own, known.value)
+                        owner, own = owner[kept], own[kept]
+                    by = np.lexsort((own, owner))
+                    owner, own = owner[by], own[by]
+                    new = np.append(True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])) if len(own) else np.zeros(0, bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[np.array(chosen)[owner[new]]] if new.any() else keys[:0]), pa.array(own[new])], names=["key", "gram"])
 
     return rows.mapInArrow(run, "key long, gram long")
 
