@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import new_path
+from ..sources.folders import remove as remove_path
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 
-_own_folder: list[tempfile.TemporaryDirectory] = []
 _scratch: list[list[str]] = []
 
 
@@ -22,32 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Only a local session (tests, the small bench) may leave the setting out; it then gets a temporary folder of its own.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.TemporaryDirectory(prefix="ragmill-"))
-        atexit.register(_own_folder[0].cleanup)
-    return f"file://{_own_folder[0].name}"
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a path on any file system that Spark knows."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ragmill/{name}-{uuid.uuid4().hex}"
-
-
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 

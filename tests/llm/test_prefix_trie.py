@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ragmill.llm import prefix_trie, queries, scans
 from ragmill.llm.scans import Ring, running
@@ -121,7 +122,7 @@ def test_running_over_ranges(spark, ranges):
     rows = [(rng.choice([1, 1, 1, 2, 3, *range(10, 90)]), i, rng.randrange(100)) for i in range(4000)]
     ring = Ring(10, 97)
     df = spark.createDataFrame(rows, "k long, i long, v long").selectExpr("k", "i", "v as plain", "v as weighted").repartition(7)
-    got = {(r["k"], r["i"]): (r["pos"], r["plain"], r["plain_before"], r["weighted"], r["weighted_before"]) for r in running(df, "k", [df["i"]], {"plain": None, "weighted": ring}, "test").collect()}
+    got = {(r["k"], r["i"]): (r["pos"], r["plain"], r["plain_before"], r["weighted"], r["weighted_before"]) for r in running(df, "k", [F.col("i")], {"plain": None, "weighted": ring}, "test").collect()}
     assert ranges[0] >= 4
     sums = defaultdict(lambda: (0, 0, 0))
     for k, i, v in sorted(rows):
