@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import let
+from ..sources.folders import stored
 
 
 def _logsumexp_over(x: Column, w) -> Column:
@@ -74,7 +75,8 @@ def minimum_risk_bleu(candidates: DataFrame, question: str, sample: str, text: s
 
     Words are what white space parts, in small letters; matches of n-grams above one word are counted from one. The sums of the clipped
     counts, which are minima over all pairs of samples, come from how many samples hold an n-gram how often: no pairs are made, and a
-    question may have any number of samples.
+    question may have any number of samples. The n-grams, many times the size of the texts, are counted once into a table, and all joins
+    are shuffled: sizes are guessed from the texts', by which n-grams would be broadcast.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+", -1), lambda w: w != "")
     rows = candidates.select(F.col(question).alias("__q"), F.col(sample).alias("__i"), words.alias("__w"))
@@ -84,13 +86,14 @@ def minimum_risk_bleu(candidates: DataFrame, question: str, sample: str, text: s
         return F.when(F.size("__w") >= n, whole).otherwise(F.array().cast("array<struct<n:int,g:string>>"))
 
     counts = rows.select("__q", "__i", F.explode(F.concat(*[grams(n) for n in range(1, order + 1)])).alias("x")).groupBy("__q", "__i", "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
+    counts = stored(counts, "grams")
     held = counts.groupBy("__q", "n", "g", "c").agg(F.count(F.lit(1)).alias("k"))  # a row for each different count
     upto = Window.partitionBy("__q", "n", "g").orderBy("c")
     every = Window.partitionBy("__q", "n", "g")
     minima = held.select("__q", "n", "g", "c", (F.sum(F.col("c") * F.col("k")).over(upto) + F.col("c") * (F.sum("k").over(every) - F.sum("k").over(upto)) - F.col("c")).alias("m"))
-    shared = counts.join(minima, ["__q", "n", "g", "c"]).groupBy("__q", "__i").agg(*[F.sum(F.when(F.col("n") == n, F.col("m"))).alias(f"m{n}") for n in range(1, order + 1)])
+    shared = counts.join(minima.hint("merge"), ["__q", "n", "g", "c"]).groupBy("__q", "__i").agg(*[F.sum(F.when(F.col("n") == n, F.col("m"))).alias(f"m{n}") for n in range(1, order + 1)])
     sizes = rows.groupBy("__q").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("__w")).alias("all"))
-    both = rows.select("__q", "__i", F.size("__w").alias("len")).join(sizes, "__q").join(shared, ["__q", "__i"], "left")
+    both = rows.select("__q", "__i", F.size("__w").alias("len")).join(sizes.hint("merge"), "__q").join(shared.hint("merge"), ["__q", "__i"], "left")
     others = F.col("k") - 1
 
     def log_precision(n: int) -> Column:

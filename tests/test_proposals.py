@@ -64,3 +64,10 @@ def test_minimum_risk(spark):
         scores = [bleu_against(i, [t or "" for t in ts]) if len(ts) > 1 else 0.0 for i in range(len(ts))]
         best = max(range(len(ts)), key=lambda i: (round(scores[i], 9), -i))
         assert got[q][0] == best and math.isclose(got[q][1], scores[best], abs_tol=1e-9)
+
+
+def test_minimum_risk_broadcasts_nothing(spark):
+    """Texts that are small enough to be broadcast have n-grams that are not."""
+    rows = spark.createDataFrame([(1, 1, "a b c d e"), (1, 2, "a b c"), (2, 1, "x")], "q long, i long, t string")
+    plan = ensemble.minimum_risk_bleu(rows, "q", "i", "t")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
