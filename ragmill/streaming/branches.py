@@ -1,8 +1,11 @@
 """Branch groups: the branches of a request report their log-probabilities step by step, in any order; a step's mixture is given out once
 all live branches have reported it, the posterior moves on, and branches of little weight are pruned.
 
-State is a map of live branches, a map of reports that are still waited with, and where the group stands. It is taken back as it is used:
-a report goes with its step, a branch when it is pruned, all of a group with its last step.
+State is a map of live branches, a map of reports that are still waited with, and where the group stands, each by group. It is taken back
+as it is used: a report goes with its step, a branch when it is pruned, all of a group with its last step.
+
+Groups are dealt to buckets, which are the keys of the stream: a call for a bucket costs as much as a call for a group would. A task holds
+the rows of a bucket of one trigger, which the source bounds (maxFilesPerTrigger).
 """
 
 from __future__ import annotations
@@ -10,12 +13,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .buffers import frame
+#: Buckets that groups are dealt to.
+BUCKETS = 4096
+
+Out = Row("grp", "step", "marginal", "n_live", "complete")
+
 
 def logsumexp(xs: list[float]) -> float:
     top = max(xs)
@@ -34,94 +40,99 @@ def surviving(scores: dict[int, float], top_p: float) -> dict[int, float]:
 
 
 class BranchGroups(StatefulProcessor):
-    """Rows of a group: branch, step, logp, prior_logit, and n_branches and n_steps, the same in all its rows.
+    """Rows of a bucket of groups: grp, branch, step, logp, prior_logit, and n_branches and n_steps, the same in all rows of a group.
 
     Of reports repeated for a branch and step the first counts (in one trigger: the smaller logp); reports of steps already given out and of
     pruned branches are left. late_ms keeps a finished group's mark for so long, so that its late reports don't begin it anew;
     timeout_ms gives out what a silent group has, complete false, and forgets it.
+
+    What reads and writes state is a call to the JVM, so a bucket that holds nothing is asked once, and a group that comes whole in one
+    trigger is neither read nor written.
     """
 
-    def __init__(self, top_p: float, timeout_ms: int | None, late_ms: int | None) -> None:
-        self.top_p, self.timeout_ms, self.late_ms = top_p, timeout_ms, late_ms
+    def __init__(self, kind: str, top_p: float, timeout_ms: int | None, late_ms: int | None) -> None:
+        self.kind, self.top_p, self.timeout_ms, self.late_ms = kind, top_p, timeout_ms, late_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.live = handle.getMapState("live", "branch int", "score double")
-        self.waiting = handle.getMapState("waiting", "step int, branch int", "logp double")
-        self.at = handle.getValueState("at", "step int, done boolean")
-
-    def _again_in(self, timerValues: object, ms: int | None) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if ms:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + ms)
-
-    def _load(self) -> tuple[dict[int, float], dict[int, dict[int, float]]]:
-        live = {k[0]: v[0] for k, v in self.live.iterator()} if self.live.exists() else {}
+        key = f"grp {self.kind}"
+        self.live = handle.getMapState("live", key, "branches array<int>, scores array<double>")
+        self.waiting = handle.getMapState("waiting", key, "steps array<int>, branches array<int>, logps array<double>")
+        self.at = handle.getMapState("at", key, "step int, done boolean, due long")
+
+    def _load(self, grp: object) -> tuple[dict[int, float], dict[int, dict[int, float]]]:
+        live = dict(zip(*(self.live.getValue((grp,)) or ((), ())), strict=True))
         steps: dict[int, dict[int, float]] = {}
-        for (s, b), (x,) in self.waiting.iterator() if self.waiting.exists() else ():
+        for s, b, x in zip(*(self.waiting.getValue((grp,)) or ((), (), ())), strict=True):
             steps.setdefault(s, {})[b] = x
         return live, steps
 
-    def _forget(self) -> None:
+    def _forget(self, grp: object) -> None:
         for state in (self.live, self.waiting, self.at):
-            state.clear()
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        step, done = self.at.get() if self.at.exists() else (0, False)
-        out: list[tuple] = []
-        if not done:
-            came = sorted(x for pdf in rows for x in pdf[["step", "branch", "logp", "prior_logit", "n_branches", "n_steps"]].itertuples(index=False, name=None))
-            live, steps = self._load()
-            n_branches, n_steps = int(came[0][4]), int(came[0][5])
-            known_live, known = dict(live), {(s, b) for s, got in steps.items() for b in got}
-            for s, b, x, prior, *_ in came:
-                s, b = int(s), int(b)
+            state.removeKey((grp,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        came: dict[object, list[tuple]] = {}
+        for grp, s, b, x, prior, n_branches, n_steps, _ in rows:
+            came.setdefault(grp, []).append((s, b, math.nan if x is None else x, math.nan if prior is None else prior, n_branches, n_steps))
+        empty = not self.at.exists()
+        now = timerValues.getCurrentProcessingTimeInMs() if self.timeout_ms or self.late_ms else 0
+        due: set[int] = set()
+        for grp, reports in came.items():
+            at = None if empty else self.at.getValue((grp,))
+            step, done, _ = at or (0, False, None)
+            if done:
+                continue
+            live, steps = self._load(grp) if at else ({}, {})
+            known = dict(live), {s: dict(of) for s, of in steps.items()}
+            reports.sort()
+            n_branches, n_steps = reports[0][4:]
+            for s, b, x, prior, *_ in reports:
                 if s < step or s >= n_steps or (step and b not in live):
                     continue
-                live.setdefault(b, float(prior))
-                steps.setdefault(s, {}).setdefault(b, float(x))
+                live.setdefault(b, prior)
+                steps.setdefault(s, {}).setdefault(b, x)
             while step < n_steps and (len(live) == n_branches if step == 0 else True) and len(got := steps.get(step, {})) == len(live):
-                out.append((key[0], step, _marginal(live, got), len(live), True))
+                yield Out(grp, step, _marginal(live, got), len(live), True)
                 live = surviving({b: score + got[b] for b, score in live.items()}, self.top_p)
                 del steps[step]
                 step += 1
                 steps = {s: {b: x for b, x in of.items() if b in live} for s, of in steps.items()}
-            if step == n_steps:
-                self._forget()
-                done = bool(self.late_ms)
-                if done:
-                    self.at.update((step, True))
-                self._again_in(timerValues, self.late_ms) if self.late_ms or self.timeout_ms else None
+            ms = self.late_ms if step == n_steps else self.timeout_ms
+            if ms:
+                due.add(now + ms)
+            if step < n_steps:
+                self._store(grp, known, live, {s: of for s, of in steps.items() if of})
+                self.at.updateValue((grp,), (step, False, now + ms if ms else None))
+                continue
+            if at:
+                self._forget(grp)
+            if ms:
+                self.at.updateValue((grp,), (step, True, now + ms))
+        for x in due:
+            self.handle.registerTimer(x)
+
+    def _store(self, grp: object, known: tuple[dict, dict], live: dict[int, float], steps: dict[int, dict[int, float]]) -> None:
+        """Only what has changed is written."""
+        if live != known[0]:
+            self.live.updateValue((grp,), (list(live), list(live.values())))
+        if steps != known[1]:
+            held = [(s, b, x) for s, of in steps.items() for b, x in of.items()]
+            if held:
+                self.waiting.updateValue((grp,), tuple(map(list, zip(*held, strict=True))))
             else:
-                self._store(known_live, known, live, steps, step)
-                if self.timeout_ms:
-                    self._again_in(timerValues, self.timeout_ms)
-        yield frame(out, "grp", "step", "marginal", "n_live", "complete")
+                self.waiting.removeKey((grp,))
 
-    def _store(self, known_live: dict, known: set, live: dict, steps: dict, step: int) -> None:
-        """Only what has changed is written."""
-        for b, score in live.items():
-            if known_live.get(b) != score:
-                self.live.updateValue((b,), (score,))
-        for b in known_live.keys() - live.keys():
-            self.live.removeKey((b,))
-        now = {(s, b): x for s, of in steps.items() for b, x in of.items()}
-        for k in now.keys() - known:
-            self.waiting.updateValue(k, (now[k],))
-        for k in known - now.keys():
-            self.waiting.removeKey(k)
-        self.at.update((step, False))
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        live, steps = self._load()
-        out = []
-        for s in sorted(steps):
-            if got := {b: x for b, x in steps[s].items() if b in live}:
-                out.append((key[0], s, _marginal({b: live[b] for b in got}, got), len(got), False))
-                live |= {b: live[b] + x for b, x in got.items()}
-        self._forget()
-        yield frame(out, "grp", "step", "marginal", "n_live", "complete")
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        """A group's time is in its mark: a timer of the bucket finds the groups that have not reported since, and no others."""
+        by = expiredTimerInfo.getExpiryTimeInMs()
+        for grp, done in [(grp, done) for (grp,), (_, done, due) in self.at.iterator() if due is not None and due <= by]:
+            live, steps = ({}, {}) if done else self._load(grp)
+            for s in sorted(steps):
+                if got := {b: x for b, x in steps[s].items() if b in live}:
+                    yield Out(grp, s, _marginal({b: live[b] for b in got}, got), len(got), False)
+                    live |= {b: live[b] + x for b, x in got.items()}
+            self._forget(grp)
 
 
 def _marginal(live: dict[int, float], got: dict[int, float]) -> float:
@@ -129,10 +140,13 @@ def _marginal(live: dict[int, float], got: dict[int, float]) -> float:
     return logsumexp([live[b] + got[b] for b in order]) - logsumexp([live[b] for b in order])
 
 
-def branch_groups(shards: DataFrame, *, top_p: float = 1.0, timeout_ms: int | None = None, late_ms: int | None = None) -> DataFrame:
+def branch_groups(shards: DataFrame, *, top_p: float = 1.0, timeout_ms: int | None = None, late_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """grp, step, marginal, n_live (branches in the mixture), complete, from grp, branch, step, logp, prior_logit, n_branches, n_steps. With a
     time, a query has no end of its own, so batch jobs leave both out."""
     kind = shards.schema["grp"].dataType.simpleString()
-    rows = shards.select("grp", *[F.col(c).cast("int").alias(c) for c in ("branch", "step", "n_branches", "n_steps")], *[F.col(c).cast("double").alias(c) for c in ("logp", "prior_logit")])
+    rows = shards.select(
+        "grp", *[F.col(c).cast("int").alias(c) for c in ("step", "branch")], *[F.col(c).cast("double").alias(c) for c in ("logp", "prior_logit")], *[F.col(c).cast("int").alias(c) for c in ("n_branches", "n_steps")],
+        F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int").alias("bucket"),
+    )
     out = f"grp {kind}, step int, marginal double, n_live int, complete boolean"
-    return rows.groupBy("grp").transformWithStateInPandas(BranchGroups(top_p, timeout_ms, late_ms), out, "Append", "ProcessingTime" if timeout_ms or late_ms else "None")
+    return rows.groupBy("bucket").transformWithState(BranchGroups(kind, top_p, timeout_ms, late_ms), out, "Append", "ProcessingTime" if timeout_ms or late_ms else "None")

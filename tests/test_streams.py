@@ -174,3 +174,45 @@ def test_silent_groups(spark, tmp_path):
     half = math.log((math.exp(-1) + math.exp(-2)) / 2)
     assert sorted((r["grp"], r["step"], round(r["marginal"], 9), r["n_live"], r["complete"]) for r in got) == [(1, 0, round(half, 9), 2, False), (2, 0, -1.0, 1, True), (2, 1, -2.0, 1, True)]
     assert spark.read.format("statestore").option("stateVarName", "live").load(f"file://{tmp_path}/out/log").count() == 0
+
+
+def test_whole_groups_leave_state_alone():
+    """A thousand groups of one bucket that come whole: the bucket is asked once whether it holds anything."""
+    calls = []
+
+    class Held:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    class Handle:
+        def getMapState(self, *a):
+            return Held()
+
+    groups = branches.BranchGroups("long", 1.0, None, None)
+    groups.init(Handle())
+    rows = [(g, s, b, -1.0 - b, 0.0, 2, 2, 0) for s in (1, 0) for b in (1, 0) for g in range(1000)]
+    out = list(groups.handleInputRows((0,), iter(rows), None))
+    assert len(out) == 2000 and all(r["complete"] and r["n_live"] == 2 for r in out)
+    assert calls == ["exists"]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_groups_share_a_bucket(spark, tmp_path, kind):
+    """Groups over several triggers in two buckets, one without an id; one never gets all its branches and stays in the state."""
+    rng = random.Random(4)
+    name = (lambda g: (1 << 60) + g) if kind == "long" else str
+    want, rows = {}, []
+    for g in range(10):
+        own, k = None if g == 9 else name(g), 1 + g % 3
+        priors = {b: rng.uniform(-1, 1) for b in range(k)}
+        steps = [{b: rng.uniform(-3, 0) for b in range(k)} for _ in range(3)]
+        want |= {(own, s): (m, n) for s, m, n in mixtures(priors, steps, 1.0)}
+        rows += [(own, b, s, steps[s][b], priors[b], k, 3) for s in range(3) for b in range(k)]
+    rng.shuffle(rows)
+    rows.append((name(10), 0, 0, -1.0, 0.0, 2, 1))
+    schema = SHARDS.replace("grp long", f"grp {kind}")
+    stream = branches.branch_groups(files(spark, tmp_path / "in", [rows[i::4] for i in range(4)], schema), buckets=2)
+    got = streams.drain(stream, str(tmp_path / "out")).collect()
+    assert {(r["grp"], r["step"]): (round(r["marginal"], 9), r["n_live"]) for r in got} == want and len(got) == len(want)
+    held = spark.read.format("statestore").option("stateVarName", "live").load(f"file://{tmp_path}/out/log").collect()
+    assert len(held) == 1
