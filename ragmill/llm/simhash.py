@@ -13,10 +13,10 @@ more groups are finer cells at the price of more of them. Every G finds every li
 Within a cell only a spanning forest of the links is emitted, never all pairs. A cell above CELL fingerprints is dealt to
 pairs of blocks, an exact way with bounded tasks.
 
-Links by similarity: near_duplicates(similarity=...) links texts by the Jaccard similarity of their shingle sets. Fingerprints
-cannot find these candidates: at a similarity of 0.8 a bit differs with a probability of 0.15, so two fingerprints lie 9.7 bits
-apart on average and two pairs in a thousand more than 18, while 0.03 % of all unrelated pairs lie within 18 bits, a number that
-grows with the square of the corpus. So candidates are named by MinHash bands there, and whole sets decide (near_copies).
+Links by similarity: near_duplicates(similarity=...) links texts by the Jaccard similarity of their shingle sets. 64 bits cannot find
+these candidates: at a similarity of 0.8 a bit differs with a probability of 0.15, so two fingerprints lie 9.7 bits apart on average and
+two pairs in a thousand more than 18, while 0.03 % of all unrelated pairs lie within 18 bits, a number that grows with the square of the
+corpus. So fingerprints have 1024 bits there, in the same embedding and in more grids, and whole sets decide (near_copies).
 
 Defined results: a null or empty text has fingerprint zero and links like any other; equal texts share a fingerprint and so a
 component; texts are read whole, in parts of 65536 shingles; a null id is carried along and never names a component unless it is
