@@ -5,14 +5,18 @@ State is a map of live branches, a map of reports that are still waited with, an
 as it is used: a report goes with its step, a branch when it is pruned, all of a group with its last step.
 
 Groups are dealt to buckets, which are the keys of the stream: a call for a bucket costs as much as a call for a group would. A task holds
-the rows of a bucket of one trigger, which the source bounds (maxFilesPerTrigger).
+the rows of a bucket of one trigger, which the source bounds (maxFilesPerTrigger). Python is given rows cell by cell, so before they are
+shuffled a task's reports for one bucket are put into one row, as lists.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +24,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 #: Buckets that groups are dealt to.
 BUCKETS = 4096
 
+#: Reports that a task packs at once.
+PACK = 100_000
+
 Out = Row("grp", "step", "marginal", "n_live", "complete")
 
 
@@ -135,6 +142,36 @@ class BranchGroups(StatefulProcessor):
             self._forget(grp)
 
 
+class PackedBranchGroups(BranchGroups):
+    """The same over rows of lists, as _packed makes them."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        return super().handleInputRows(key, chain.from_iterable(zip(*row[:-1], [row[-1]] * len(row[0]), strict=True) for row in rows), timerValues)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of so many reports at a time those of a bucket in one row: a list for each column, then the bucket."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("bucket")
+        bucket = table["bucket"].to_numpy()
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = pa.array(np.append(first, len(bucket)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(c.chunks)) for c in table.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*lists, pa.array(bucket[first], pa.int32())], table.column_names)
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= PACK:
+            yield pack(held)
+            held, n = [], 0
+    if held:
+        yield pack(held)
+
+
 def _marginal(live: dict[int, float], got: dict[int, float]) -> float:
     order = sorted(live)  # sums are taken by branch, whatever the order of arrival
     return logsumexp([live[b] + got[b] for b in order]) - logsumexp([live[b] for b in order])
@@ -149,4 +186,5 @@ def branch_groups(shards: DataFrame, *, top_p: float = 1.0, timeout_ms: int | No
         F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int").alias("bucket"),
     )
     out = f"grp {kind}, step int, marginal double, n_live int, complete boolean"
-    return rows.groupBy("bucket").transformWithState(BranchGroups(kind, top_p, timeout_ms, late_ms), out, "Append", "ProcessingTime" if timeout_ms or late_ms else "None")
+    packed = rows.mapInArrow(_packed, ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema[:-1]) + ", bucket int")
+    return packed.groupBy("bucket").transformWithState(PackedBranchGroups(kind, top_p, timeout_ms, late_ms), out, "Append", "ProcessingTime" if timeout_ms or late_ms else "None")

@@ -216,3 +216,17 @@ def test_groups_share_a_bucket(spark, tmp_path, kind):
     assert {(r["grp"], r["step"]): (round(r["marginal"], 9), r["n_live"]) for r in got} == want and len(got) == len(want)
     held = spark.read.format("statestore").option("stateVarName", "live").load(f"file://{tmp_path}/out/log").collect()
     assert len(held) == 1
+
+
+def test_reports_are_packed_by_bucket():
+    """A thousand reports in two buckets reach Python in two rows, and unpacked they are what they were, absent values included."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, (1 << 60) + 1, 7]), b, s, rng.choice([None, -1.0, -0.5]), 0.5, 4, 2, rng.randrange(2)) for b in range(250) for s in range(4)]
+    names = ["grp", "branch", "step", "logp", "prior_logit", "n_branches", "n_steps", "bucket"]
+    whole = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    (packed,) = branches._packed(iter([whole.slice(0, 300), whole.slice(300, 0), whole.slice(300)]))
+    assert packed.num_rows == 2
+    got = [t for row in packed.to_pylist() for t in zip(*[row[c] for c in names[:-1]], [row["bucket"]] * len(row["grp"]), strict=True)]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
