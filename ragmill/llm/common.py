@@ -29,12 +29,28 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes within go when each has ended; as a rule they stay until the driver's memory runs short."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """shared_table and the path of the copy."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     if _scratch:
         _scratch[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -8,6 +8,7 @@ a grid's cell is the coordinates of a few segments, and there are so many grids
 0.151, its coordinates agree with one of 0.73) shares MEETINGS cells on average. What shares a cell is compared by Manhattan, then by
 Hamming distance in one word of the fingerprint, a different one from grid to grid. By calculation a pair at 0.8 is missed once or twice in a million with 8 coordinates,
 six times with 10, and one at 0.85 three times in 10^9; four shingles of a text's five, whose bits differ most (0.19), once in a thousand.
+Grids are met in rounds, since the cells of all of them are several times the corpus: a round's shuffle is gone before the next begins.
 
 Coordinates of a cell: as many as keep cells of unrelated texts below MEMBERS on average (8 up to 2 million nodes, 10 at 10 million), and
 the grids follow (232 for 8, 434 for 10). Nothing is linked on its fingerprint: candidates that reach each other are a cluster, a node is in
@@ -25,6 +26,7 @@ the text are read, so other columns have no effect.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import acos, ceil, comb, pi
 
 import numpy as np
@@ -43,8 +45,8 @@ SHARE = (4, 5)
 WORDS, NEAR = 16, 14
 #: Least coordinates of a cell, unrelated nodes of a cell on average, cells that a pair of the least similarity shares on average.
 COORDINATES, MEMBERS, MEETINGS = 8, 800, 18
-#: Grids of the first round.
-FIRST = 24
+#: Grids of the first round, and of any other: what a round shuffles is bounded by the nodes and is gone before the next begins.
+FIRST, ROUND = 24, 42
 #: Nodes of a cell that one task compares with each other.
 CELL = 16_384
 #: Cells up to this size are compared by shifting the sorted table, larger ones one by one.
@@ -110,8 +112,10 @@ def _sets(shingle: int):
     return run
 
 
-def _cells(grids: np.ndarray):
-    """Reads node and fp; yields node, cell (of a grid) and word, the one of the fingerprint that the grid compares."""
+def _cells(grids: np.ndarray, first: int = 0):
+    """Reads node and fp; yields node, cell (of a grid) and word, the one of the fingerprint that the grid compares. first: the number of
+    the first grid."""
+    number = first + np.arange(len(grids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, 400_000 // len(grids))
@@ -124,8 +128,8 @@ def _cells(grids: np.ndarray):
                 cell = np.zeros((len(grids), len(fp)), np.int64)
                 for c in grids.T:
                     cell = cell * 3 + counts.T[c]
-                cell += (np.arange(len(grids)) * 3 ** grids.shape[1])[:, None]
-                word = fp.T[np.arange(len(grids)) % WORDS]
+                cell += (number * 3 ** grids.shape[1])[:, None]
+                word = fp.T[number % WORDS]
                 node = np.tile(part.column(0).to_numpy(), len(grids))
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(cell.ravel()), pa.array(word.ravel().view(np.int64))], names=["node", "cell", "word"])
 
@@ -233,9 +237,13 @@ def _dealt(blocks: Column, *row: Column) -> Column:
 
 
 def _in_cells(nodes: DataFrame, grids: np.ndarray) -> DataFrame:
-    """u, v: links between nodes (node, fp; rows may share a node) that are near each other in a cell, a spanning forest for each cell."""
-    cells = nodes.mapInArrow(_cells(grids), "node long, cell long, word long").repartition("cell").sortWithinPartitions("cell", "node")
-    found = shared_table(cells.mapInArrow(_candidates, "hot int, u long, v long, cell long"), "candidates")
+    """u, v: links between nodes (node, fp; rows may share a node) that are near each other in a cell, a spanning forest for each cell.
+    nodes is read once for each ROUND grids: cells are many times the size of the fingerprints, so not all grids are shuffled at once."""
+    rounds = []
+    for at in range(0, len(grids), ROUND):
+        cells = nodes.mapInArrow(_cells(grids[at : at + ROUND], at), "node long, cell long, word long").repartition("cell").sortWithinPartitions("cell", "node")
+        rounds.append(shared_table(cells.mapInArrow(_candidates, "hot int, u long, v long, cell long"), "candidates"))
+    found = reduce(DataFrame.unionByName, rounds)
     hot = found.where("hot = 1").select("cell", "u", "v").distinct()
     blocks = hot.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, CELL // 2))).cast("int").alias("__b"))
     dealt = hot.join(blocks, "cell").select("cell", F.explode(_dealt(F.col("__b"), F.col("u"), F.col("v"))).alias("pair"), "v", "u")
@@ -249,6 +257,7 @@ def candidates(nodes: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     grids, nodes = grids_for(nodes.count(), share), nodes.select("node", "fp")
     roots = connected_components(_in_cells(nodes, grids[:FIRST]))
     named = nodes.join(roots.withColumnRenamed("u", "node").hint("merge"), "node", "left").select(F.coalesce("root", "node").alias("node"), "fp")
+    named = shared_table(named, "named")
     return _in_cells(named, grids[FIRST:]).unionByName(roots.select("u", F.col("root").alias("v")))
 
 
@@ -308,6 +317,7 @@ def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE, share: tup
     blocks = shared_table(members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("__b")), "blocks")
     picked = shared_table(members.select("node", "least.__key", F.col("least.__hash").alias("__h")), "picked")
     texts = docs.join(picked, docs["__key"].eqNullSafe(picked["__key"]) & (docs["__hash"] == F.col("__h"))).select("node", "__text")
+    texts = shared_table(texts, "texts")  # all texts have been shuffled for it; those files go before the sets are
     sets = texts.mapInArrow(_sets(shingle), "node long, set binary").dropDuplicates(["node"])
     dealt = members.join(blocks.hint("merge"), "cluster").select("cluster", F.explode(_dealt(F.col("__b"), F.col("node"))).alias("pair"), "node", "fp")
     dealt = dealt.join(sets.hint("merge"), "node").select("cluster", "pair", "node", "fp", "set")
