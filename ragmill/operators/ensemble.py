@@ -5,12 +5,17 @@ All windows partition by group and branch or by group and step, both bounded by
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import let
 from ..sources.folders import stored
 
+#: Words of the samples whose n-grams one task counts, whole questions.
+WORDS = 1 << 17
+
 
 def _logsumexp_over(x: Column, w) -> Column:
     m = F.max(x).over(w)
@@ -75,25 +80,40 @@ def minimum_risk_bleu(candidates: DataFrame, question: str, sample: str, text: s
 
     Words are what white space parts, in small letters; matches of n-grams above one word are counted from one. The sums of the clipped
     counts, which are minima over all pairs of samples, come from how many samples hold an n-gram how often: no pairs are made, and a
-    question may have any number of samples. The n-grams, many times the size of the texts, are counted once into a table, and all joins
-    are shuffled: sizes are guessed from the texts', by which n-grams would be broadcast.
+    question may have any number of samples. n-grams are many times the size of the texts, so the texts are shuffled, by question, and a task
+    of WORDS words or so makes its n-grams where they are summed. A question of more words has its n-grams counted into a table and shuffled.
+    All joins are shuffled: sizes are guessed from the texts', by which n-grams would be broadcast.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+", -1), lambda w: w != "")
-    rows = candidates.select(F.col(question).alias("__q"), F.col(sample).alias("__i"), words.alias("__w"))
+    rows = candidates.select(F.col(question).alias("__q"), F.col(sample).alias("__i"), F.col(text).alias("__t"))
+    words = F.filter(F.split(F.lower(F.coalesce("__t", F.lit(""))), r"\s+", -1), lambda w: w != "")
+    orders = range(1, order + 1)
 
     def grams(n: int) -> Column:
         whole = F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda at: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("__w", at, n), " ").alias("g")))
         return F.when(F.size("__w") >= n, whole).otherwise(F.array().cast("array<struct<n:int,g:string>>"))
 
-    counts = rows.select("__q", "__i", F.explode(F.concat(*[grams(n) for n in range(1, order + 1)])).alias("x")).groupBy("__q", "__i", "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
-    counts = stored(counts, "grams")
-    held = counts.groupBy("__q", "n", "g", "c").agg(F.count(F.lit(1)).alias("k"))  # a row for each different count
+    def counted(rows: DataFrame) -> DataFrame:
+        rows = rows.select("__q", "__i", words.alias("__w"))
+        return rows.select("__q", "__i", F.explode(F.concat(*map(grams, orders))).alias("x")).groupBy("__q", "__i", "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
+
+    def summed(minima: DataFrame) -> DataFrame:
+        return minima.groupBy("__q", "__i").agg(*[F.sum(F.when(F.col("n") == n, F.col("m"))).alias(f"m{n}") for n in orders])
+
+    sizes = stored(rows.groupBy("__q").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size(words)).alias("all")), "sizes")
+    most, total = sizes.agg(F.coalesce(F.max("all"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+    large = sizes.where(F.col("all") > WORDS).select("__q").hint("merge")
+    small = rows.join(large, "__q", "left_anti") if most > WORDS else rows
     upto = Window.partitionBy("__q", "n", "g").orderBy("c")
-    every = Window.partitionBy("__q", "n", "g")
-    minima = held.select("__q", "n", "g", "c", (F.sum(F.col("c") * F.col("k")).over(upto) + F.col("c") * (F.sum("k").over(every) - F.sum("k").over(upto)) - F.col("c")).alias("m"))
-    shared = counts.join(minima.hint("merge"), ["__q", "n", "g", "c"]).groupBy("__q", "__i").agg(*[F.sum(F.when(F.col("n") == n, F.col("m"))).alias(f"m{n}") for n in range(1, order + 1)])
-    sizes = rows.groupBy("__q").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("__w")).alias("all"))
-    both = rows.select("__q", "__i", F.size("__w").alias("len")).join(sizes.hint("merge"), "__q").join(shared.hint("merge"), ["__q", "__i"], "left")
+    every = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    more = F.count(F.lit(1)).over(every) - F.count(F.lit(1)).over(upto)
+    shared = summed(counted(small.repartition(ceil((total + 1) / WORDS), "__q")).withColumn("m", F.sum("c").over(upto) + F.col("c") * more - F.col("c")))
+    if most > WORDS:
+        counts = stored(counted(rows.join(large, "__q", "left_semi")), "grams")
+        held = counts.groupBy("__q", "n", "g", "c").agg(F.count(F.lit(1)).alias("k"))  # a row for each different count
+        more = F.sum("k").over(every) - F.sum("k").over(upto)
+        minima = held.select("__q", "n", "g", "c", (F.sum(F.col("c") * F.col("k")).over(upto) + F.col("c") * more - F.col("c")).alias("m"))
+        shared = shared.unionByName(summed(counts.join(minima.hint("merge"), ["__q", "n", "g", "c"])))
+    both = rows.select("__q", "__i", F.size(words).alias("len")).join(sizes.hint("merge"), "__q").join(shared.hint("merge"), ["__q", "__i"], "left")
     others = F.col("k") - 1
 
     def log_precision(n: int) -> Column:
